@@ -81,6 +81,8 @@ class Detector:
     group: int = 0
     trim: bool = False
     longer_than: int = 0
+    # The same matches without the run-skipping alternative, for cutting a text at them.
+    span_pattern: str | None = None
 
 
 # --- masks -------------------------------------------------------------------------
@@ -170,6 +172,7 @@ STREET_WORDS = (
 )
 
 _MAIL_LOCAL = r"[A-Za-z0-9._%+\-]"
+_MAIL = rf"{_MAIL_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{END}"
 _MAIL_START = rf"(?:{START}(?=[A-Za-z0-9_])|{AFTER_WORD}(?=[.%+\-]))"
 _UPI_START = rf"(?:{START}(?=[A-Za-z0-9_])|{AFTER_WORD}(?=[.\-]))"
 _US_START = rf"(?=[+({D}])(?:{START}(?={D})|{AFTER_WORD}(?=[+(]))"
@@ -205,11 +208,11 @@ STRUCTURED = (
     ),
     Detector(
         "email",
-        rf"(?iu){_MAIL_START}(?:({_MAIL_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{END})"
-        rf"|{_MAIL_LOCAL}{{64,}}+)",
+        rf"(?iu){_MAIL_START}(?:({_MAIL})|{_MAIL_LOCAL}{{64,}}+)",
         _mask_email,
         _at,
         group=1,
+        span_pattern=rf"(?iu){_MAIL_START}{_MAIL}",
     ),
     Detector(
         "ip_address",
