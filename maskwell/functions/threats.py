@@ -14,8 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwell.functions.text import SPACE as S
-from maskwell.functions.text import WORD, contains_any, let
-from maskwell.functions.text import fold_case
+from maskwell.functions.text import WORD, contains_any, fold_case, let
 
 FLAGS = "(?ius)"
 KEPT_PER_PATTERN = 3
@@ -109,9 +108,13 @@ def threat_details(text: Column, folded: Column) -> Column:
 def malicious_content(text: Column, extension: Column) -> Column:
     """Struct of ``safe``, ``threats`` and ``details``; images are always safe."""
     nothing = F.create_map().cast("map<string,array<string>>")
+
+    def scan(t: Column) -> Column:
+        return let(fold_case(t), lambda folded: threat_details(t, folded))
+
     details = F.when(
         extension.isin(*IMAGE_EXTENSIONS) | text.isNull(), nothing
-    ).otherwise(let(fold_case(text), lambda folded: threat_details(text, folded)))
+    ).otherwise(let(text, scan))
     return let(
         details,
         lambda d: F.struct(

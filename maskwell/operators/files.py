@@ -120,8 +120,8 @@ def overview_by_user(files: DataFrame) -> DataFrame:
 def totals_by_type(files: DataFrame, with_threats: bool = False) -> DataFrame:
     """Detections per type over the finished files."""
     entries = with_status(files, "done").select(
-        F.explode("pii_summary").alias("pii_type", "n")
-    )
+        F.explode_outer("pii_summary").alias("pii_type", "n")
+    ).filter("pii_type IS NOT NULL")
     if not with_threats:
         entries = entries.filter(~rules.is_threat(F.col("pii_type")))
     return (
@@ -135,8 +135,11 @@ def heatmap(files: DataFrame, file_types: Sequence[str]) -> DataFrame:
     """Detections per type (rows) and upper-cased file type (columns); 0 where none."""
     entries = (
         with_status(files, "done")
-        .select(F.upper("file_type").alias("ft"), F.explode("pii_summary").alias("pii_type", "n"))
-        .filter(~rules.is_threat(F.col("pii_type")))
+        .select(
+            F.upper("file_type").alias("ft"),
+            F.explode_outer("pii_summary").alias("pii_type", "n"),
+        )
+        .filter(F.col("pii_type").isNotNull() & ~rules.is_threat(F.col("pii_type")))
     )
     return (
         entries.groupBy("pii_type")

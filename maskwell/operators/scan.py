@@ -1,8 +1,8 @@
 """Detection and masking of text columns.
 
 Everything here is a projection: no shuffle, no Python worker, one pass over the rows.
-``scan`` chains named columns so that each regex runs once per text; ``full_scan`` gives
-the same answer as one Column, for cells inside arrays or several columns of a table.
+A scan is one Column whose steps are bound to lambda variables. However the optimizer moves
+it about, the steps are not copied into each other and each pattern runs once per text.
 """
 
 from __future__ import annotations
@@ -80,35 +80,54 @@ def apply_masks(text: Column, detections: Column) -> Column:
     )
 
 
-def full_scan(text: Column) -> Column:
-    """Struct of ``masked_text`` and ``detections`` for any string Column."""
+def _detect_and_mask(
+    text: Column, detectors: Sequence[Detector], method: str | None = None
+) -> Column:
+    """Struct of ``detections`` and ``masked_text``; every part is evaluated once."""
+
+    def pack(t: Column, found: Column) -> Column:
+        return F.struct(
+            found.alias("detections"), apply_masks(t, found).alias("masked_text")
+        )
 
-    def second_pass(first: Column) -> Column:
-        masked = first["masked"]
+    return let(
+        text,
+        lambda t: let(
+            Signals.compute(t),
+            lambda sig: let(
+                detect(Signals.read(t, sig), detectors, method), lambda found: pack(t, found)
+            ),
+        ),
+    )
 
-        def finish(sig: Column) -> Column:
-            def combine(found: Column) -> Column:
-                return F.struct(
-                    apply_masks(masked, found).alias("masked_text"),
-                    F.concat(first["found"], found).alias("detections"),
-                )
 
-            return let(detect(Signals.read(masked, sig), CONTEXTUAL), combine)
+def full_scan(text: Column) -> Column:
+    """Fixed formats first, then names and addresses in what the first step has masked.
 
-        return let(Signals.compute(masked), finish)
+    Gives a struct of ``detections`` and ``masked_text`` for any string Column.
+    """
 
-    def first_pass(sig: Column) -> Column:
-        return let(
-            let(
-                detect(Signals.read(text, sig)),
-                lambda found: F.struct(
-                    found.alias("found"), apply_masks(text, found).alias("masked")
-                ),
-            ),
-            second_pass,
+    def combine(first: Column, second: Column) -> Column:
+        return F.struct(
+            F.concat(first["detections"], second["detections"]).alias("detections"),
+            second["masked_text"].alias("masked_text"),
         )
 
-    return let(Signals.compute(text), first_pass)
+    return let(
+        _detect_and_mask(text, STRUCTURED),
+        lambda first: let(
+            _detect_and_mask(first["masked_text"], CONTEXTUAL),
+            lambda second: combine(first, second),
+        ),
+    )
+
+
+def _with_scan(df: DataFrame, scanned: Column) -> DataFrame:
+    return df.withColumn("_scan", scanned).select(
+        *df.columns,
+        F.col("_scan.detections").alias("detections"),
+        F.col("_scan.masked_text").alias("masked_text"),
+    )
 
 
 def scan_structured(
@@ -118,46 +137,17 @@ def scan_structured(
     method: str | None = None,
 ) -> DataFrame:
     """Add ``detections`` and ``masked_text`` for the fixed-format types only."""
-    return (
-        df.withColumn("_sig", Signals.compute(F.col(text)))
-        .withColumn(
-            "detections",
-            detect(Signals.read(F.col(text), F.col("_sig")), pick(types), method),
-        )
-        .withColumn("masked_text", apply_masks(F.col(text), F.col("detections")))
-        .drop("_sig")
-    )
+    return _with_scan(df, _detect_and_mask(F.col(text), pick(types), method))
 
 
 def scan_contextual(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` for names and addresses only."""
-    return (
-        df.withColumn("_sig", Signals.compute(F.col(text)))
-        .withColumn("detections", detect(Signals.read(F.col(text), F.col("_sig")), CONTEXTUAL))
-        .withColumn("masked_text", apply_masks(F.col(text), F.col("detections")))
-        .drop("_sig")
-    )
+    return _with_scan(df, _detect_and_mask(F.col(text), CONTEXTUAL))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``detections`` and ``masked_text``: fixed formats, then names and addresses.
-
-    The second step reads what the first one has masked.
-    """
-    source, first = F.col(text), F.col("_first")
-    return (
-        df.withColumn("_sig", Signals.compute(source))
-        .withColumn("_found", detect(Signals.read(source, F.col("_sig"))))
-        .withColumn("_first", apply_masks(source, F.col("_found")))
-        .withColumn(
-            "_sig",
-            F.when(F.size("_found") == 0, F.col("_sig")).otherwise(Signals.compute(first)),
-        )
-        .withColumn("_more", detect(Signals.read(first, F.col("_sig")), CONTEXTUAL))
-        .withColumn("masked_text", apply_masks(first, F.col("_more")))
-        .withColumn("detections", F.concat("_found", "_more"))
-        .drop("_sig", "_found", "_first", "_more")
-    )
+    """Add ``detections`` and ``masked_text`` of the whole scan."""
+    return _with_scan(df, full_scan(F.col(text)))
 
 
 def summarize(detections: Column) -> Column:
@@ -245,9 +235,19 @@ def stats(detections: Column) -> list[Column]:
     ]
 
 
+def explode_with_position(df: DataFrame, items: Column, name: str, *keys: str) -> DataFrame:
+    """One row per array item, as ``ord`` and the given name.
+
+    The outer form, followed by a filter, keeps the optimizer from testing the array for
+    emptiness below the projection that computes it, which would compute it twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(items).alias("ord", name))
+    return rows.filter(F.col("ord").isNotNull())
+
+
 def explode_detections(df: DataFrame, *keys: str) -> DataFrame:
     """One row per detection, numbered from 0 within its text."""
-    return df.select(*keys, F.posexplode("detections").alias("ord", "d")).select(
+    return explode_with_position(df, F.col("detections"), "d", *keys).select(
         *keys, "ord", "d.*"
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.detectors import IMAGE_TYPES, Detector
 from maskwell.functions.text import STRIP_CHARS
-from maskwell.operators.scan import pick
+from maskwell.operators.scan import explode_with_position, pick
 
 LINE = ("doc_id", "block_num", "par_num", "line_num")
 METHOD = "regex+ocr"
@@ -72,12 +72,9 @@ def line_detections(words: DataFrame) -> DataFrame:
     """One row per detection in a line, with its span and the words of the line."""
     text = F.col("line_text")
     spans = F.concat(*[_spans(d, text) for d in pick(IMAGE_TYPES)])
-    return (
-        lines(words)
-        .withColumn("spans", spans)
-        .select(*LINE, "words", F.posexplode("spans").alias("ord", "span"))
-        .select(*LINE, "ord", "span.*", "words")
-    )
+    spotted = lines(words).withColumn("spans", spans)
+    rows = explode_with_position(spotted, F.col("spans"), "span", *LINE, "words")
+    return rows.select(*LINE, "ord", "span.*", "words")
 
 
 def _stays_visible(word: Column) -> Column:
@@ -103,7 +100,8 @@ def redaction_boxes(words: DataFrame) -> DataFrame:
     w = F.col("w")
     return (
         line_detections(words)
-        .withColumn("w", F.explode(covered))
+        .withColumn("w", F.explode_outer(covered))
+        .filter(w.isNotNull())
         .select(
             *LINE,
             "ord",
