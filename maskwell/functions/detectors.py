@@ -32,6 +32,7 @@ from maskwell.functions.text import (
     WORD,
     contains_any,
     fold_case,
+    let,
 )
 
 D = DIGIT
@@ -45,7 +46,11 @@ LETTER = r"[A-Za-z\u0130\u0131\u017f\u212a]"
 
 @dataclass(frozen=True)
 class Signals:
-    """Cheap facts about one text, computed once and shared by all gates."""
+    """Cheap facts about one text, computed once and shared by all gates.
+
+    Masks never bring in a digit or an @, so the facts of a text also serve as gates for
+    the same text after masking.
+    """
 
     text: Column
     has_at: Column
@@ -170,6 +175,7 @@ STREET_WORDS = (
     "Marg", "Chowk", "Layout", "Extension", "Society", "Residency", "Apartments?",
     "Towers?", "Floor", "Flat", "Plot",
 )
+STREET_STEMS = tuple(w.lower().removesuffix("s?") for w in STREET_WORDS)
 
 _MAIL_LOCAL = r"[A-Za-z0-9._%+\-]"
 _MAIL = rf"{_MAIL_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{END}"
@@ -327,7 +333,7 @@ CONTEXTUAL = (
         rf"(?=[MDPS]){START}(?:{'|'.join(NAME_TITLES)})[{S}]+"
         rf"[A-Z][a-z]+(?:[{S}]+[A-Z][a-z]+){{0,2}}{END}",
         _constant("[NAME REDACTED]"),
-        lambda s: F.lit(True),
+        lambda s: contains_any(s.text, [t.removesuffix(r"\.?") for t in NAME_TITLES]),
         method="pattern",
         confidence=0.9,
     ),
@@ -339,7 +345,7 @@ CONTEXTUAL = (
         lambda m: F.concat(F.regexp_extract(m, rf"^{D}+", 0), F.lit(", ***, ***, ***")),
         lambda s: s.has_digit
         & s.text.rlike(rf"{D}[,{S}]")
-        & contains_any(s.folded, [w.lower().removesuffix("s?") for w in STREET_WORDS]),
+        & let(fold_case(s.text), lambda folded: contains_any(folded, STREET_STEMS)),
         method="pattern",
         confidence=0.85,
         group=1,

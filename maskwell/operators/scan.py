@@ -8,8 +8,9 @@ it about, the steps are not copied into each other and each pattern runs once pe
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.functions.detectors import (
@@ -81,22 +82,25 @@ def apply_masks(text: Column, detections: Column) -> Column:
 
 
 def _detect_and_mask(
-    text: Column, detectors: Sequence[Detector], method: str | None = None
+    signals: Signals, detectors: Sequence[Detector], method: str | None = None
 ) -> Column:
-    """Struct of ``detections`` and ``masked_text``; every part is evaluated once."""
+    """Struct of ``detections`` and ``masked_text``."""
+    return let(
+        detect(signals, detectors, method),
+        lambda found: F.struct(
+            found.alias("detections"), apply_masks(signals.text, found).alias("masked_text")
+        ),
+    )
 
-    def pack(t: Column, found: Column) -> Column:
-        return F.struct(
-            found.alias("detections"), apply_masks(t, found).alias("masked_text")
-        )
 
+def _one_step(
+    text: Column, detectors: Sequence[Detector], method: str | None = None
+) -> Column:
     return let(
         text,
         lambda t: let(
             Signals.compute(t),
-            lambda sig: let(
-                detect(Signals.read(t, sig), detectors, method), lambda found: pack(t, found)
-            ),
+            lambda sig: _detect_and_mask(Signals.read(t, sig), detectors, method),
         ),
     )
 
@@ -113,13 +117,25 @@ def full_scan(text: Column) -> Column:
             second["masked_text"].alias("masked_text"),
         )
 
-    return let(
-        _detect_and_mask(text, STRUCTURED),
-        lambda first: let(
-            _detect_and_mask(first["masked_text"], CONTEXTUAL),
-            lambda second: combine(first, second),
-        ),
-    )
+    def both_steps(t: Column, sig: Column) -> Column:
+        return let(
+            _detect_and_mask(Signals.read(t, sig), STRUCTURED),
+            lambda first: let(
+                _detect_and_mask(Signals.read(first["masked_text"], sig), CONTEXTUAL),
+                lambda second: combine(first, second),
+            ),
+        )
+
+    return let(text, lambda t: let(Signals.compute(t), lambda sig: both_steps(t, sig)))
+
+
+@lru_cache(maxsize=256)
+def _scan_of(session: SparkSession, text: str, kind: str) -> Column:
+    """The scan of a named column, built once per session: building takes about a second."""
+    source = F.col(text)
+    if kind == "contextual":
+        return _one_step(source, CONTEXTUAL)
+    return _one_step(source, STRUCTURED) if kind == "structured" else full_scan(source)
 
 
 def _with_scan(df: DataFrame, scanned: Column) -> DataFrame:
@@ -137,17 +153,19 @@ def scan_structured(
     method: str | None = None,
 ) -> DataFrame:
     """Add ``detections`` and ``masked_text`` for the fixed-format types only."""
-    return _with_scan(df, _detect_and_mask(F.col(text), pick(types), method))
+    if types is None and method is None:
+        return _with_scan(df, _scan_of(df.sparkSession, text, "structured"))
+    return _with_scan(df, _one_step(F.col(text), pick(types), method))
 
 
 def scan_contextual(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` for names and addresses only."""
-    return _with_scan(df, _detect_and_mask(F.col(text), CONTEXTUAL))
+    return _with_scan(df, _scan_of(df.sparkSession, text, "contextual"))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` of the whole scan."""
-    return _with_scan(df, full_scan(F.col(text)))
+    return _with_scan(df, _scan_of(df.sparkSession, text, "full"))
 
 
 def summarize(detections: Column) -> Column:
@@ -254,7 +272,7 @@ def explode_detections(df: DataFrame, *keys: str) -> DataFrame:
 
 def mask_cell(text: Column) -> Column:
     """``full_scan`` of one table cell; blank cells are passed through unscanned."""
-    untouched = F.struct(text.alias("masked_text"), no_detections().alias("detections"))
+    untouched = F.struct(no_detections().alias("detections"), text.alias("masked_text"))
     return F.when(text.isNull() | is_blank(text), untouched).otherwise(full_scan(text))
 
 

@@ -572,7 +572,8 @@ def raw_audit_export(spark, sf):
 
 def files_current(spark, sf):
     current = lifecycle.current_rows(fx.files_log(spark, sf), "file_id")
-    return current.select("file_id", "status", "pii_count", "sanitized_key", "version")
+    count = F.coalesce("pii_count", F.lit(0)).cast("bigint").alias("pii_count")
+    return current.select("file_id", "status", count, "sanitized_key", "version")
 
 
 def cascade_delete(spark, sf):
@@ -583,7 +584,8 @@ def cascade_delete(spark, sf):
     parts = lifecycle.cascade_delete(facts, rows, fx.audit(spark, sf), gone)
     out = None
     for name, part in zip(("files", "pii_detections", "audit_logs"), parts):
-        counts = part.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+        owner = rules.or_value(F.col("file_id").cast("string"), "no file")
+        counts = part.groupBy(owner.alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
         counts = counts.select(F.lit(name).alias("table_name"), "file_id", "n")
         out = counts if out is None else out.unionByName(counts)
     return out
@@ -621,7 +623,9 @@ def upload_events(spark, sf):
         "action",
         "user_id",
         "file_id",
-        F.get_json_object("details", "$.pii_count").cast("bigint").alias("pii_count"),
+        F.coalesce(F.get_json_object("details", "$.pii_count").cast("bigint"), F.lit(0)).alias(
+            "pii_count"
+        ),
         F.get_json_object("details", "$.threats[0]").alias("first_threat"),
     )
 

@@ -107,21 +107,26 @@ def _csv_cell(cell: str) -> str:
     )
 
 
+def _csv_source(cells: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT c_custkey, {i} AS c, {cell} AS text FROM customer" for i, cell in enumerate(cells)
+    )
+
+
+def _csv(*cells: str) -> str:
+    """Each cell scanned by itself, then the cells of a record joined by commas."""
+    return f"""WITH {fr.scan_ctes(_csv_source(cells), 'c_custkey, c')}
+SELECT c_custkey, string_agg({_csv_cell('masked_text')}, ',' ORDER BY c) AS line,
+  sum(len(detections))::BIGINT AS pii_count FROM scanned GROUP BY c_custkey"""
+
+
 def _csv_lines() -> str:
     contact = text_sql(tp.MIXED_TEMPLATE, "c_custkey")
-    source = f"SELECT c_custkey, c_name, c_mktsegment, {contact} AS text FROM customer"
-    market = "'say \"' || c_mktsegment || '\"'"
-    return f"""WITH {fr.scan_ctes(source, 'c_custkey, c_name, c_mktsegment')}
-SELECT c_custkey, {_csv_cell('c_name')} || ',,' || {_csv_cell('masked_text')} || ',' ||
-  {_csv_cell(f'({market})')} AS line, len(detections)::BIGINT AS pii_count FROM scanned"""
+    return _csv("c_name", "''", contact, "'say \"' || c_mktsegment || '\"'")
 
 
 def _csv_files() -> str:
-    contact = text_sql(tp.MIXED_TEMPLATE, "c_custkey")
-    source = f"SELECT c_custkey, c_name, {contact} AS text FROM customer"
-    return f"""WITH {fr.scan_ctes(source, 'c_custkey, c_name')}
-SELECT c_custkey, c_custkey || ',' || {_csv_cell('c_name')} || ',' || {_csv_cell('masked_text')}
-  AS line, len(detections)::BIGINT AS pii_count FROM scanned"""
+    return _csv("c_custkey::VARCHAR", "c_name", text_sql(tp.MIXED_TEMPLATE, "c_custkey"))
 
 
 def _units(cut: str) -> str:
@@ -589,15 +594,15 @@ def oracle_sql() -> dict[str, str]:
             rtrim(rtrim(strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS timestamp,
             username, details FROM joined""",
         "files_current": f"""WITH {fr.files_ctes()} SELECT file_id, status,
-            CASE WHEN status = 'done' THEN pii_count END AS pii_count, sanitized_key,
+            CASE WHEN status = 'done' THEN pii_count ELSE 0 END AS pii_count, sanitized_key,
             CASE WHEN status = 'done' THEN 2 ELSE 1 END AS version FROM files""",
         "cascade_delete": f"""WITH {fr.files_ctes()}, {fr.AUDIT},
             gone AS (SELECT file_id FROM facts WHERE file_type = 'csv')
-            SELECT 'files' AS table_name, file_id, count(*) AS n FROM facts
+            SELECT 'files' AS table_name, file_id::VARCHAR AS file_id, count(*) AS n FROM facts
               WHERE file_id NOT IN (FROM gone) GROUP BY file_id
-            UNION ALL SELECT 'pii_detections', file_id, count(*) FROM found
+            UNION ALL SELECT 'pii_detections', file_id::VARCHAR, count(*) FROM found
               WHERE file_id NOT IN (FROM gone) GROUP BY file_id
-            UNION ALL SELECT 'audit_logs', file_id, count(*) FROM audit
+            UNION ALL SELECT 'audit_logs', coalesce(file_id::VARCHAR, 'no file'), count(*) FROM audit
               WHERE file_id IS NULL OR file_id NOT IN (FROM gone) GROUP BY file_id""",
         "sanitize_uploads": f"""WITH {_upload_ctes()} SELECT doc_id AS file_id,
             'up load ' || doc_id || '.txt' AS original_filename,
@@ -609,7 +614,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN safe THEN 'upload' ELSE 'blocked_upload' END AS action,
             (v.doc_id % 150)::VARCHAR AS user_id,
             CASE WHEN safe THEN v.doc_id::VARCHAR END AS file_id,
-            len(detections)::BIGINT AS pii_count, first_threat
+            coalesce(len(detections), 0)::BIGINT AS pii_count, first_threat
             FROM verdicts v LEFT JOIN scanned USING (doc_id)""",
         "word_lines": f"""WITH {_words('SELECT doc_id, text FROM documents')},{LINES}
             SELECT doc_id, line_num, text AS line_text, n_words FROM lines""",
