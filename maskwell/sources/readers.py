@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from maskwell.functions.keys import extension, preview, route
 from maskwell.functions.text import decode_utf8, is_blank
 
-# No real cell holds this, so that blank cells can be told from missing ones.
+# No real cell holds this, so that no cell with text is taken for null.
 _NO_CELL = "\x00\x00no cell\x00\x00"
 
 
@@ -72,9 +72,9 @@ def read_csv_cells(
     """
     width = width or _widest_line(spark, path)
     names = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "beyond"]])
+    columns = [*names, "beyond", "record"]
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in columns]))
         .option("header", "false")
         .option("multiLine", str(multi_line).lower())
         .option("escape", '"')
@@ -82,18 +82,32 @@ def read_csv_cells(
         .option("emptyValue", "")
         .option("maxColumns", str(width + 2))
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "record")
         .csv(path)
     )
-    cells = F.filter(F.array(*names), lambda c: c.isNotNull())
     too_wide = F.raise_error(F.lit(f"a CSV record has more than {width} cells in {path}"))
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_ord"),
-        F.when(F.col("beyond").isNull(), cells).otherwise(too_wide).alias("cells"),
+        F.when(F.col("beyond").isNull(), _cells(names)).otherwise(too_wide).alias("cells"),
     )
 
 
+def _cells(names: list[str]) -> Column:
+    """The cells of one record, however many it has.
+
+    A blank cell without quotes and a missing one are both null. Missing ones can only come
+    last, so the blanks among the last nulls are as many as the commas the record ends with.
+    """
+    given = F.array(*names)
+    last = F.array_max(F.transform(given, lambda c, i: F.when(c.isNotNull(), i + 1)))
+    record = F.rtrim(F.col("record"), F.lit("\r\n"))
+    blanks = F.length(record) - F.length(F.rtrim(record, F.lit(",")))
+    count = F.when(last.isNull(), blanks + 1).otherwise(last + blanks)
+    return F.slice(F.transform(given, lambda c: F.coalesce(c, F.lit(""))), F.lit(1), count)
+
+
 def display_text(text: Column, file_type: Column, max_chars: int = 3000) -> Column:
     """Text shown for a file: JSON that parses is shown whole, the rest is cut."""
     is_json = (file_type == "json") & F.try_parse_json(text).isNotNull()
