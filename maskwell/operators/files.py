@@ -76,10 +76,10 @@ def search(
         )
     if file_type:
         files = files.filter(F.lower("file_type") == file_type)
-    if band:
-        files = files.filter(rules.in_band(F.col("pii_count"), band))
     if date_range:
         files = files.filter(rules.since(F.col("upload_time"), date_range, as_of))
+    if band:  # last, as the count may still have to be computed
+        files = files.filter(rules.in_band(F.col("pii_count"), band))
     return files
 
 

@@ -32,7 +32,9 @@ def no_detections() -> Column:
     return F.array().cast(DETECTIONS)
 
 
-def _run(detector: Detector, signals: Signals, method: str | None) -> Column:
+def _run(
+    detector: Detector, signals: Signals, method: str | None, nothing: Column
+) -> Column:
     def describe(m: Column) -> Column:
         return F.struct(
             F.lit(detector.name).alias("pii_type"),
@@ -43,7 +45,7 @@ def _run(detector: Detector, signals: Signals, method: str | None) -> Column:
         )
 
     found = F.transform(matches(detector, signals.text), describe)
-    return F.when(detector.gate(signals), found).otherwise(no_detections())
+    return F.when(detector.gate(signals), found).otherwise(nothing)
 
 
 def detect(
@@ -54,8 +56,9 @@ def detect(
     Every detector looks at the same text: they do not compete, so one stretch of text can
     be reported under several types. Null text has no detections.
     """
-    found = F.concat(*[_run(d, signals, method) for d in detectors])
-    return F.coalesce(found, no_detections())
+    nothing = no_detections()
+    found = F.concat(*[_run(d, signals, method, nothing) for d in detectors])
+    return F.coalesce(found, nothing)
 
 
 def pick(types: Iterable[str] | None, among: Sequence[Detector] = STRUCTURED) -> list[Detector]:
@@ -133,6 +136,8 @@ def full_scan(text: Column) -> Column:
 def _scan_of(session: SparkSession, text: str, kind: str) -> Column:
     """The scan of a named column, built once per session: building takes about a second."""
     source = F.col(text)
+    if kind == "cell":
+        return mask_cell(source)
     if kind == "contextual":
         return _one_step(source, CONTEXTUAL)
     return _one_step(source, STRUCTURED) if kind == "structured" else full_scan(source)
@@ -281,7 +286,8 @@ def mask_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Adds ``detections``: those of all cells of the row, left to right.
     """
-    scanned = df.withColumns({f"_cell_{c}": mask_cell(F.col(c)) for c in columns})
+    cells = {f"_cell_{c}": _scan_of(df.sparkSession, c, "cell") for c in columns}
+    scanned = df.withColumns(cells)
     return (
         scanned.withColumn("detections", F.concat(*[f"_cell_{c}.detections" for c in columns]))
         .withColumns({c: F.col(f"_cell_{c}.masked_text") for c in columns})

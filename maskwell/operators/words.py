@@ -8,109 +8,140 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwell.functions.detectors import IMAGE_TYPES, Detector
-from maskwell.functions.text import STRIP_CHARS
-from maskwell.operators.scan import explode_with_position, pick
+from maskwell.functions.detectors import IMAGE_TYPES, Detector, Signals
+from maskwell.functions.text import STRIP_CHARS, let
+from maskwell.operators.scan import pick
 
 LINE = ("doc_id", "block_num", "par_num", "line_num")
 METHOD = "regex+ocr"
 MARGIN = 3
+SPANS = (
+    "array<struct<pii_type:string,original_value:string,masked_value:string,"
+    "detection_method:string,confidence:double,start:int,end:int>>"
+)
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """One row per line: its text, and its words with their offsets in that text.
+    """One row per line: its words in order, and its text.
 
-    Blank words are left out; the others are joined by one space. A window over the line
-    gives each word its offset, and the grouping reuses the window's partitioning.
+    Blank words are left out; the others are joined by one space.
     """
-    before = (
-        Window.partitionBy(*LINE)
-        .orderBy("word_ord")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    kept = words.withColumn("word", F.trim(F.col("text"), F.lit(STRIP_CHARS))).filter(
-        "word != ''"
-    )
-    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
-    entry = F.struct(
-        "word_ord", "word", "start", (F.col("start") + F.length("word")).alias("end"),
-        "left", "top", "width", "height",
-    )
+    entry = F.struct("word_ord", "word", "left", "top", "width", "height")
     return (
-        kept.withColumn("start", start)
+        words.withColumn("word", F.trim(F.col("text"), F.lit(STRIP_CHARS)))
+        .filter("word != ''")
         .groupBy(*LINE)
         .agg(F.array_sort(F.collect_list(entry)).alias("words"))
         .withColumn("line_text", F.array_join("words.word", " "))
     )
 
 
-def _spans(d: Detector, text: Column) -> Column:
+def _spans(d: Detector, signals: Signals) -> Column:
     """Matches of one detector with their offsets, from the pieces between them."""
     pattern = d.span_pattern or d.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, F.lit(pattern), -1)
+    found = F.regexp_extract_all(signals.text, F.lit(pattern), F.lit(0))
 
     def total(parts: Column, n: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
 
-    def span(m: Column, i: Column) -> Column:
-        start = total(between, i + 1) + total(found, i)
-        return F.struct(
-            F.lit(d.name).alias("pii_type"),
-            m.alias("original_value"),
-            d.mask(m).alias("masked_value"),
-            F.lit(METHOD).alias("detection_method"),
-            F.lit(1.0).alias("confidence"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
-        )
+    def locate(both: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = total(both["between"], i + 1) + total(both["found"], i)
+            return F.struct(
+                F.lit(d.name).alias("pii_type"),
+                m.alias("original_value"),
+                d.mask(m).alias("masked_value"),
+                F.lit(METHOD).alias("detection_method"),
+                F.lit(1.0).alias("confidence"),
+                start.alias("start"),
+                (start + F.length(m)).alias("end"),
+            )
+
+        return F.transform(both["found"], span)
+
+    between = F.split(signals.text, F.lit(pattern), -1)
+    located = let(F.struct(found.alias("found"), between.alias("between")), locate)
+    return F.when(d.gate(signals), located).otherwise(F.array().cast(SPANS))
+
+
+def _line_spans(text: Column) -> Column:
+    """All detections of a line, numbered, or null if there is none."""
+
+    def number(found: Column) -> Column:
+        numbered = F.transform(found, lambda s, i: s.withField("ord", i))
+        return F.when(F.size(found) > 0, numbered)
+
+    def search(t: Column, sig: Column) -> Column:
+        signals = Signals.read(t, sig)
+        return let(F.concat(*[_spans(d, signals) for d in pick(IMAGE_TYPES)]), number)
 
-    return F.transform(found, span)
+    return let(text, lambda t: let(Signals.compute(t), lambda sig: search(t, sig)))
+
+
+def _hit_lines(words: DataFrame) -> DataFrame:
+    """The lines with a detection, and their spans."""
+    # exploding a one-element array drops the other lines without computing spans twice
+    spans = _line_spans(F.col("line_text"))
+    return (
+        lines(words)
+        .select(*LINE, "words", F.explode_outer(F.array(spans)).alias("spans"))
+        .filter(F.col("spans").isNotNull())
+    )
 
 
 def line_detections(words: DataFrame) -> DataFrame:
-    """One row per detection in a line, with its span and the words of the line."""
-    text = F.col("line_text")
-    spans = F.concat(*[_spans(d, text) for d in pick(IMAGE_TYPES)])
-    spotted = lines(words).withColumn("spans", spans)
-    rows = explode_with_position(spotted, F.col("spans"), "span", *LINE, "words")
-    return rows.select(*LINE, "ord", "span.*", "words")
+    """One row per detection in a line, with its span."""
+    rows = _hit_lines(words).select(*LINE, F.explode("spans").alias("s"))
+    return rows.select(*LINE, "s.*")
 
 
-def _stays_visible(word: Column) -> Column:
+def _stays_visible(span: Column) -> Column:
     """Card: its first group. Phones: the country code. Email: from the @ on."""
-    kind = F.col("pii_type")
-    at = F.instr(F.col("original_value"), "@")
+    kind, at = span["pii_type"], F.position(F.lit("@"), span["original_value"])
     return (
-        F.when(kind == "credit_card", word["start"] == F.col("start"))
-        .when(kind.isin("phone", "us_phone"), F.startswith(word["word"], F.lit("+")))
-        .when(kind == "email", (at > 0) & (word["start"] >= F.col("start") + at - 1))
+        F.when(kind == "credit_card", F.col("start") == span["start"])
+        .when(kind.isin("phone", "us_phone"), F.startswith(F.col("word"), F.lit("+")))
+        .when(kind == "email", (at > 0) & (F.col("start") >= span["start"] + at - 1))
         .otherwise(F.lit(False))
     )
 
 
 def redaction_boxes(words: DataFrame) -> DataFrame:
-    """Boxes to black out: one row per detection and covered word."""
-    covered = F.filter(
-        "words",
-        lambda w: (w["start"] < F.col("end"))
-        & (w["end"] > F.col("start"))
-        & ~_stays_visible(w),
+    """Boxes to black out: one row per detection and covered word.
+
+    Only the words of lines with a detection get an offset, by a running sum over their
+    line, for which the rows lie right already. Each word then picks the spans over it.
+    """
+    before = (
+        Window.partitionBy(*LINE)
+        .orderBy("word_ord")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
+    placed = (
+        _hit_lines(words)
+        .select(*LINE, "spans", F.explode("words").alias("w"))
+        .select(*LINE, "spans", "w.*")
+        .withColumn("start", start)
+    )
+    over = F.filter(
+        "spans",
+        lambda s: (F.col("start") < s["end"])
+        & (F.col("start") + F.length("word") > s["start"])
+        & ~_stays_visible(s),
     )
-    w = F.col("w")
     return (
-        line_detections(words)
-        .withColumn("w", F.explode_outer(covered))
-        .filter(w.isNotNull())
+        placed.withColumn("s", F.explode_outer(over))
+        .filter("s IS NOT NULL")
         .select(
             *LINE,
-            "ord",
-            "pii_type",
-            w["word_ord"].alias("word_ord"),
-            w["word"].alias("word"),
-            (w["left"] - MARGIN).alias("x0"),
-            (w["top"] - MARGIN).alias("y0"),
-            (w["left"] + w["width"] + MARGIN).alias("x1"),
-            (w["top"] + w["height"] + MARGIN).alias("y1"),
+            "s.ord",
+            "s.pii_type",
+            "word_ord",
+            "word",
+            (F.col("left") - MARGIN).alias("x0"),
+            (F.col("top") - MARGIN).alias("y0"),
+            (F.col("left") + F.col("width") + MARGIN).alias("x1"),
+            (F.col("top") + F.col("height") + MARGIN).alias("y1"),
         )
     )

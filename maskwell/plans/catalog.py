@@ -280,18 +280,13 @@ def _security(spark, sf) -> DataFrame:
 
 
 def quarantine_split(spark, sf):
-    safe, blocked = threat_scan.split_by_verdict(_security(spark, sf))
     s = F.col("security")
-
-    def shape(df, verdict):
-        return df.select(
-            "doc_id", F.lit(verdict).alias("verdict"), s["file_size"].alias("file_size"),
-            s["hashes"]["sha256"].alias("sha256"),
-            F.array_join(s["malicious_content"]["threats"], ",").alias("threats"),
-            s["scanned_at"].alias("scanned_at"),
-        )
-
-    return shape(safe, "continue").unionByName(shape(blocked, "block"))
+    return _security(spark, sf).select(
+        "doc_id", F.when(s["safe"], "continue").otherwise("block").alias("verdict"),
+        s["file_size"].alias("file_size"), s["hashes"]["sha256"].alias("sha256"),
+        F.array_join(s["malicious_content"]["threats"], ",").alias("threats"),
+        s["scanned_at"].alias("scanned_at"),
+    )
 
 
 def blocked_uploads(spark, sf):
@@ -450,11 +445,14 @@ def recent_files(spark, sf):
 
 
 def bulk_export(spark, sf):
-    scanned = fx.scanned_files(spark, sf)
     wanted = filing.search(
         fx.file_facts(spark, sf), file_type="txt", date_range="Last 30 days", as_of=fx.as_of()
     )
-    return filing.export_filtered(wanted, scanned)
+    ids = wanted.select(F.col("file_id").alias("doc_id"))
+    docs = readers.read_table(spark, sf, "documents", "doc_id", "text")
+    texts = spread(docs.join(ids, "doc_id", "left_semi"), "doc_id")
+    sanitized = scan.scan(texts).withColumnRenamed("doc_id", "file_id")
+    return filing.export_filtered(wanted, sanitized)
 
 
 # --- audit -------------------------------------------------------------------------------------
@@ -646,7 +644,7 @@ def word_lines(spark, sf):
 
 def image_detections(spark, sf):
     found = words.line_detections(fx.words_of(_word_texts(spark, sf), "doc_id"))
-    return found.drop("words", "start", "end", "block_num", "par_num")
+    return found.drop("start", "end", "block_num", "par_num")
 
 
 def word_boxes(spark, sf):
@@ -678,7 +676,8 @@ def stream_scan(spark, sf):
         F.concat("source", F.lit(".txt")).alias("filename"),
         F.encode("text", "utf-8").alias("content"),
     )
-    done = jobs.scan_stream(files, fx.as_of())
+    cores = spark.sparkContext.defaultParallelism
+    done = jobs.scan_stream(files, fx.as_of(), partitions=cores)
     return _drained(spark, done).select(
         "doc_id", "masked_text", F.size("detections").cast("bigint").alias("pii_count"),
         F.col("security.safe").alias("safe"),

@@ -9,7 +9,13 @@ from maskwell.operators.scan import explode_detections
 
 
 def write_run(df: DataFrame, table: str, run_id: str, *partitions: str) -> None:
-    """Write one run's rows under the table folder; a second run with the id replaces them."""
+    """Write one run's rows under the table folder; a second run with the id replaces them.
+
+    Rows that go to value folders are first brought together by value. The rebalance splits
+    a frequent value over several tasks and joins rare ones, so files get a fair size.
+    """
+    if partitions:
+        df = df.hint("rebalance", *partitions)
     writer = df.write.mode("overwrite")
     if partitions:
         writer = writer.partitionBy(*partitions)

@@ -23,8 +23,14 @@ def read_stream(
     )
 
 
-def scan_stream(files: DataFrame, as_of: Column) -> DataFrame:
-    """Check and scan each arriving file; no state is kept."""
+def scan_stream(files: DataFrame, as_of: Column, partitions: int | None = None) -> DataFrame:
+    """Check and scan each arriving file; no state is kept.
+
+    ``partitions`` spreads each batch over that many tasks. Set it where files arrive in few
+    large pieces; with many files per batch leave it out, and nothing is shuffled.
+    """
+    if partitions:
+        files = files.repartition(partitions)
     return check_and_scan(files, as_of).drop("content", "text")
 
 
