@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -64,6 +65,12 @@ def clean_key(key: Column) -> Column:
     )
 
 
+def clean_key_text(key: str) -> str:
+    """``clean_key`` for one key at hand, as when a single object is opened."""
+    folder, slash, name = key.rpartition("/")
+    return (folder + slash if folder else "") + re.sub(r"[^\w.\-]", "_", name)
+
+
 def bucket(key: Column) -> Column:
     return F.when(
         F.startswith(key, F.lit(SANITIZED)), F.lit(BUCKETS[SANITIZED])

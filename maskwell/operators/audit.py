@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import rules
 from maskwell.operators.ranking import latest, latest_per_key, look_up
+from maskwell.session import pin
 
 # --- fixed values --------------------------------------------------------------------
 COUNTED_ACTIONS = ("login", "logout", "upload", "download", "text_scan")
@@ -29,14 +30,14 @@ def latest_events(
 
     The cut comes before the joins and is written down once, since it is read three times.
     """
-    top = latest(audit, n, *_newest()).checkpoint()
+    top = pin(latest(audit, n, *_newest()))
     named = look_up(top, users, "user_id", "username")
     return look_up(named, files, "file_id", "original_filename").orderBy(*_newest())
 
 
 def user_activity(audit: DataFrame, files: DataFrame, user_id, n: int = 200) -> DataFrame:
     """The ``n`` newest events of one user; ``original_filename`` is empty if there is none."""
-    own = latest(audit.filter(F.col("user_id") == user_id), n, *_newest()).checkpoint()
+    own = pin(latest(audit.filter(F.col("user_id") == user_id), n, *_newest()))
     return (
         look_up(own, files, "file_id", "original_filename")
         .fillna({"original_filename": ""})

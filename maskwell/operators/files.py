@@ -33,6 +33,15 @@ def detections_of(detections: DataFrame, file_id) -> DataFrame:
     return detections.filter(F.col("file_id") == file_id).orderBy("pii_type", "ord")
 
 
+def detections_table(detections: DataFrame, with_original: bool) -> DataFrame:
+    """Detections under their display names; the original values only where allowed."""
+    columns = {"pii_type": "Type", "original_value": "Original", "masked_value": "Masked As",
+               "detection_method": "Method"}
+    if not with_original:
+        del columns["original_value"]
+    return detections.select(*[F.col(c).alias(name) for c, name in columns.items()])
+
+
 def with_uploader(
     files: DataFrame, users: DataFrame, missing: str | None = None
 ) -> DataFrame:

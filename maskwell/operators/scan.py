@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,14 @@ from maskwell.functions.detectors import (
     Signals,
     matches,
 )
+from maskwell.functions.folding import replace_in_order
 from maskwell.functions.text import is_blank, let, replace_first
 from maskwell.schemas import DETECTIONS
 
 TOKEN_PREFIX = "PII_TOKEN_"
 REDACTED = "[REDACTED]"
+# Characters from which on a text is masked by ``scan_long``.
+LONG_TEXT = 200_000
 
 
 def no_detections() -> Column:
@@ -163,6 +167,11 @@ def scan_structured(
     return _with_scan(df, _one_step(F.col(text), pick(types), method))
 
 
+def scan_with(df: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:
+    """``scan_structured`` with detectors of one's own, in the given order."""
+    return _with_scan(df, _one_step(F.col(text), detectors))
+
+
 def scan_contextual(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` for names and addresses only."""
     return _with_scan(df, _scan_of(df.sparkSession, text, "contextual"))
@@ -173,6 +182,49 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return _with_scan(df, _scan_of(df.sparkSession, text, "full"))
 
 
+@lru_cache(maxsize=1)
+def _replace_in_order():
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                None if t is None else replace_in_order(t, v, m)
+                for t, v, m in zip(texts, values, masks)
+            ],
+            dtype=object,
+        )
+
+    return run
+
+
+def scan_long(df: DataFrame, text: str = "text") -> DataFrame:
+    """``scan`` for long texts that may hold very many detections.
+
+    Detection is the same. Only the masking goes through a pandas function, whose cost does
+    not grow with the product of text length and number of detections.
+    """
+    mask = _replace_in_order()
+
+    def step(rows: DataFrame, source: str, detectors, found: str, masked: str) -> DataFrame:
+        t = F.col(source)
+        hits = let(Signals.compute(t), lambda sig: detect(Signals.read(t, sig), detectors))
+        return rows.withColumn(found, hits).withColumn(
+            masked, mask(t, F.col(f"{found}.original_value"), F.col(f"{found}.masked_value"))
+        )
+
+    first = step(df, text, STRUCTURED, "_found", "_first")
+    second = step(first, "_first", CONTEXTUAL, "_more", "masked_text")
+    return second.select(*df.columns, F.concat("_found", "_more").alias("detections"), "masked_text")
+
+
+def scan_any_length(df: DataFrame, text: str = "text", limit: int = LONG_TEXT) -> DataFrame:
+    """``scan`` for texts of one length and ``scan_long`` for those beyond it."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    return scan(df.filter(size <= limit), text).unionByName(
+        scan_long(df.filter(size > limit), text)
+    )
+
+
 def summarize(detections: Column) -> Column:
     """Map of type to number of detections, keys in first-seen order."""
 

@@ -192,6 +192,22 @@ def file_previews(spark, sf):
     )
 
 
+def before_and_after(spark, sf):
+    return readers.before_and_after(scan.scan(fx.documents(spark, sf)), "doc_id")
+
+
+def display_paragraphs(spark, sf):
+    docs = fx.documents(spark, sf)
+    shown = readers.display_paragraphs(F.split("text", "\n"))
+    return docs.select("doc_id", shown.alias("shown"))
+
+
+def masked_detections_table(spark, sf):
+    rows = writers.detection_rows(fx.scanned_files(spark, sf))
+    table = filing.detections_table(rows, with_original=False)
+    return table.toDF("type", "masked_as", "method")
+
+
 def display_events(spark, sf):
     """Display text of JSON values: whole where they parse, else cut."""
     rows = readers.read_table(spark, sf, "events", "event_id", "props")
@@ -712,7 +728,8 @@ def queries() -> dict:
         detect_documents, mask_documents, scan_documents, pii_type_counts, scan_pages,
         names_addresses, scan_mixed, token_mode, redact_mode, token_documents, redact_documents,
         doc_pii_summary, scan_stats, mask_customers, mask_conversations, mask_event_props,
-        csv_lines, csv_files, page_units, run_units, file_previews, display_events,
+        csv_lines, csv_files, page_units, run_units, file_previews, before_and_after,
+        display_paragraphs, masked_detections_table, display_events,
         normalised_keys, escaped_pages, threats_pages, threats_documents, threats_templated,
         file_hashes, quarantine_split, blocked_uploads, all_users, active_user, file_by_id,
         detections_of_file, saved_detections, files_enriched, files_of_user, admin_files,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwell.functions.keys import csv_line, original_key, sanitized_key
 from maskwell.functions.text import decode_utf8
 from maskwell.operators.lifecycle import current_rows, finished, started, without
-from maskwell.operators.scan import mask_cells, scan, summarize
+from maskwell.operators.scan import LONG_TEXT, mask_cells, scan, scan_long, summarize
 from maskwell.operators.threat_scan import blocked_details, security_scan
 from maskwell.sources.readers import read_csv_cells, with_text
 from maskwell.sources.writers import detection_rows, event_rows, write_run
@@ -16,14 +16,25 @@ from maskwell.sources.writers import detection_rows, event_rows, write_run
 TABLES = ("files_log", "pii_detections", "audit_logs", "sanitized", "quarantine")
 
 
-def check_and_scan(files: DataFrame, as_of: Column) -> DataFrame:
+def check_and_scan(
+    files: DataFrame, as_of: Column, limit: int | None = LONG_TEXT
+) -> DataFrame:
     """Add ``security``, ``detections`` and ``masked_text``; blocked files are not scanned.
 
-    Needs ``content`` and ``filename``. One projection over the files, without a shuffle.
+    Needs ``content`` and ``filename``. Nothing is shuffled. Files of more than ``limit``
+    bytes take the path for long texts; for this the input is read twice, each time for one
+    kind of file. With ``limit=None`` all files are taken for short ones.
     """
-    checked = security_scan(files, as_of)
-    text = F.when(F.col("security.safe"), decode_utf8(F.col("content")))
-    return scan(checked.withColumn("text", text))
+
+    def checked(part: DataFrame) -> DataFrame:
+        text = F.when(F.col("security.safe"), decode_utf8(F.col("content")))
+        return security_scan(part, as_of).withColumn("text", text)
+
+    if limit is None:
+        return scan(checked(files))
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    short, long = files.filter(size <= limit), files.filter(size > limit)
+    return scan(checked(short)).unionByName(scan_long(checked(long)))
 
 
 def sanitize(files: DataFrame, out: str, run_id: str, as_of: Column) -> dict[str, DataFrame]:

@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/maskwell-{uuid.uuid4().hex}"
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Write a small, several times used result to the checkpoint directory."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core.
 

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.functions.keys import extension, preview, route
+from maskwell.functions.keys import (
+    BUCKETS,
+    ORIGINALS,
+    clean_key_text,
+    extension,
+    preview,
+    route,
+)
 from maskwell.functions.text import decode_utf8, is_blank
 
 # No real cell holds this, so that no cell with text is taken for null.
@@ -40,6 +47,15 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     )
 
 
+def open_stored(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """One stored object by its key, which is cleaned the way it was on writing."""
+    clean = clean_key_text(key)
+    for prefix, bucket in BUCKETS.items():
+        if clean.startswith(prefix):
+            return read_files(spark, f"{root}/{bucket}/{clean.removeprefix(prefix)}")
+    return read_files(spark, f"{root}/{BUCKETS[ORIGINALS]}/{clean}")
+
+
 def text_units(files: DataFrame, key: str = "path") -> DataFrame:
     """One unit per file that is read as one text (SQL, TXT, JSON, unknown types)."""
     return files.filter(F.col("route") == "text").select(
@@ -114,5 +130,15 @@ def display_text(text: Column, file_type: Column, max_chars: int = 3000) -> Colu
     return F.when(is_json, text).otherwise(F.left(text, F.lit(max_chars)))
 
 
-def previews(df: DataFrame, text: str = "text", max_chars: int = 2000) -> DataFrame:
-    return df.withColumn("preview", preview(F.col(text), max_chars))
+def display_paragraphs(paragraphs: Column) -> Column:
+    """Paragraphs with text, one per line."""
+    return F.array_join(F.filter(paragraphs, lambda p: ~is_blank(p)), "\n")
+
+
+def before_and_after(scanned: DataFrame, *keys: str, max_chars: int = 1500) -> DataFrame:
+    """The start of each text before and after masking."""
+    return scanned.select(
+        *keys,
+        preview(F.col("text"), max_chars).alias("original"),
+        preview(F.col("masked_text"), max_chars).alias("sanitized"),
+    )

@@ -437,6 +437,16 @@ def oracle_sql() -> dict[str, str]:
         "run_units": _run_units(),
         "file_previews": """SELECT doc_id, left(text, 1500) AS preview,
             left(text, 3000) AS shown FROM documents""",
+        "before_and_after": f"""WITH {docs.replace('SELECT doc_id, first', 'SELECT doc_id, text, first')}
+            SELECT doc_id, left(text, 1500) AS original, left(masked_text, 1500) AS sanitized
+            FROM scanned""",
+        "display_paragraphs": r"""SELECT doc_id, array_to_string(list_filter(
+            string_split(text, chr(10)),
+            lambda p: NOT regexp_full_match(p, '[\s\p{Z}]*')), chr(10)) AS shown
+            FROM documents""",
+        "masked_detections_table": f"""WITH {fr.files_ctes()} SELECT pii_type AS type,
+            masked_value AS masked_as, detection_method AS method
+            FROM ({fr.exploded('scanned', 'file_id')})""",
         "display_events": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props
             ELSE left('{' || repeat(props, 400), 3000) END AS shown FROM events""",
         "normalised_keys": r"""WITH k AS (SELECT p_partkey,

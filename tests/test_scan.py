@@ -183,6 +183,16 @@ def test_type_subset(spark):
         S.scan_structured(df, types=["nothing"])
 
 
+def test_own_detectors(spark):
+    from maskwell.functions.detectors import Detector
+
+    badge = Detector("badge", r"B-\d+", lambda m: F.lit("B-*"), lambda s: s.has_digit)
+    df = spark.createDataFrame([("B-12 a@b.co B-7",)], "text string")
+    r = S.scan_with(df, [badge, BY_NAME["email"]]).first()
+    assert r.masked_text == "B-* a@b.co B-*"
+    assert [d.pii_type for d in r.detections] == ["badge", "badge", "email"]
+
+
 def test_mask_table_scans_each_cell_by_itself(spark):
     rows = [("4821 7391", "6625 a@b.co"), ("  ", None), ("ABCDE1234F", "x")]
     df = spark.createDataFrame(rows, "a string, b string")

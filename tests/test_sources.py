@@ -150,6 +150,21 @@ def test_joined_units_keep_their_order(spark):
     assert r.pii_count == 12
 
 
+def test_open_stored(spark, tmp_path):
+    for folder, name in (("pii-originals/7", "a_b_.txt"), ("pii-sanitized/7", "x.txt")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / name).write_bytes(name.encode())
+    for key, want in (
+        ("originals/7/a b(.txt", b"a_b_.txt"), ("7/a b(.txt", b"a_b_.txt"),
+        ("sanitized/7/x.txt", b"x.txt"),
+    ):
+        assert bytes(readers.open_stored(spark, str(tmp_path), key).first().content) == want
+    names = ["a/b c.PDF", "/x y", "plain", "originals/1/é(1).txt", "x.", "", "//q r", "a/"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for r in df.select("n", keys.clean_key(F.col("n")).alias("c")).collect():
+        assert r.c == keys.clean_key_text(r.n)
+
+
 def test_event_defaults(spark, tmp_path):
     df = spark.createDataFrame([("ann",)], "username string")
     r = writers.event_rows(df, "login", as_of(), F.lit(4)).first()
