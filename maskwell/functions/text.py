@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Java character classes, to be used inside square brackets.
@@ -44,6 +44,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column as the only item of an exploded array.
+
+    A later filter on a plain column is moved below it and computes it a second time. No
+    filter passes the explode, and the outer form keeps every row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 

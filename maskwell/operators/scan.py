@@ -1,8 +1,9 @@
 """Detection and masking of text columns.
 
 Everything here is a projection: no shuffle, no Python worker, one pass over the rows.
-A scan is one Column whose steps are bound to lambda variables. However the optimizer moves
-it about, the steps are not copied into each other and each pattern runs once per text.
+A scan is one Column whose steps are bound to lambda variables, added by an explode of one
+item. So the optimizer neither copies the steps into each other nor repeats the scan in a
+filter on its result, and each pattern runs once per text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from maskwell.functions.detectors import (
     matches,
 )
 from maskwell.functions.folding import replace_in_order
-from maskwell.functions.text import is_blank, let, replace_first
+from maskwell.functions.text import computed_once, is_blank, let, replace_first
 from maskwell.schemas import DETECTIONS
 
 TOKEN_PREFIX = "PII_TOKEN_"
@@ -137,18 +138,23 @@ def full_scan(text: Column) -> Column:
 
 
 @lru_cache(maxsize=256)
-def _scan_of(session: SparkSession, text: str, kind: str) -> Column:
-    """The scan of a named column, built once per session: building takes about a second."""
-    source = F.col(text)
-    if kind == "cell":
-        return mask_cell(source)
+def _built(session: SparkSession, kind: str, *columns: str) -> Column:
+    """The scan of named columns, built once per session: building takes about a second."""
+    source = F.col(columns[0])
+    if kind == "cells":
+        return F.transform(F.array(*columns), mask_cell)
+    if kind == "full":
+        return full_scan(source)
+    if kind == "structured":
+        return _one_step(source, STRUCTURED)
     if kind == "contextual":
         return _one_step(source, CONTEXTUAL)
-    return _one_step(source, STRUCTURED) if kind == "structured" else full_scan(source)
+    detectors = {"structured hits": STRUCTURED, "contextual hits": CONTEXTUAL}[kind]
+    return let(Signals.compute(source), lambda sig: detect(Signals.read(source, sig), detectors))
 
 
 def _with_scan(df: DataFrame, scanned: Column) -> DataFrame:
-    return df.withColumn("_scan", scanned).select(
+    return computed_once(df, "_scan", scanned).select(
         *df.columns,
         F.col("_scan.detections").alias("detections"),
         F.col("_scan.masked_text").alias("masked_text"),
@@ -163,7 +169,7 @@ def scan_structured(
 ) -> DataFrame:
     """Add ``detections`` and ``masked_text`` for the fixed-format types only."""
     if types is None and method is None:
-        return _with_scan(df, _scan_of(df.sparkSession, text, "structured"))
+        return _with_scan(df, _built(df.sparkSession, "structured", text))
     return _with_scan(df, _one_step(F.col(text), pick(types), method))
 
 
@@ -174,12 +180,12 @@ def scan_with(df: DataFrame, detectors: Sequence[Detector], text: str = "text")
 
 def scan_contextual(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` for names and addresses only."""
-    return _with_scan(df, _scan_of(df.sparkSession, text, "contextual"))
+    return _with_scan(df, _built(df.sparkSession, "contextual", text))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` of the whole scan."""
-    return _with_scan(df, _scan_of(df.sparkSession, text, "full"))
+    return _with_scan(df, _built(df.sparkSession, "full", text))
 
 
 @lru_cache(maxsize=1)
@@ -205,16 +211,17 @@ def scan_long(df: DataFrame, text: str = "text") -> DataFrame:
     """
     mask = _replace_in_order()
 
-    def step(rows: DataFrame, source: str, detectors, found: str, masked: str) -> DataFrame:
-        t = F.col(source)
-        hits = let(Signals.compute(t), lambda sig: detect(Signals.read(t, sig), detectors))
-        return rows.withColumn(found, hits).withColumn(
-            masked, mask(t, F.col(f"{found}.original_value"), F.col(f"{found}.masked_value"))
+    def step(rows: DataFrame, source: str, kind: str, found: str, masked: str) -> DataFrame:
+        hits = _built(df.sparkSession, kind, source)
+        values, masks = F.col(f"{found}.original_value"), F.col(f"{found}.masked_value")
+        return computed_once(rows, found, hits).withColumn(
+            masked, mask(F.col(source), values, masks)
         )
 
-    first = step(df, text, STRUCTURED, "_found", "_first")
-    second = step(first, "_first", CONTEXTUAL, "_more", "masked_text")
-    return second.select(*df.columns, F.concat("_found", "_more").alias("detections"), "masked_text")
+    first = step(df, text, "structured hits", "_found", "_first")
+    second = step(first, "_first", "contextual hits", "_more", "masked_text")
+    found = F.concat("_found", "_more").alias("detections")
+    return second.select(*df.columns, found, "masked_text")
 
 
 def scan_any_length(df: DataFrame, text: str = "text", limit: int = LONG_TEXT) -> DataFrame:
@@ -336,14 +343,15 @@ def mask_cell(text: Column) -> Column:
 def mask_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mask the given string columns cell by cell.
 
-    Adds ``detections``: those of all cells of the row, left to right.
+    Adds ``detections``: those of all cells of the row, left to right. The cells are scanned
+    as one array, so the plan does not grow with the number of columns.
     """
-    cells = {f"_cell_{c}": _scan_of(df.sparkSession, c, "cell") for c in columns}
-    scanned = df.withColumns(cells)
+    done = computed_once(df, "_cells", _built(df.sparkSession, "cells", *columns))
+    masked = {c: F.col("_cells")[i]["masked_text"] for i, c in enumerate(columns)}
     return (
-        scanned.withColumn("detections", F.concat(*[f"_cell_{c}.detections" for c in columns]))
-        .withColumns({c: F.col(f"_cell_{c}.masked_text") for c in columns})
-        .drop(*[f"_cell_{c}" for c in columns])
+        done.withColumn("detections", F.flatten("_cells.detections"))
+        .withColumns(masked)
+        .drop("_cells")
     )
 
 

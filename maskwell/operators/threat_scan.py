@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions.keys import extension
-from maskwell.functions.text import decode_utf8
+from maskwell.functions.text import computed_once, decode_utf8
 from maskwell.functions.threats import malicious_content
 
 
@@ -23,9 +23,8 @@ def security_scan(
 ) -> DataFrame:
     """Add ``security``: verdict, size, digests, findings and scan time of each file."""
     body, name = F.col(content), F.col(filename)
-    return df.withColumn(
-        "_found", malicious_content(decode_utf8(body), extension(name))
-    ).withColumn(
+    found = malicious_content(decode_utf8(body), extension(name))
+    return computed_once(df, "_found", found).withColumn(
         "security",
         F.struct(
             F.col("_found.safe").alias("safe"),

@@ -465,8 +465,7 @@ def bulk_export(spark, sf):
         fx.file_facts(spark, sf), file_type="txt", date_range="Last 30 days", as_of=fx.as_of()
     )
     ids = wanted.select(F.col("file_id").alias("doc_id"))
-    docs = readers.read_table(spark, sf, "documents", "doc_id", "text")
-    texts = spread(docs.join(ids, "doc_id", "left_semi"), "doc_id")
+    texts = fx.documents(spark, sf).join(ids, "doc_id", "left_semi")
     sanitized = scan.scan(texts).withColumnRenamed("doc_id", "file_id")
     return filing.export_filtered(wanted, sanitized)
 

@@ -205,8 +205,13 @@ def test_mask_table_scans_each_cell_by_itself(spark):
 
 
 def test_scan_runs_each_pattern_once(spark):
-    df = spark.createDataFrame([("a",)], "text string")
-    rows = S.explode_detections(S.scan(df), "text").filter("pii_type <> 'x'")
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("fp_hash_[a-f0-9]+") == 1
-    assert "Exchange" not in plan
+    df = spark.createDataFrame([("a",)], "text string").repartition(3)
+    scanned = S.scan(df)
+    for rows in (
+        S.explode_detections(scanned, "text").filter("pii_type <> 'x'"),
+        scanned.filter(F.size("detections") > 0).filter("masked_text <> 'x'"),
+        S.mask_table(df, ["text"]).filter(F.size("detections") > 0),
+    ):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("fp_hash_[a-f0-9]+") == 1
+        assert plan.count("Exchange") == 1
