@@ -29,7 +29,6 @@ from maskwell.functions.text import (
     NOT_BEFORE_WORD,
     SPACE,
     STRIP_CHARS,
-    WORD,
     contains_any,
     fold_case,
     let,

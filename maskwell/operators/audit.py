@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,6 @@ from maskwell.session import pin
 # --- fixed values --------------------------------------------------------------------
 COUNTED_ACTIONS = ("login", "logout", "upload", "download", "text_scan")
 SESSION_ENDS = ("logout", "session_timeout")
-SIEM_HOST = "pii-sanitizer"
-SIEM_TAGS = ("pii-sanitizer", "hackamined-2025")
 # --- end of fixed values ---------------------------------------------------------------
 
 SLOT_SECONDS = 15 * 60
@@ -166,8 +166,11 @@ def sessions(audit: DataFrame) -> DataFrame:
 # --- export ------------------------------------------------------------------------------
 
 
-def siem_record(details: Column) -> Column:
-    """Nested record of one joined event; ``details`` is the metadata, as given."""
+def siem_record(details: Column, host: str, tags: Sequence[str]) -> Column:
+    """Nested record of one joined event; ``details`` is the metadata, as given.
+
+    ``host`` and ``tags`` name the sending system.
+    """
     has_file = F.col("file_id").isNotNull() & (F.col("file_id").cast("string") != "")
     return F.struct(
         F.col("timestamp").cast("string").alias("@timestamp"),
@@ -181,14 +184,16 @@ def siem_record(details: Column) -> Column:
         F.struct(F.col("original_filename").alias("name")).alias("file"),
         F.struct(F.col("ip_address").alias("ip")).alias("source"),
         details.alias("metadata"),
-        F.struct(F.lit(SIEM_HOST).alias("name")).alias("host"),
-        F.array(*[F.lit(t) for t in SIEM_TAGS]).alias("tags"),
+        F.struct(F.lit(host).alias("name")).alias("host"),
+        F.array(*[F.lit(t) for t in tags]).alias("tags"),
     )
 
 
-def siem_lines(events: DataFrame) -> DataFrame:
+def siem_lines(
+    events: DataFrame, host: str = "maskwell", tags: Sequence[str] = ("maskwell",)
+) -> DataFrame:
     """One JSON text per event; ``details`` stays nested JSON, nulls are written out."""
-    record = siem_record(F.parse_json(F.coalesce("details", F.lit("{}"))))
+    record = siem_record(F.parse_json(F.coalesce("details", F.lit("{}"))), host, tags)
     return events.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import rules
 from maskwell.functions.threats import THREAT_TYPES
+from maskwell.session import pin
 
 
 # --- reads -----------------------------------------------------------------------------
@@ -171,7 +172,7 @@ def file_type_share(files: DataFrame) -> DataFrame:
 
     Among file types with the same total the first by name is the riskiest.
     """
-    totals = (
+    totals = pin(  # read twice below
         with_status(files, "done")
         .groupBy(F.upper("file_type").alias("file_type"))
         .agg(F.sum(_total_of(F.col("pii_summary"))).alias("total"))

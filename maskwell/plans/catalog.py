@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import keys, rules
-from maskwell.functions.text import decode_utf8
 from maskwell.functions.threats import malicious_content
 from maskwell.operators import audit as audits
 from maskwell.operators import files as filing
@@ -547,7 +546,7 @@ def sessions(spark, sf):
 
 def siem_events(spark, sf):
     events = audits.latest_events(*_audit_parts(spark, sf), n=200)
-    lines = audits.siem_lines(events)
+    lines = audits.siem_lines(events, host="audit-host", tags=("audit", "export"))
     paths = {
         "timestamp": '$["@timestamp"]',
         "kind": "$.event.kind",

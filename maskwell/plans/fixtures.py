@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.operators import scan as scanning
-from maskwell.operators.lifecycle import finished, started
 from maskwell.session import spread
 from maskwell.sources.readers import read_table
 
@@ -95,9 +94,20 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 def files_log(spark: SparkSession, sf: str) -> DataFrame:
     """Version 1 of every file, and version 2 of the finished ones."""
-    rows = files(spark, sf)
-    second = finished(rows.filter("status = 'done'"))
-    return started(rows).select(second.columns).unionByName(second)
+    versions = F.when(F.col("status") == "done", F.array(F.lit(1), F.lit(2))).otherwise(
+        F.array(F.lit(1))
+    )
+    later = F.col("version") == 2
+    return (
+        files(spark, sf)
+        .withColumn("version", F.explode(versions))
+        .withColumns(
+            {
+                "status": F.when(later, "done").otherwise("processing"),
+                **{c: F.when(later, F.col(c)) for c in ("sanitized_key", "pii_count", "pii_summary")},
+            }
+        )
+    )
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:

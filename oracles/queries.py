@@ -598,8 +598,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN file_id IS NOT NULL THEN 'file' ELSE 'authentication' END AS category,
             action, 'success' AS outcome, username AS user_name, original_filename AS file_name,
             NULL::VARCHAR AS source_ip, details ->> '$.k' AS metadata_k,
-            details ->> '$.username' AS metadata_user, 'pii-sanitizer' AS host,
-            'pii-sanitizer' AS first_tag FROM joined""",
+            details ->> '$.username' AS metadata_user, 'audit-host' AS host,
+            'audit' AS first_tag FROM joined""",
         "raw_audit_export": f"""WITH {TOP_EVENTS} SELECT log_id::VARCHAR AS log_id,
             rtrim(rtrim(strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS timestamp,
             username, details FROM joined""",
