@@ -188,7 +188,6 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return _with_scan(df, _built(df.sparkSession, "full", text))
 
 
-@lru_cache(maxsize=1)
 def _replace_in_order():
     @F.pandas_udf("string")
     def run(texts: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
