@@ -7,14 +7,16 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from maskwell.plans import catalog
+from oracles import queries as oracle_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
     " benchmark labels conversations"
 ).split()
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = oracle_queries.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
