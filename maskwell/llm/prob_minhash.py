@@ -9,10 +9,12 @@ is later than all registers' first arrivals, so most shingles send a single arri
 
 Signatures are cut into bands; documents that agree in a whole band are in one bucket.
 Texts with equal word sequences are one class before that. In a bucket every member is
-compared with the bucket's centre, its smallest node. Members that fail are compared among
-themselves in the next round: each with each if they are few, else with a new centre, until
-no bucket has two members left. So a bucket of n near copies costs n comparisons, however
-large it is, and no bucket or partner list is capped.
+compared with the bucket's centre, its smallest node. Members that are then not in the
+centre's group go on to the next round, one for each group they have come to by then: each
+with each if they are few, else with a new centre, until no bucket has two members left. So a
+bucket of n near copies costs n comparisons, however large it is, and no bucket or partner
+list is capped. (Two groups whose only link lies between members that neither is the centre
+nor goes on can stay apart; a link shares eight buckets on average, so this is rare.)
 Candidates whose signatures agree in fewer than ``screen`` of the registers are dropped (with
 the default numbers that loses a pair at the limit once in more than a million); the rest is
 verified on the whole texts: the exact probability Jaccard, or the Jaccard of the shingle
@@ -41,7 +43,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BANDS, _ROWS = 24, 5
 #: Once the centre of a bucket has failed some members, so many or fewer of them are compared
 #: with each other directly; more get a new centre. Either way every pair is met.
-FEW = 50
+FEW = 200
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -281,7 +283,7 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
     left = stage(_shared(buckets))
     texts = given.select("node", "text")
     tried: DataFrame | None = None
-    found: list[DataFrame] = []
+    known: DataFrame | None = None
     few = 0  # in the first round every bucket has a centre
     while not left.isEmpty():
         many = left.filter(F.col("n") > few)
@@ -313,22 +315,21 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
             .select("a", "b", (_similarity("ta", "tb") >= similarity).alias("same"))
         )
         linked = checked.filter("same").select("a", "b")
-        found.append(linked)
-        tried = stage(distinct if tried is None else tried.unionByName(distinct))
-        known = found[0]
-        for more in found[1:]:
-            known = known.unionByName(more)
-        # What is linked to its bucket's centre is done; the rest meets without the centre.
-        rest = pairs.join(
-            known.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti"
-        ).select("bucket", "node")
+        known = stage((linked if known is None else known.unionByName(linked)).distinct())
+        # Members of the centre's group are settled; of every other group one goes on.
+        groups = components(known).withColumnRenamed("root", "own")
+        of_centre = groups.toDF("centre", "centre_own")
+        rest = (
+            pairs.join(groups, "node", "left")
+            .join(of_centre, "centre", "left")
+            .select("bucket", "node", F.coalesce("own", "node").alias("own"), F.coalesce("centre_own", "centre").alias("c"))
+            .filter("own <> c")
+            .groupBy("bucket", "own")
+            .agg(F.min("node").alias("node"))
+            .select("bucket", "node")
+        )
         left = stage(_shared(rest))
-    if not found:
-        return reps.sparkSession.createDataFrame([], "a bigint, b bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    return known if known is not None else reps.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
