@@ -24,12 +24,16 @@ def _newest() -> list[Column]:
 
 
 def latest_events(
-    audit: DataFrame, users: DataFrame, files: DataFrame, n: int = 200
+    audit: DataFrame, users: DataFrame, files: DataFrame, n: int | None = 200
 ) -> DataFrame:
     """The ``n`` newest events with ``username`` and ``original_filename`` (null if none).
 
     The cut comes before the joins and is written down once, since it is read three times.
+    ``n=None`` means all events, in no order, with ordinary joins.
     """
+    if n is None:
+        named = audit.join(users.select("user_id", "username"), "user_id", "left")
+        return named.join(files.select("file_id", "original_filename"), "file_id", "left")
     top = pin(latest(audit, n, *_newest()))
     named = look_up(top, users, "user_id", "username")
     return look_up(named, files, "file_id", "original_filename").orderBy(*_newest())
@@ -55,7 +59,7 @@ def latest_per_user(audit: DataFrame, n: int = 200) -> DataFrame:
     return latest_per_key(known, "user_id", n, _newest(), spread_by="log_id")
 
 
-def action_counts(audit: DataFrame, n: int | None = 200) -> DataFrame:
+def action_counts(audit: DataFrame, n: int | None = None) -> DataFrame:
     """Events per user and counted action, over the ``n`` newest events of the user.
 
     ``n=None`` counts all events.

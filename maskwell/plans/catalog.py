@@ -484,13 +484,15 @@ def audit_top(spark, sf):
 
 
 def audit_filtered(spark, sf):
-    events = audits.latest_events(*_audit_parts(spark, sf), n=200)
-    shown = audits.events_table(events, action="download", user="Customer#000000042")
+    audit, users, files = _audit_parts(spark, sf)
+    one = users.filter(F.col("username") == "Customer#000000042").select("user_id")
+    own = audit.filter(F.col("action") == "download").join(one, "user_id", "left_semi")
+    shown = audits.events_table(audits.latest_events(own, users, files, n=200))
     return shown.toDF("timestamp", "username", "action", "file")
 
 
 def audit_action_options(spark, sf):
-    events = audits.latest_events(*_audit_parts(spark, sf), n=200)
+    events = audits.latest_events(*_audit_parts(spark, sf), n=None)
     return filing.options(events, F.col("action"), "action")
 
 
@@ -515,7 +517,7 @@ def recent_activity(spark, sf):
 
 
 def user_action_counts(spark, sf):
-    return audits.action_counts(fx.audit(spark, sf), 40)
+    return audits.action_counts(fx.audit(spark, sf), 200)
 
 
 def user_action_counts_all(spark, sf):
@@ -545,7 +547,7 @@ def sessions(spark, sf):
 
 
 def siem_events(spark, sf):
-    events = audits.latest_events(*_audit_parts(spark, sf), n=200)
+    events = audits.latest_events(*_audit_parts(spark, sf), n=None)
     lines = audits.siem_lines(events, host="audit-host", tags=("audit", "export"))
     paths = {
         "timestamp": '$["@timestamp"]',
@@ -570,7 +572,7 @@ def siem_events(spark, sf):
 
 
 def raw_audit_export(spark, sf):
-    lines = audits.raw_lines(audits.latest_events(*_audit_parts(spark, sf), n=200))
+    lines = audits.raw_lines(audits.latest_events(*_audit_parts(spark, sf), n=None))
     return lines.select(
         F.get_json_object("value", "$.log_id").alias("log_id"),
         F.get_json_object("value", "$.timestamp").alias("timestamp"),

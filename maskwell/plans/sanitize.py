@@ -104,6 +104,9 @@ def open_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
 def rewrite_without(spark: SparkSession, out: str, target: str, gone: DataFrame) -> None:
     """Write the tables anew to ``target`` without the deleted files.
 
+    ``staged`` and ``quarantine`` hold their texts too. A second delete into the same target
+    leaves nothing of the first.
+
     The delete events themselves are appended afterwards by the caller and stay.
     """
     for table, key in (
@@ -111,10 +114,14 @@ def rewrite_without(spark: SparkSession, out: str, target: str, gone: DataFrame)
         ("pii_detections", "file_id"),
         ("audit_logs", "file_id"),
         ("sanitized", "file_id"),
+        ("staged", "file_id"),
+        ("quarantine", "file_id"),
     ):
         kept = without(spark.read.parquet(f"{out}/{table}"), gone, key)
         parts = ["run_id", "pii_type"] if table == "pii_detections" else ["run_id"]
-        kept.write.mode("overwrite").partitionBy(*parts).parquet(f"{target}/{table}")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            *parts
+        ).parquet(f"{target}/{table}")
 
 
 def delete_events(gone: DataFrame, at: Column, user_id: Column) -> DataFrame:

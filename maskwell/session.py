@@ -28,10 +28,12 @@ def build_session(app: str = "maskwell", **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the cluster's checkpoint directory.
 
-    Only a session without that setting (a test on one machine) gets a local folder.
+    Only a local session (a test on one machine) can do without that setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="maskwell-")
     return f"{root.rstrip('/')}/maskwell-{uuid.uuid4().hex}"
 

@@ -34,7 +34,7 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     name = F.col("filename")
     return (
         reader.load(path)
-        .withColumn("filename", F.url_decode(F.substring_index("path", "/", -1)))
+        .withColumn("filename", F.substring_index("path", "/", -1))
         .select(
             "path",
             "filename",

@@ -16,7 +16,8 @@ def write_run(df: DataFrame, table: str, run_id: str, *partitions: str) -> None:
     """
     if partitions:
         df = df.hint("rebalance", *partitions)
-    writer = df.write.mode("overwrite")
+    # Whatever an earlier run left goes, also in folders that this one does not write.
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(f"{table}/run_id={run_id}")
@@ -45,7 +46,17 @@ def event_rows(
     details = F.coalesce(text if details is None else details, F.lit("{}"))
     ip_address = text if ip_address is None else ip_address
     log_id = F.sha2(
-        F.concat_ws("|", F.lit(action), user_id, file_id, details, at.cast("string")), 256
+        F.to_json(
+            F.struct(
+                F.lit(action).alias("action"),
+                user_id.alias("user_id"),
+                file_id.alias("file_id"),
+                details.alias("details"),
+                at.cast("string").alias("at"),
+            ),
+            {"ignoreNullFields": "false"},
+        ),
+        256,
     )
     return df.select(
         log_id.alias("log_id"),
@@ -76,4 +87,5 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_export(export: DataFrame, path: str) -> None:
     """Exported texts, one folder per file type."""
-    export.write.mode("overwrite").partitionBy("file_type").parquet(path)
+    static = export.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    static.partitionBy("file_type").parquet(path)

@@ -252,6 +252,8 @@ top AS (SELECT * FROM audit ORDER BY timestamp DESC, log_id DESC LIMIT 200),
 joined AS (SELECT top.*, username, original_filename FROM top
   LEFT JOIN users USING (user_id) LEFT JOIN facts USING (file_id))"""
 
+ALL_EVENTS = TOP_EVENTS.replace(" ORDER BY timestamp DESC, log_id DESC LIMIT 200", "")
+
 OWN_EVENTS = f"""{fr.FACTS}, {fr.AUDIT},
 own AS (SELECT a.*, coalesce(f.original_filename, '') AS original_filename FROM (
     SELECT * FROM audit WHERE user_id = 42 ORDER BY timestamp DESC, log_id DESC LIMIT 200) a
@@ -561,11 +563,12 @@ def oracle_sql() -> dict[str, str]:
             AND file_type = 'txt' AND upload_time >= {fr.AS_OF} - INTERVAL 30 DAY""",
         "audit_top": f"""WITH {TOP_EVENTS} SELECT log_id, timestamp, username, action,
             original_filename FROM joined""",
-        "audit_filtered": f"""WITH {TOP_EVENTS} SELECT
+        "audit_filtered": f"""WITH {ALL_EVENTS} SELECT
             strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, username, action,
             original_filename AS file FROM joined
-            WHERE action = 'download' AND username = 'Customer#000000042'""",
-        "audit_action_options": f"""WITH {TOP_EVENTS} SELECT DISTINCT action FROM joined
+            WHERE action = 'download' AND username = 'Customer#000000042'
+            ORDER BY joined.timestamp DESC, log_id DESC LIMIT 200""",
+        "audit_action_options": f"""WITH {ALL_EVENTS} SELECT DISTINCT action FROM joined
             WHERE action IS NOT NULL""",
         "user_activity": f"""WITH {OWN_EVENTS} SELECT log_id, timestamp, action,
             original_filename FROM own""",
@@ -574,7 +577,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_activity": f"""WITH {RANKED} SELECT user_id, rank, log_id, action FROM ranked
             WHERE rank <= 50""",
         "user_action_counts": f"""WITH {RANKED}
-            {_action_counts('(SELECT * FROM ranked WHERE rank <= 40)')}""",
+            {_action_counts('(SELECT * FROM ranked WHERE rank <= 200)')}""",
         "user_action_counts_all": f"WITH {RANKED} {_action_counts('ranked')}",
         "failed_logins": f"""WITH {fr.AUDIT} SELECT
             coalesce(details ->> '$.username', 'unknown') AS username, count(*) AS attempts,
@@ -592,7 +595,7 @@ def oracle_sql() -> dict[str, str]:
         "sessions": f"""WITH {_sessions()} SELECT user_id, session_no,
             min(timestamp) AS session_start, max(timestamp) AS last_active, count(*) AS events
             FROM numbered GROUP BY user_id, session_no""",
-        "siem_events": f"""WITH {TOP_EVENTS} SELECT rtrim(rtrim(
+        "siem_events": f"""WITH {ALL_EVENTS} SELECT rtrim(rtrim(
               strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS timestamp,
             'event' AS kind,
             CASE WHEN file_id IS NOT NULL THEN 'file' ELSE 'authentication' END AS category,
@@ -600,7 +603,7 @@ def oracle_sql() -> dict[str, str]:
             NULL::VARCHAR AS source_ip, details ->> '$.k' AS metadata_k,
             details ->> '$.username' AS metadata_user, 'audit-host' AS host,
             'audit' AS first_tag FROM joined""",
-        "raw_audit_export": f"""WITH {TOP_EVENTS} SELECT log_id::VARCHAR AS log_id,
+        "raw_audit_export": f"""WITH {ALL_EVENTS} SELECT log_id::VARCHAR AS log_id,
             rtrim(rtrim(strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS timestamp,
             username, details FROM joined""",
         "files_current": f"""WITH {fr.files_ctes()} SELECT file_id, status,

@@ -175,3 +175,33 @@ def test_event_defaults(spark, tmp_path):
     assert (tmp_path / "x" / "file_type=txt").is_dir()
     writers.write_lines(df.select(F.col("username").alias("value")), str(tmp_path / "y"))
     assert spark.read.text(str(tmp_path / "y")).first().value == "ann"
+
+
+def test_rerun_and_second_delete_leave_nothing_behind(spark, tmp_path):
+    """A table that is written again holds the new rows only, also in other value folders."""
+    from maskwell.plans.sanitize import rewrite_without
+    from maskwell.sources.writers import write_run
+
+    out, target = f"{tmp_path}/out", f"{tmp_path}/target"
+    rows = spark.createDataFrame([(1, "email"), (2, "ip")], "file_id bigint, pii_type string")
+    write_run(rows, f"{out}/pii_detections", "r1", "pii_type")
+    write_run(rows.filter("file_id = 2"), f"{out}/pii_detections", "r1", "pii_type")
+    found = spark.read.parquet(f"{out}/pii_detections")
+    assert [r["file_id"] for r in found.collect()] == [2]
+    write_run(rows, f"{out}/pii_detections", "r1", "pii_type")
+    for t in ("files_log", "audit_logs", "sanitized", "staged", "quarantine"):
+        write_run(rows.select("file_id"), f"{out}/{t}", "r1")
+    for gone in (3, 1):
+        ids = spark.createDataFrame([(gone,)], "file_id bigint")
+        rewrite_without(spark, out, target, ids)
+    for t in ("files_log", "audit_logs", "sanitized", "staged", "quarantine", "pii_detections"):
+        assert [r["file_id"] for r in spark.read.parquet(f"{target}/{t}").collect()] == [2], t
+
+
+def test_file_names_are_kept(spark, tmp_path):
+    from maskwell.sources.readers import read_files
+
+    for name in ("a+b.txt", "50%.txt", "c d.txt"):
+        (tmp_path / name).write_text("x")
+    got = {r["filename"] for r in read_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a+b.txt", "50%.txt", "c d.txt"}
