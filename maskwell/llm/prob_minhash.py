@@ -11,7 +11,8 @@ Signatures are cut into bands; documents that agree in a whole band are in one b
 Texts with equal word sequences are one class before that. In a bucket every member is
 compared with the bucket's centre, its smallest node. Members that are then not in the
 centre's group go on to the next round, one for each group they have come to by then: each
-with each if they are few, else with a new centre, until no bucket has two members left. So a
+with each if they are few, else with a new centre, until no bucket has two members left. (Groups
+are read off two steps of links here; what that misses is compared, not dropped.) So a
 bucket of n near copies costs n comparisons, however large it is, and no bucket or partner
 list is capped. (Two groups whose only link lies between members that neither is the centre
 nor goes on can stay apart; a link shares eight buckets on average, so this is rare.)
@@ -41,6 +42,10 @@ from maskwell.llm.common import fresh, mix, stage, text_key, whole, words_of
 SHINGLE = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BANDS, _ROWS = 24, 5
+#: Arrivals drawn at a time when few processes are left.
+_ROUND = 20_000
+#: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
+_SHARED_BITS = np.uint64(42)
 #: Once the centre of a bucket has failed some members, so many or fewer of them are compared
 #: with each other directly; more get a new centre. Either way every pair is met.
 FEW = 200
@@ -51,11 +56,11 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     if not len(words):
         return words
     n = min(size, len(words))
-    out = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    out = words[: len(words) - n + 1].copy()
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = mix(out * _GOLD + words[k : k + len(out)] + np.uint64(k + 1))
-    return out
+        for k in range(1, n):
+            out = out * _GOLD + words[k : k + len(out)]
+        return mix(out + np.uint64(n))
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -66,7 +71,8 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
     """ProbMinHash registers of many documents at once.
 
     ``doc`` numbers the documents from 0; every document has an element. A round takes one
-    more arrival from every process that can still be first somewhere in its document.
+    more arrival from every process that can still be first somewhere in its document; several
+    when few processes are left, which changes no register.
     """
     first = np.full(docs * m, np.inf)
     winner = np.zeros(docs * m, dtype=np.uint64)
@@ -75,31 +81,47 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
     draw = 0
     with np.errstate(over="ignore"):
         while len(live):
-            draw += 1
-            h = mix(element[live] + np.uint64(2 * draw) * _GOLD)
-            time[live] += -np.log(_uniform(h)) / weight[live]
-            at = doc[live] * m + (mix(h + _GOLD) % np.uint64(m)).astype(np.int64)
-            now = time[live]
-            np.minimum.at(first, at, now)
-            won = first[at] == now
-            winner[at[won]] = element[live[won]]
-            rows = np.unique(doc[live])
-            latest = np.zeros(docs)
-            latest[rows] = first.reshape(docs, m)[rows].max(axis=1)
-            live = live[now < latest[doc[live]]]
+            block = min(64, max(1, _ROUND // len(live)))
+            number = np.arange(draw + 1, draw + block + 1, dtype=np.uint64)
+            draw += block
+            h = mix(element[live][:, None] + (np.uint64(2) * number * _GOLD)[None, :])
+            now = time[live][:, None] + np.cumsum(-np.log(_uniform(h)), axis=1) / weight[live][:, None]
+            time[live] = now[:, -1]
+            at = doc[live][:, None] * m + (mix(h + _GOLD) % np.uint64(m)).astype(np.int64)
+            np.minimum.at(first, at.ravel(), now.ravel())
+            won, place = np.nonzero(first[at] == now)
+            winner[at[won, place]] = element[live[won]]
+            latest = first.reshape(docs, m).max(axis=1)
+            live = live[now[:, -1] < latest[doc[live]]]
     return winner.reshape(docs, m)
 
 
-def _weighted(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, shingle, count) for words in order of documents."""
-    edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-    found = [shingles(words[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-    own = np.repeat(doc[edges[:-1]], [len(x) for x in found])
-    h = np.concatenate(found)
-    order = np.lexsort((h, own))
-    own, h = own[order], h[order]
-    start = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (h[1:] != h[:-1])])
-    return own[start], h[start], np.diff(np.r_[start, len(h)])
+def _edges(doc: np.ndarray) -> np.ndarray:
+    """Where each document begins, and the end of the last."""
+    return np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+
+
+def _weighted(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the document, shingle, count) for words in order of documents.
+
+    The shingles of all documents at once: those that run over a document's end are left out.
+    """
+    length = np.diff(edges)
+    own = np.repeat(np.arange(len(length)), length)
+    inside = np.flatnonzero(np.repeat(edges[1:], length) - np.arange(len(words)) >= SHINGLE)
+    found = [shingles(words)[inside]] if len(inside) else []
+    owner = [own[inside]]
+    for i in np.flatnonzero(length < SHINGLE):
+        found.append(shingles(words[edges[i] : edges[i + 1]]))
+        owner.append(np.array([i]))
+    # One sort for both: the document above, the shingle in the bits that are left.
+    bits = np.uint64(64 - max(1, int(len(length)).bit_length()))
+    key = np.concatenate(found) & ((np.uint64(1) << bits) - np.uint64(1))
+    key = np.sort(key | (np.concatenate(owner).astype(np.uint64) << bits))
+    start = _edges(key)
+    key = key[start[:-1]]
+    element = key & ((np.uint64(1) << _SHARED_BITS) - np.uint64(1))
+    return (key >> bits).astype(np.int64), element, np.diff(start)
 
 
 _SIGNED = "doc_id bigint, doc_key bigint, node bigint, words binary, signature binary, bands array<bigint>"
@@ -117,22 +139,21 @@ def _sign(bands: int, rows: int):
             for doc, words in words_of(texts):
                 if not len(doc):
                     continue
-                own, element, count = _weighted(doc, words)
-                ids, number = np.unique(own, return_inverse=True)
-                sig = signatures(number, element, count.astype(np.float64), len(ids), m)
-                short = (sig >> np.uint64(32)).astype(np.uint32)
+                edges = _edges(doc)
+                ids = doc[edges[:-1]]
+                own, element, count = _weighted(words, edges)
+                sig = signatures(own, element, count.astype(np.float64), len(ids), m)
+                short = (sig >> np.uint64(8)).astype(np.uint32)
                 band = np.zeros((len(ids), bands), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         band = mix(band * _GOLD + sig.reshape(len(ids), bands, rows)[:, :, r])
-                edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-                for a, b in zip(edges[:-1], edges[1:]):
-                    with np.errstate(over="ignore"):
-                        place = np.arange(b - a, dtype=np.uint64) * _GOLD
-                        two = [mix(words[a:b] + place + s).sum(dtype=np.uint64) for s in (np.uint64(1), np.uint64(2))]
-                    sequence[doc[a]] = np.array([*two, b - a], dtype=np.uint64).tobytes()
-                for i, x, k in zip(ids, short, band.view(np.int64)):
-                    signature[i], keys[i] = x.tobytes(), k.tolist()
+                    place = np.arange(len(words), dtype=np.uint64) - np.repeat(edges[:-1], np.diff(edges)).astype(np.uint64)
+                    one = mix(words + place * _GOLD)
+                    two = [np.add.reduceat(x, edges[:-1]) for x in (one, mix(one + _GOLD))]
+                length = np.diff(edges).astype(np.uint64)
+                for i, name, x, k in zip(ids, np.stack([*two, length], axis=1), short, band.view(np.int64)):
+                    sequence[i], signature[i], keys[i] = name.tobytes(), x.tobytes(), k.tolist()
             yield pa.record_batch(
                 [
                     *(batch.column(k) for k in (0, 1, 3)),
@@ -182,6 +203,21 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    return edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count(F.lit(1))).first()
+
+
+def _smaller(links: DataFrame) -> DataFrame:
+    """node, own: for a node with smaller neighbours the smallest node two steps away.
+
+    What shares it is connected. Not every connected pair shares it, but the members of a
+    group whose smallest member is near do, and it takes no rounds.
+    """
+    near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("near"))
+    far = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
+    return near.join(far, "near", "left").select("node", F.coalesce("far", "near").alias("own"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links (a, b) connect it with.
 
@@ -190,6 +226,7 @@ def components(links: DataFrame) -> DataFrame:
     split by Spark like any others, since all it takes is a minimum for each node.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    now = _checksum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a node goes to its smallest one.
@@ -206,11 +243,10 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         new = stage(small)
-        total = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))
-        if new.agg(total, F.count(F.lit(1))).first() == edges.agg(total, F.count(F.lit(1))).first():
+        edges, before, now = new, now, _checksum(new)
+        if now == before:
             break
-        edges = new
-    return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(
@@ -282,7 +318,6 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
     )
     left = stage(_shared(buckets))
     texts = given.select("node", "text")
-    tried: DataFrame | None = None
     known: DataFrame | None = None
     few = 0  # in the first round every bucket has a centre
     while not left.isEmpty():
@@ -297,8 +332,6 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
             distinct = distinct.unionByName(small.select(F.col("node").alias("a"), "b"))
         distinct = distinct.distinct()
         few = FEW
-        if tried is not None:
-            distinct = distinct.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         sign = reps.select("node", "signature")
         close = (
             distinct.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")
@@ -317,7 +350,7 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
         linked = checked.filter("same").select("a", "b")
         known = stage((linked if known is None else known.unionByName(linked)).distinct())
         # Members of the centre's group are settled; of every other group one goes on.
-        groups = components(known).withColumnRenamed("root", "own")
+        groups = stage(_smaller(known))
         of_centre = groups.toDF("centre", "centre_own")
         rest = (
             pairs.join(groups, "node", "left")
