@@ -11,7 +11,8 @@ Signatures are cut into bands; documents that agree in a whole band are in one b
 Texts with equal word sequences are one class before that. In a bucket every member is
 compared with the bucket's centre, its smallest node. Members that are then not in the
 centre's group go on to the next round, one for each group they have come to by then: each
-with each if they are few, else with a new centre, until no bucket has two members left. (Groups
+with each if they are few, else with ``FEW`` new centres, twice as many each round, until no
+bucket has two members left; so there are rounds like the logarithm of a bucket's groups. (Groups
 are read off two steps of links here; what that misses is compared, not dropped.) So a
 bucket of n near copies costs n comparisons, however large it is, and no bucket or partner
 list is capped. (Two groups whose only link lies between members that neither is the centre
@@ -46,8 +47,8 @@ _BANDS, _ROWS = 24, 5
 _ROUND = 20_000
 #: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
 _SHARED_BITS = np.uint64(42)
-#: Once the centre of a bucket has failed some members, so many or fewer of them are compared
-#: with each other directly; more get a new centre. Either way every pair is met.
+#: Centres of a bucket in the second round; a bucket of so many or fewer members is compared
+#: each with each. Larger ones take more rounds; either way every pair of groups is met.
 FEW = 200
 
 
@@ -198,9 +199,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype=float
-    )
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), -1) for v in (a, b))
+    return pd.Series((x == y).mean(axis=1))
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -319,19 +321,23 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
     left = stage(_shared(buckets))
     texts = given.select("node", "text")
     known: DataFrame | None = None
-    few = 0  # in the first round every bucket has a centre
+    few = 0  # in the first round every bucket has one centre, its smallest node
     while not left.isEmpty():
-        many = left.filter(F.col("n") > few)
-        centres = many.groupBy("bucket").agg(F.min("node").alias("centre"))
-        pairs = many.join(centres, "bucket").filter("node <> centre").select("bucket", "centre", "node")
-        distinct = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))
         if few:
-            own = left.filter(F.col("n") <= few)
-            other = own.select(F.col("bucket").alias("same"), F.col("node").alias("b"))
-            small = own.join(other, (F.col("bucket") == F.col("same")) & (F.col("node") < F.col("b")))
-            distinct = distinct.unionByName(small.select(F.col("node").alias("a"), "b"))
-        distinct = distinct.distinct()
-        few = FEW
+            # All members of a bucket of ``few``; about so many of a larger one, chosen by hash.
+            chosen = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), F.col("n")) < few
+            left = left.withColumn("chosen", chosen)
+            centres = left.filter("chosen").select("bucket", F.col("node").alias("centre"))
+        else:
+            left = left.withColumn("chosen", F.lit(False))
+            centres = left.groupBy("bucket").agg(F.min("node").alias("centre"))
+        met = F.when(F.col("chosen"), F.col("node") < F.col("centre")).otherwise(F.col("node") != F.col("centre"))
+        distinct = (
+            left.join(centres, "bucket").filter(met)
+            .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+            .distinct()
+        )
+        few = max(FEW, 2 * few)
         sign = reps.select("node", "signature")
         close = (
             distinct.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")
@@ -349,14 +355,13 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
         )
         linked = checked.filter("same").select("a", "b")
         known = stage((linked if known is None else known.unionByName(linked)).distinct())
-        # Members of the centre's group are settled; of every other group one goes on.
+        # Members of a centre's group are settled; of every other group one goes on.
         groups = stage(_smaller(known))
-        of_centre = groups.toDF("centre", "centre_own")
+        own = F.coalesce("own", "node").alias("own")
+        reached = centres.withColumnRenamed("centre", "node").join(groups, "node", "left").select("bucket", own)
         rest = (
-            pairs.join(groups, "node", "left")
-            .join(of_centre, "centre", "left")
-            .select("bucket", "node", F.coalesce("own", "node").alias("own"), F.coalesce("centre_own", "centre").alias("c"))
-            .filter("own <> c")
+            left.filter(~F.col("chosen")).join(groups, "node", "left").select("bucket", "node", own)
+            .join(reached.distinct(), ["bucket", "own"], "left_anti")
             .groupBy("bucket", "own")
             .agg(F.min("node").alias("node"))
             .select("bucket", "node")
