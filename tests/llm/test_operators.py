@@ -144,6 +144,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_one_bucket_of_many_groups_meets_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(prob_minhash, "FEW", 2)
+    texts = []
+    for group in range(9):
+        base = [f"w{group}x{i}" for i in range(120)]
+        texts += [" ".join(base), " ".join([*base[:60], "other", *base[61:]])]
+    rows = [(i, t, b"same", [1]) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "node bigint, text string, signature binary, bands array<bigint>")
+    links = prob_minhash._links(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     common, own = rng.integers(1, 2**62, 300), rng.integers(1, 2**62, (2, 40))
