@@ -9,14 +9,15 @@ is later than all registers' first arrivals, so most shingles send a single arri
 
 Signatures are cut into bands; documents that agree in a whole band are in one bucket.
 Texts with equal word sequences are one class before that. In a bucket every member is
-compared with the bucket's centre, its smallest node. Members that are then not in the
-centre's group go on to the next round, one for each group they have come to by then: each
-with each if they are few, else with ``FEW`` new centres, twice as many each round, until no
-bucket has two members left; so there are rounds like the logarithm of a bucket's groups. (Groups
-are read off two steps of links here; what that misses is compared, not dropped.) So a
-bucket of n near copies costs n comparisons, however large it is, and no bucket or partner
-list is capped. (Two groups whose only link lies between members that neither is the centre
-nor goes on can stay apart; a link shares eight buckets on average, so this is rare.)
+compared with the bucket's centre, its smallest node. A centre has then met all members and
+leaves the bucket. The others stay while they are of more than one group: each round the
+member with the most links, and some members outside the bucket's largest group (all of them
+in a small bucket, else ``FEW``, twice as many each round), are centres and meet every member
+that is not in their group by then, whether that one is linked already or not. So of any two
+members of a bucket that were never compared, both are in one group (read off two steps of
+links here; what that misses is compared, not dropped). A bucket of n near copies of one
+another costs about n comparisons, one with r members outside its largest group at most r
+times n, and no bucket or partner list is capped.
 Candidates whose signatures agree in fewer than ``screen`` of the registers are dropped (with
 the default numbers that loses a pair at the limit once in more than a million); the rest is
 verified on the whole texts: the exact probability Jaccard, or the Jaccard of the shingle
@@ -47,8 +48,8 @@ _BANDS, _ROWS = 24, 5
 _ROUND = 20_000
 #: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
 _SHARED_BITS = np.uint64(42)
-#: Centres of a bucket in the second round; a bucket of so many or fewer members is compared
-#: each with each. Larger ones take more rounds; either way every pair of groups is met.
+#: Centres of a bucket in the third round. In a bucket of so many or fewer members, all outside
+#: its largest group are centres in the second; larger ones take more rounds.
 FEW = 200
 
 
@@ -209,15 +210,19 @@ def _checksum(edges: DataFrame) -> tuple:
     return edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count(F.lit(1))).first()
 
 
-def _smaller(links: DataFrame) -> DataFrame:
-    """node, own: for a node with smaller neighbours the smallest node two steps away.
+def _groups(links: DataFrame) -> DataFrame:
+    """node, own, degree: the smallest node at most two links away, and the number of links.
 
-    What shares it is connected. Not every connected pair shares it, but the members of a
-    group whose smallest member is near do, and it takes no rounds.
+    What shares ``own`` is connected. Not every connected pair shares it, but all neighbours
+    of one node do if none of them has a smaller one elsewhere, and it takes no rounds.
     """
-    near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("near"))
-    far = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
-    return near.join(far, "near", "left").select("node", F.coalesce("far", "near").alias("own"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
+    far = both.join(near.select(F.col("a").alias("b"), "near"), "b")
+    # A neighbour's nearest is no larger than the node itself.
+    return far.groupBy(F.col("a").alias("node")).agg(
+        F.min("near").alias("own"), F.count(F.lit(1)).alias("degree")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,44 +311,38 @@ def near_duplicates(
     )
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with two members or more, with their number ``n``."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(sizes, "bucket")
-
-
 def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float) -> DataFrame:
-    """Verified links (a, b) between representatives."""
+    """Verified links (a, b) between representatives that join all that are to be linked."""
     buckets = stage(
         reps.select("node", F.posexplode("bands").alias("band", "key"))
         .select("node", F.xxhash64("band", "key").alias("bucket"))
     )
-    left = stage(_shared(buckets))
+    sizes = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
+    left = stage(
+        buckets.join(sizes.filter("n > 1"), "bucket").select(
+            "bucket", "node", F.col("node").alias("own"), (F.col("node") == F.col("low")).alias("chosen")
+        )
+    )
     texts = given.select("node", "text")
     known: DataFrame | None = None
-    few = 0  # in the first round every bucket has one centre, its smallest node
+    tested: DataFrame | None = None
+    few = 0  # only one centre in the first round, and in the second of a large bucket
     while not left.isEmpty():
-        if few:
-            # All members of a bucket of ``few``; about so many of a larger one, chosen by hash.
-            chosen = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), F.col("n")) < few
-            left = left.withColumn("chosen", chosen)
-            centres = left.filter("chosen").select("bucket", F.col("node").alias("centre"))
-        else:
-            left = left.withColumn("chosen", F.lit(False))
-            centres = left.groupBy("bucket").agg(F.min("node").alias("centre"))
-        met = F.when(F.col("chosen"), F.col("node") < F.col("centre")).otherwise(F.col("node") != F.col("centre"))
+        centres = left.filter("chosen").select(
+            "bucket", F.col("node").alias("centre"), F.col("own").alias("centre_own")
+        )
+        once = ~F.col("chosen") | (F.col("node") < F.col("centre"))
         distinct = (
-            left.join(centres, "bucket").filter(met)
+            left.join(centres, "bucket").filter(once & (F.col("own") != F.col("centre_own")))
             .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
             .distinct()
         )
-        few = max(FEW, 2 * few)
         sign = reps.select("node", "signature")
         close = (
             distinct.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")
             .filter(_agreement("sa", "sb") >= screen).select("a", "b")
         )
-        close = stage(close)
+        close = stage(close if tested is None else close.join(tested, ["a", "b"], "left_anti"))
         of = texts.join(
             close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct(),
             "node",
@@ -353,20 +352,32 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
             close.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b")
             .select("a", "b", (_similarity("ta", "tb") >= similarity).alias("same"))
         )
+        tested = close if tested is None else tested.unionByName(close)
         linked = checked.filter("same").select("a", "b")
-        known = stage((linked if known is None else known.unionByName(linked)).distinct())
-        # Members of a centre's group are settled; of every other group one goes on.
-        groups = stage(_smaller(known))
-        own = F.coalesce("own", "node").alias("own")
-        reached = centres.withColumnRenamed("centre", "node").join(groups, "node", "left").select("bucket", own)
-        rest = (
-            left.filter(~F.col("chosen")).join(groups, "node", "left").select("bucket", "node", own)
-            .join(reached.distinct(), ["bucket", "own"], "left_anti")
-            .groupBy("bucket", "own")
-            .agg(F.min("node").alias("node"))
-            .select("bucket", "node")
+        known = linked if known is None else known.unionByName(linked)
+        # Centres have met everyone; the rest goes on where it is of several groups.
+        groups = stage(_groups(known))
+        rest = stage(
+            left.filter(~F.col("chosen")).select("bucket", "node").join(groups, "node", "left")
+            .select("bucket", "node", F.coalesce("own", "node").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        )
+        parts = rest.groupBy("bucket", "own").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node")).alias("hub")
+        )
+        sizes = parts.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("groups"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "own")).alias("main"),
+            F.max("hub").alias("hub"),
         )
-        left = stage(_shared(rest))
+        waiting = F.col("n") - F.col("main.n")
+        number = F.lit(few) if few else F.when(F.col("n") <= FEW, F.col("n")).otherwise(0)
+        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), waiting) < number
+        chosen = (F.col("node") == F.col("hub.node")) | ((F.col("own") != F.col("main.own")) & drawn)
+        left = stage(
+            rest.join(sizes.filter("groups > 1"), "bucket").select("bucket", "node", "own", chosen.alias("chosen"))
+        )
+        few = max(FEW, 2 * few)
     return known if known is not None else reps.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 

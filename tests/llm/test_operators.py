@@ -156,6 +156,27 @@ def test_one_bucket_of_many_groups_meets_every_pair(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in links.collect()} == {(i, i + 1) for i in range(0, len(texts), 2)}
 
 
+@pytest.mark.parametrize("original", [15, 30])
+def test_edits_of_one_original_meet_it_after_it_is_linked(spark, monkeypatch, original):
+    monkeypatch.setattr(prob_minhash, "FEW", 2)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(31):
+        edit = list(base)
+        for at in rng.sample(range(5, 295), 5) if k != original else []:
+            edit[at] = f"edit{k}"
+        texts.append(" ".join(edit))
+    like = {p: prob_minhash.similarity_of(*(texts[i] for i in p)) for p in itertools.combinations(range(31), 2)}
+    assert all(x >= 0.8 for p, x in like.items() if original in p)
+    assert sum(x >= 0.8 for p, x in like.items() if original not in p) < 45
+    rows = [(i, t, b"same", [1]) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "node bigint, text string, signature binary, bands array<bigint>")
+    links = prob_minhash._links(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
+    roots = {r["node"]: r["root"] for r in prob_minhash.components(links).collect()}
+    assert all(roots.get(i, i) == 0 for i in range(31))
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     common, own = rng.integers(1, 2**62, 300), rng.integers(1, 2**62, (2, 40))
