@@ -108,6 +108,38 @@ def test_mix(odd):
     assert done.columns == odd.columns and done.count() == len(mixed)
 
 
+def test_chunks_stay_within_one_block_of_the_weights():
+    rng = random.Random(2)
+    cases = [{"hot": 9 / 2, **{f"s{i}": 1 for i in range(9)}}]
+    cases += [{f"s{i}": rng.random() ** 4 + 1e-3 for i in range(n)} for n in (1, 2, 5, 12, 30)]
+    for weights in cases:
+        ratio = mixing.whole_ratios(weights)
+        total = sum(ratio.values())
+        seen = dict.fromkeys(ratio, 0)
+        for start in range(0, 3000, 100):
+            assert seen == mixing.blocks_before(ratio, start)
+            row = {x: s for s, own in mixing.schedule(ratio, start, start + 100).items() for x in own}
+            assert sorted(row) == list(range(start, start + 100))
+            for slot in range(start, start + 100):
+                seen[row[slot]] += 1
+                assert all(abs(seen[s] * total - (slot + 1) * r) < total for s, r in ratio.items())
+
+
+def test_mix_keeps_exact_weights_over_many_chunks_and_sources(spark):
+    sizes = {"hot": 900, **{f"s{i}": 200 for i in range(9)}}
+    rows = [(s, f"{s} {i}", i) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "source string, text string, doc_id bigint")
+    weights = {s: 4.5 if s == "hot" else 1 for s in sizes}
+    got = mixing.mix(docs, weights, block_rows=1, period=100).select("position", "source").collect()
+    assert sorted(r["position"] for r in got) == list(range(len(got)))
+    hot = sorted(r["position"] for r in got if r["source"] == "hot")
+    assert len(got) > 2500 and all(j * 3 <= x < (j + 1) * 3 for j, x in enumerate(hot))
+    many = spark.range(1200).select("id", F.col("id").cast("string").alias("text"))
+    many = many.select(F.col("id").alias("doc_id"), "text", F.col("text").alias("source"))
+    mixed = mixing.mix(many, block_rows=1)
+    assert mixed.count() == mixed.select("source").distinct().count() == 1200
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 
