@@ -5,10 +5,16 @@ line's ratio is its text length over its number of tags; text inside links count
 and text inside a region that is never article text (menus, forms, notices, ...) gives its
 line a ratio of zero. Ratios are smoothed with a Gaussian over neighbouring lines of the
 same region, and lines are clustered by a threshold (the standard deviation of the page's
-smoothed ratios, at most their mean). Clusters select regions, not single lines: where one
-container (``article``, ``main``) holds most of what is above the threshold, all of its
+smoothed ratios, at most their mean). Clusters select regions, not single lines: where
+containers (``article``, ``main``) hold most of what is above the threshold, all of their
 lines that are no boilerplate are the article, so that a short paragraph next to long ones
-is kept.
+is kept. A container is left out only if most of its own text is links, however short it is;
+if there is an article inside it, its other lines stay.
+
+A region whose class, id or role has a boilerplate word is left out, unless the word is a part
+of a name (``has-sidebar``) and the region holds most of the text above the threshold, or
+nothing above the threshold is outside. Text of containers outside it speaks against it (a
+quarter of all, as with long comments below an article).
 
 Null pages are empty pages and give an empty text. Pages of any length are read whole.
 Columns other than the page's html are passed on and never looked at.
@@ -49,21 +55,25 @@ _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def names(attrs: list[tuple[str, str | None]]) -> set[str]:
+def names(attrs: list[tuple[str, str | None]]) -> tuple[set[str], set[str]]:
+    """Words of class, id and role names, and the whole names."""
     text = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-    return {x.lower() for x in _NAME.findall(text)}
+    return {x.lower() for x in _NAME.findall(text)}, set(text.lower().split())
 
 
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, excluded, container]."""
+    """Collects lines: [text, tags, link characters, excluded, container, named regions]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # tag, whether it starts an excluded region
+        # tag, whether it starts an excluded region, whether it starts a named one
+        self.open: list[tuple[str, bool, bool]] = []
         self.excluded = 0
         self.links = 0
         self.inside: list[int] = []  # numbers of the open containers
-        self.containers = 0
+        self.parents = [0]  # the container around each one
+        self.named: list[int] = []  # numbers of the open named regions
+        self.whole: list[bool] = []  # for each named region, whether a whole name is the word
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -72,7 +82,7 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             inside = self.inside[-1] if self.inside else 0
-            self.lines.append([text, self.tags, self.linked, self.excluded > 0, inside])
+            self.lines.append([text, self.tags, self.linked, self.excluded > 0, inside, tuple(self.named)])
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -85,18 +95,20 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             self._close_open(tag)
-        out = tag in BOILERPLATE or (
-            tag not in ("html", "body", *CONTAINERS) and bool(names(attrs) & WORDS)
-        )
-        out = out or (tag == "header" and not self.inside)
-        if out and not self.excluded:
+        out = tag in BOILERPLATE or (tag == "header" and not self.inside)
+        words, whole = names(attrs)
+        named = not out and tag not in ("html", "body", *CONTAINERS) and bool(words & WORDS)
+        if (out or named) and not self.excluded:
             self.end_line()
         self.excluded += out
+        if named:
+            self.named.append(len(self.whole))
+            self.whole.append(bool(whole & WORDS))
         self.links += tag == "a"
         if tag in CONTAINERS:
-            self.containers += 1
-            self.inside.append(self.containers)
-        self.open.append((tag, out))
+            self.parents.append(self.inside[-1] if self.inside else 0)
+            self.inside.append(len(self.parents) - 1)
+        self.open.append((tag, out, named))
 
     def _close_open(self, tag: str) -> None:
         """A new item ends an open one of its kind in the same parent."""
@@ -122,10 +134,12 @@ class Lines(HTMLParser):
                 return  # a stray end tag closes nothing outside its region
 
     def _pop(self, i: int) -> None:
-        for tag, out in self.open[i:]:
-            if out and self.excluded == 1:
+        for tag, out, named in self.open[i:]:
+            if (out and self.excluded == 1) or (named and not self.excluded):
                 self.end_line()
             self.excluded -= out
+            if named:
+                self.named.pop()
             self.links -= tag == "a"
             if tag in CONTAINERS:
                 self.inside.pop()
@@ -145,6 +159,38 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel)[reach : reach + len(x)] / weight
 
 
+def smoothed_ratios(ratio: np.ndarray, out: np.ndarray, inside: np.ndarray, sigma: float) -> np.ndarray:
+    """Ratios smoothed within each stretch of lines of one region; zero where ``out``."""
+    smoothed = np.zeros(len(ratio))
+    edges = np.flatnonzero(np.r_[True, (out[1:] != out[:-1]) | (inside[1:] != inside[:-1]), True])
+    for a, b in zip(edges[:-1], edges[1:]):
+        if not out[a]:
+            smoothed[a:b] = smooth(ratio[a:b], sigma)
+    return smoothed
+
+
+def left_out(parser: Lines, ratio: np.ndarray, length: np.ndarray, sigma: float) -> np.ndarray:
+    """Which lines are boilerplate, by their tags or by the names of their regions."""
+    lines = parser.lines
+    out = np.array([x[3] for x in lines])
+    if not parser.whole:
+        return out
+    inside = np.array([x[4] for x in lines])
+    smoothed = smoothed_ratios(np.where(out, 0.0, ratio), out, inside, sigma)
+    above = np.where(~out & (smoothed >= min(smoothed.std(), smoothed.mean())), length, 0.0)
+    total, contained = above.sum(), above[inside > 0].sum()
+    held, own = np.zeros(len(parser.whole)), np.zeros(len(parser.whole))
+    for x, mass in zip(lines, above):
+        for region in x[5]:
+            held[region] += mass
+            own[region] += mass if x[4] else 0
+    article = (held > 0) & (
+        (held == total)
+        | (~np.array(parser.whole) & (held > 0.5 * total) & (contained - own < 0.25 * total))
+    )
+    return out | np.array([not all(article[region] for region in x[5]) for x in lines])
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks in page order, one per line; empty if there is none."""
     parser = Lines()
@@ -157,23 +203,27 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     length = np.array([len(x[0]) for x in lines], dtype=float)
     tags = np.array([x[1] for x in lines], dtype=float)
     linked = np.minimum(length, [x[2] for x in lines])
-    out = np.array([x[3] for x in lines])
     inside = np.array([x[4] for x in lines])
-    ratio = np.where(out, 0.0, (length - linked) / np.maximum(1, tags + linked / 10))
-    smoothed = np.zeros(len(lines))
-    edges = np.flatnonzero(np.r_[True, (out[1:] != out[:-1]) | (inside[1:] != inside[:-1]), True])
-    for a, b in zip(edges[:-1], edges[1:]):
-        if not out[a]:
-            smoothed[a:b] = smooth(ratio[a:b], sigma)
+    ratio = (length - linked) / np.maximum(1, tags + linked / 10)
+    out = left_out(parser, ratio, length, sigma)
+    ratio = np.where(out, 0.0, ratio)
+    smoothed = smoothed_ratios(ratio, out, inside, sigma)
     chosen = ~out & (smoothed >= min(smoothed.std(), smoothed.mean()))
     mass = np.bincount(inside, weights=np.where(chosen, length, 0))
     named = mass[1:].sum()
+    mostly_links = linked > 0.5 * length
     if named and named >= mass[0]:  # containers hold the article: take those regions whole
-        rich = np.flatnonzero(mass >= 0.2 * mass[1:].max())
-        chosen = ~out & np.isin(inside, rich[rich > 0])
+        of = [np.bincount(inside, np.where(out, 0, x), len(parser.parents)) for x in (length, linked)]
+        rich = (of[0] > 0) & (of[1] <= 0.5 * of[0])
+        rich[0] = False
+        around = np.zeros(len(rich), dtype=bool)
+        for c in range(len(rich) - 1, 0, -1):  # inner containers have higher numbers
+            if rich[c] or around[c]:
+                around[parser.parents[c]] = True
+        around[0] = False
+        chosen = ~out & (rich[inside] | (around[inside] & ~mostly_links))
     elif chosen.any():  # the region from the first to the last chosen line
         span = np.arange(len(lines))
-        mostly_links = linked > 0.5 * length
         within = (span >= span[chosen][0]) & (span <= span[chosen][-1])
         heading = smoothed > 0  # short lines between chosen ones belong to them
         chosen = ~out & within & heading & ~mostly_links

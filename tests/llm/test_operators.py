@@ -278,6 +278,36 @@ def test_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("<nav>x</nav>") == ""
 
 
+LONG = [f"Paragraph {i} of the article goes on for a good many words about its matter." for i in range(12)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_lines_around_an_article_and_short_articles_are_kept():
+    page = f"<main><h1>Title</h1><p>A lead.</p><article>{paragraphs(LONG)}</article></main>"
+    assert html_extract.main_text(page) == "\n".join(["Title", "A lead.", *LONG])
+    page = f"<article>{paragraphs(LONG)}</article><article><h2>Short</h2>{paragraphs(LONG[:1])}</article>"
+    links = "<article><a href='x'>Another page to read</a></article>"
+    assert html_extract.main_text(page + links) == "\n".join([*LONG, "Short", LONG[0]])
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "article-header", "with-footer", "widget"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_word_in_a_name_does_not_take_the_article(name, tag):
+    side = "<div class='sidebar'><p>About this site</p></div>"
+    page = f"<body><div class='{name}'><{tag}>{paragraphs(LONG)}</{tag}>{side}</div><footer>foot</footer>"
+    assert html_extract.main_text(page) == "\n".join(LONG)
+
+
+def test_long_comments_stay_out():
+    notes = paragraphs(f"Comment {i}: {t}" for i, t in enumerate(LONG * 2))
+    for name in ("comments", "comments-area"):
+        page = f"<article>{paragraphs(LONG)}</article><div class='{name}'>{notes}</div>"
+        assert html_extract.main_text(page) == "\n".join(LONG)
+
+
 # --- neighbours ------------------------------------------------------------------------------------
 
 
