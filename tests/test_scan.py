@@ -1,17 +1,19 @@
 """Golden rows, random texts against the restated rules, and the mask modes."""
 
+import pathlib
 import random
 import re
 import time
 
 import brute
 import pytest
-from conftest import ROOT
 from pyspark.sql import functions as F
 
 from maskwell.functions.detectors import BY_NAME, matches
 from maskwell.operators import scan as S
 
+ROOT = pathlib.Path(__file__).resolve().parent.parent
+
 GOLDEN = [
     (name, source.replace("⏎", "\n"), want.replace("⏎", "\n"))
     for name, source, want in re.findall(
