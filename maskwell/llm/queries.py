@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm import (
     ann,
+    centroids,
     exact_dedup,
     html_extract,
     language_id,
@@ -18,6 +19,8 @@ from maskwell.llm import (
     pitman_yor,
     prob_minhash,
     segmentation,
+    simhash,
+    spelling,
     toxicity,
 )
 from maskwell.llm.common import fold, stage
@@ -115,6 +118,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = stage(spelling.vocabulary(_table(spark, folder, "documents")))
+    return spelling.variants(words)
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -133,6 +149,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_lm_score,
         op9_pieces,
         op10_line_dedup,
+        op11_spelling,
+        op12_simhash,
+        op13_centroids,
         pipeline,
     )
     return {f.__name__: f for f in named}
