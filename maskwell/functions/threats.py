@@ -17,7 +17,6 @@ from maskwell.functions.text import SPACE as S
 from maskwell.functions.text import WORD, contains_any, fold_case, let
 
 FLAGS = "(?ius)"
-KEPT_PER_PATTERN = 3
 
 
 @dataclass(frozen=True)
@@ -87,30 +86,33 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")
 THREAT_TYPES = tuple(THREATS)
 
 
-def _found(p: ThreatPattern, text: Column, folded: Column) -> Column:
+def _found(p: ThreatPattern, text: Column, folded: Column, kept: int | None) -> Column:
     hits = F.regexp_extract_all(text, F.lit(FLAGS + p.pattern), F.lit(p.group))
     if "|" in p.pattern and p.pattern.endswith(".*+"):
         hits = F.filter(hits, lambda h: h != "")
     nothing = F.array().cast("array<string>")
-    return F.when(contains_any(folded, p.needs), F.slice(hits, 1, KEPT_PER_PATTERN)).otherwise(
-        nothing
-    )
+    if kept is not None:
+        hits = F.slice(hits, 1, kept)
+    return F.when(contains_any(folded, p.needs), hits).otherwise(nothing)
 
 
-def threat_details(text: Column, folded: Column) -> Column:
+def threat_details(text: Column, folded: Column, kept: int | None = None) -> Column:
     """Map of threat type to its reported values; types without any are absent."""
     pairs = []
     for name, patterns in THREATS.items():
-        pairs += [F.lit(name), F.concat(*[_found(p, text, folded) for p in patterns])]
+        pairs += [F.lit(name), F.concat(*[_found(p, text, folded, kept) for p in patterns])]
     return F.map_filter(F.create_map(*pairs), lambda k, v: F.size(v) > 0)
 
 
-def malicious_content(text: Column, extension: Column) -> Column:
-    """Struct of ``safe``, ``threats`` and ``details``; images are always safe."""
+def malicious_content(text: Column, extension: Column, kept: int | None = None) -> Column:
+    """Struct of ``safe``, ``threats`` and ``details``; images are always safe.
+
+    All hits are reported, or the first ``kept`` of each pattern.
+    """
     nothing = F.create_map().cast("map<string,array<string>>")
 
     def scan(t: Column) -> Column:
-        return let(fold_case(t), lambda folded: threat_details(t, folded))
+        return let(fold_case(t), lambda folded: threat_details(t, folded, kept))
 
     details = F.when(
         extension.isin(*IMAGE_EXTENSIONS) | text.isNull(), nothing

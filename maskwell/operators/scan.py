@@ -1,17 +1,19 @@
 """Detection and masking of text columns.
 
-Everything here is a projection: no shuffle, no Python worker, one pass over the rows.
-A scan is one Column whose steps are bound to lambda variables, added by an explode of one
-item. So the optimizer neither copies the steps into each other nor repeats the scan in a
-filter on its result, and each pattern runs once per text.
+A scan works on an array of texts: one text, the cells of a row or record, the pages of a
+document. Detection is a projection in the JVM, in which each pattern runs once per text. It
+is added by an explode of one item, so the optimizer neither copies it nor repeats it in a
+filter on its result. Rows with a detection, and no others, then go to an Arrow function
+that puts the masks in. Its time is near linear in text and detections together, and it is
+the same for every text, short or long, alone or in an array. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,20 @@ from maskwell.functions.detectors import (
     Signals,
     matches,
 )
-from maskwell.functions.folding import replace_in_order
-from maskwell.functions.text import computed_once, is_blank, let, replace_first
+from maskwell.functions.folding import (
+    mask_spans,
+    replace_by_last,
+    replace_every,
+    replace_in_order,
+)
+from maskwell.functions.text import STRIP_CHARS, computed_once, let
 from maskwell.schemas import DETECTIONS
 
 TOKEN_PREFIX = "PII_TOKEN_"
 REDACTED = "[REDACTED]"
-# Characters from which on a text is masked by ``scan_long``.
-LONG_TEXT = 200_000
+# Columns that a scan needs on its way.
+_TEXTS, _FIRST, _LAST = "__texts", "__first_masked", "__masked"
+_FOUND, _MORE = "__found", "__found_later"
 
 
 def no_detections() -> Column:
@@ -76,88 +84,94 @@ def pick(types: Iterable[str] | None, among: Sequence[Detector] = STRUCTURED) ->
     return [d for d in among if d.name in set(types)]
 
 
-def apply_masks(text: Column, detections: Column) -> Column:
-    """Apply the detections one after the other to the text as masked so far.
+# --- masking -------------------------------------------------------------------------------
+
+
+def _replacer(replace: Callable[[str, list[str], list[str]], str]):
+    """An Arrow function over (texts, values of each text, masks of each text)."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, values: pa.Array, masks: pa.Array) -> pa.Array:
+        out: list[list[str | None] | None] = [None] * len(texts)
+        for i in range(len(texts)):
+            if texts[i].is_valid:
+                rows = zip(texts[i].as_py(), values[i].as_py(), masks[i].as_py())
+                out[i] = [t if t is None or not v else replace(t, v, m) for t, v, m in rows]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run
+
+
+_HOW = {"first": replace_in_order, "every": replace_every, "by last": replace_by_last}
+
+
+@lru_cache(maxsize=16)
+def _function(session: SparkSession, how: str):
+    return _replacer(_HOW[how])
+
+
+def _replaced(
+    df: DataFrame, texts: Column, values: Column, masks: Column, how: str = "first"
+) -> Column:
+    """``texts`` with each value replaced; rows without values never leave the JVM."""
+    replace = _function(df.sparkSession, how)
+    any_hit = F.exists(values, lambda v: F.size(v) > 0)
+    done = replace(F.when(any_hit, texts), F.when(any_hit, values), F.when(any_hit, masks))
+    return F.coalesce(done, texts)
+
+
+def _apply_masks(df: DataFrame, texts: Column, found: Column) -> Column:
+    """Apply the detections of each text, one after the other, to the text as masked so far.
 
     Each one replaces the first place where its original value still stands. That place may
     lie before the match, and a value that an earlier mask has changed is not found again.
     """
-    return F.aggregate(
-        detections,
-        text,
-        lambda done, d: replace_first(done, d["original_value"], d["masked_value"]),
-    )
+    values = F.transform(found, lambda d: d["original_value"])
+    return _replaced(df, texts, values, F.transform(found, lambda d: d["masked_value"]))
 
 
-def _detect_and_mask(
-    signals: Signals, detectors: Sequence[Detector], method: str | None = None
-) -> Column:
-    """Struct of ``detections`` and ``masked_text``."""
-    return let(
-        detect(signals, detectors, method),
-        lambda found: F.struct(
-            found.alias("detections"), apply_masks(signals.text, found).alias("masked_text")
-        ),
-    )
+def _hits(texts: Column, detectors: Sequence[Detector], method: str | None = None) -> Column:
+    """The detections of each text of an array."""
 
+    def one(t: Column) -> Column:
+        return let(Signals.compute(t), lambda sig: detect(Signals.read(t, sig), detectors, method))
 
-def _one_step(
-    text: Column, detectors: Sequence[Detector], method: str | None = None
-) -> Column:
-    return let(
-        text,
-        lambda t: let(
-            Signals.compute(t),
-            lambda sig: _detect_and_mask(Signals.read(t, sig), detectors, method),
-        ),
-    )
+    return F.transform(texts, one)
 
 
-def full_scan(text: Column) -> Column:
+@lru_cache(maxsize=64)
+def _built(session: SparkSession, kind: str, source: str) -> Column:
+    """Detection in a named column, built once per session: building takes about a second."""
+    return _hits(F.col(source), STRUCTURED if kind == "structured" else CONTEXTUAL)
+
+
+def _scan_texts(df: DataFrame) -> DataFrame:
     """Fixed formats first, then names and addresses in what the first step has masked.
 
-    Gives a struct of ``detections`` and ``masked_text`` for any string Column.
+    Adds, for the array of texts in ``_TEXTS``, the masked texts and the detections of each.
     """
+    spark = df.sparkSession
+    first = computed_once(df, _FOUND, _built(spark, "structured", _TEXTS))
+    first = first.withColumn(_FIRST, _apply_masks(df, F.col(_TEXTS), F.col(_FOUND)))
+    second = computed_once(first, _MORE, _built(spark, "contextual", _FIRST))
+    return second.withColumn(_LAST, _apply_masks(df, F.col(_FIRST), F.col(_MORE)))
 
-    def combine(first: Column, second: Column) -> Column:
-        return F.struct(
-            F.concat(first["detections"], second["detections"]).alias("detections"),
-            second["masked_text"].alias("masked_text"),
-        )
-
-    def both_steps(t: Column, sig: Column) -> Column:
-        return let(
-            _detect_and_mask(Signals.read(t, sig), STRUCTURED),
-            lambda first: let(
-                _detect_and_mask(Signals.read(first["masked_text"], sig), CONTEXTUAL),
-                lambda second: combine(first, second),
-            ),
-        )
 
-    return let(text, lambda t: let(Signals.compute(t), lambda sig: both_steps(t, sig)))
+_BOTH = (_FOUND, _MORE)
 
 
-@lru_cache(maxsize=256)
-def _built(session: SparkSession, kind: str, *columns: str) -> Column:
-    """The scan of named columns, built once per session: building takes about a second."""
-    source = F.col(columns[0])
-    if kind == "cells":
-        return F.transform(F.array(*columns), mask_cell)
-    if kind == "full":
-        return full_scan(source)
-    if kind == "structured":
-        return _one_step(source, STRUCTURED)
-    if kind == "contextual":
-        return _one_step(source, CONTEXTUAL)
-    detectors = {"structured hits": STRUCTURED, "contextual hits": CONTEXTUAL}[kind]
-    return let(Signals.compute(source), lambda sig: detect(Signals.read(source, sig), detectors))
+def _all_found() -> Column:
+    return F.zip_with(*_BOTH, lambda a, b: F.concat(a, b))
 
 
-def _with_scan(df: DataFrame, scanned: Column) -> DataFrame:
-    return computed_once(df, "_scan", scanned).select(
+def _one_text(df: DataFrame, text: str, found: Callable[[DataFrame], Column]) -> DataFrame:
+    """Add ``detections`` and ``masked_text`` of a single step over a text column."""
+    rows = computed_once(df.withColumn(_TEXTS, F.array(text)), _FOUND, found(df))
+    masked = _apply_masks(df, F.col(_TEXTS), F.col(_FOUND))
+    return rows.withColumn(_LAST, masked).select(
         *df.columns,
-        F.col("_scan.detections").alias("detections"),
-        F.col("_scan.masked_text").alias("masked_text"),
+        F.get(_FOUND, F.lit(0)).alias("detections"),
+        F.get(_LAST, F.lit(0)).alias("masked_text"),
     )
 
 
@@ -169,65 +183,187 @@ def scan_structured(
 ) -> DataFrame:
     """Add ``detections`` and ``masked_text`` for the fixed-format types only."""
     if types is None and method is None:
-        return _with_scan(df, _built(df.sparkSession, "structured", text))
-    return _with_scan(df, _one_step(F.col(text), pick(types), method))
+        return _one_text(df, text, lambda df: _built(df.sparkSession, "structured", _TEXTS))
+    return _one_text(df, text, lambda df: _hits(F.col(_TEXTS), pick(types), method))
 
 
 def scan_with(df: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:
     """``scan_structured`` with detectors of one's own, in the given order."""
-    return _with_scan(df, _one_step(F.col(text), detectors))
+    return _one_text(df, text, lambda df: _hits(F.col(_TEXTS), detectors))
+
+
+def scan_with_maskers(
+    df: DataFrame,
+    detectors: Sequence[Detector],
+    maskers: Mapping[str, Callable[[str], str]],
+    text: str = "text",
+) -> DataFrame:
+    """``scan_with`` where the masks of some types come from Python functions.
+
+    A function runs once for each distinct value of a batch; rows without a value of these
+    types stay in the JVM. A function that fails on a value gives the fixed word. This is
+    slower than a mask that is a Column.
+    """
+
+    @F.arrow_udf("array<string>")
+    def masked(types: pa.Array, values: pa.Array, masks: pa.Array) -> pa.Array:
+        known: dict[tuple[str, str], str] = {}
+
+        def one(kind: str, value: str, mask: str) -> str:
+            if kind not in maskers:
+                return mask
+            if (kind, value) not in known:
+                try:
+                    known[kind, value] = maskers[kind](value)
+                except Exception:  # noqa: BLE001 - whatever a user's function raises
+                    known[kind, value] = REDACTED
+            return known[kind, value]
+
+        rows = zip(types.to_pylist(), values.to_pylist(), masks.to_pylist())
+        out = [None if t is None else [one(*x) for x in zip(t, v, m)] for t, v, m in rows]
+        return pa.array(out, pa.list_(pa.string()))
+
+    rows = computed_once(df.withColumn(_TEXTS, F.array(text)), _FOUND, _hits(F.col(_TEXTS), detectors))
+    found = F.get(_FOUND, F.lit(0))
+    theirs = F.exists(found, lambda d: d["pii_type"].isin(*maskers))
+    fields = [F.when(theirs, found[c]) for c in ("pii_type", "original_value", "masked_value")]
+    new = F.zip_with(found, masked(*fields), lambda d, m: d.withField("masked_value", m))
+    rows = rows.withColumn(_MORE, F.array(F.when(theirs, new).otherwise(found)))
+    rows = rows.withColumn(_LAST, _apply_masks(df, F.col(_TEXTS), F.col(_MORE)))
+    return rows.select(
+        *df.columns,
+        F.get(_MORE, F.lit(0)).alias("detections"),
+        F.get(_LAST, F.lit(0)).alias("masked_text"),
+    )
 
 
 def scan_contextual(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` for names and addresses only."""
-    return _with_scan(df, _built(df.sparkSession, "contextual", text))
+    return _one_text(df, text, lambda df: _built(df.sparkSession, "contextual", _TEXTS))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detections`` and ``masked_text`` of the whole scan."""
-    return _with_scan(df, _built(df.sparkSession, "full", text))
-
-
-def _replace_in_order():
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                None if t is None else replace_in_order(t, v, m)
-                for t, v, m in zip(texts, values, masks)
-            ],
-            dtype=object,
-        )
-
-    return run
+    return _scan_texts(df.withColumn(_TEXTS, F.array(text))).select(
+        *df.columns,
+        F.get(_all_found(), F.lit(0)).alias("detections"),
+        F.get(_LAST, F.lit(0)).alias("masked_text"),
+    )
 
 
-def scan_long(df: DataFrame, text: str = "text") -> DataFrame:
-    """``scan`` for long texts that may hold very many detections.
+def scan_array(df: DataFrame, texts: str, found: str = "detections") -> DataFrame:
+    """Mask an array of texts in place; each text is scanned by itself.
 
-    Detection is the same. Only the masking goes through a pandas function, whose cost does
-    not grow with the product of text length and number of detections.
+    Adds ``found``, the detections of all texts in order. Blank texts hold none and stay as
+    they are; a null text stays null, and a null array has no detections.
     """
-    mask = _replace_in_order()
+    done = _scan_texts(df.withColumn(_TEXTS, F.col(texts)))
+    flat = F.coalesce(F.flatten(_all_found()), no_detections())
+    masked = [F.col(_LAST).alias(c) if c == texts else F.col(c) for c in df.columns]
+    return done.select(*masked, flat.alias(found))
+
+
+# --- masking by place --------------------------------------------------------------------------
+
+SPANNED = (
+    "struct<masked_text:string,detections:array<struct<pii_type:string,original_value:string,"
+    "masked_value:string,detection_method:string,confidence:double,start:int,end:int>>>"
+)
+_MATCHES = "array<struct<number:int,gap:int,size:int,value:string,mask:string>>"
+
 
-    def step(rows: DataFrame, source: str, kind: str, found: str, masked: str) -> DataFrame:
-        hits = _built(df.sparkSession, kind, source)
-        values, masks = F.col(f"{found}.original_value"), F.col(f"{found}.masked_value")
-        return computed_once(rows, found, hits).withColumn(
-            masked, mask(F.col(source), values, masks)
+def _placed(d: Detector, number: int, signals: Signals) -> Column:
+    """Matches of one detector with the characters between them; a value that is no
+    detection is null."""
+    pattern = F.lit(d.pattern)
+    parts = F.struct(
+        F.regexp_extract_all(signals.text, pattern, F.lit(0)).alias("whole"),
+        F.regexp_extract_all(signals.text, pattern, F.lit(d.group)).alias("value"),
+        F.split(signals.text, pattern, -1).alias("between"),
+    )
+
+    def value_of(m: Column) -> Column:
+        m = F.rtrim(m, F.lit(STRIP_CHARS)) if d.trim else m
+        return F.when((m != "") & (F.length(m) > (d.longer_than or 0)), m)
+
+    def item(p: Column, i: Column, whole: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("number"),
+            F.length(F.get(p["between"], i)).alias("gap"),
+            F.length(whole).alias("size"),
+            value.alias("value"),
+            d.mask(value).alias("mask"),
+        )
+
+    def items(p: Column) -> Column:
+        return F.transform(
+            p["whole"], lambda m, i: let(value_of(F.get(p["value"], i)), lambda v: item(p, i, m, v))
         )
 
-    first = step(df, text, "structured hits", "_found", "_first")
-    second = step(first, "_first", "contextual hits", "_more", "masked_text")
-    found = F.concat("_found", "_more").alias("detections")
-    return second.select(*df.columns, found, "masked_text")
+    return F.when(d.gate(signals), let(parts, items)).otherwise(F.array().cast(_MATCHES))
+
+
+@lru_cache(maxsize=16)
+def _all_placed(session: SparkSession, text: str) -> Column:
+    def search(t: Column, sig: Column) -> Column:
+        signals = Signals.read(t, sig)
+        found = [_placed(d, i, signals) for i, d in enumerate(STRUCTURED + CONTEXTUAL)]
+        return F.concat(*found)
+
+    return let(F.col(text), lambda t: let(Signals.compute(t), lambda sig: search(t, sig)))
+
+
+@lru_cache(maxsize=4)
+def _span_masker(session: SparkSession):
+    about = [(d.name, d.method, d.confidence) for d in STRUCTURED + CONTEXTUAL]
+
+    @F.arrow_udf(SPANNED)
+    def run(texts: pa.Array, matches: pa.Array) -> pa.Array:
+        return pa.array([mask_spans(t, m, about) for t, m in zip(texts.to_pylist(), matches.to_pylist())], _SPAN_ARROW)
+
+    return run
+
+
+_SPAN_ARROW = pa.struct(
+    [
+        ("masked_text", pa.string()),
+        (
+            "detections",
+            pa.list_(
+                pa.struct(
+                    [
+                        ("pii_type", pa.string()),
+                        ("original_value", pa.string()),
+                        ("masked_value", pa.string()),
+                        ("detection_method", pa.string()),
+                        ("confidence", pa.float64()),
+                        ("start", pa.int32()),
+                        ("end", pa.int32()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
 
 
-def scan_any_length(df: DataFrame, text: str = "text", limit: int = LONG_TEXT) -> DataFrame:
-    """``scan`` for texts of one length and ``scan_long`` for those beyond it."""
-    size = F.coalesce(F.length(text), F.lit(0))
-    return scan(df.filter(size <= limit), text).unionByName(
-        scan_long(df.filter(size > limit), text)
+def scan_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``detections`` and ``masked_text`` by the places of all detections in the text.
+
+    All detectors look at the text as given. Of detections that overlap the longest stays,
+    then the first in registry order, then in text order. Each that stays is replaced where
+    it stands; what others held beyond it is covered with X, so no detected value stays in
+    clear. ``detections`` are those that stay, by place, with ``start`` and ``end``.
+    """
+    rows = computed_once(df, _FOUND, _all_placed(df.sparkSession, text))
+    any_hit = F.exists(_FOUND, lambda m: m["value"].isNotNull())
+    done = _span_masker(df.sparkSession)(F.when(any_hit, F.col(text)), F.when(any_hit, F.col(_FOUND)))
+    rows = rows.withColumn(_LAST, done)
+    nothing = F.array().cast(SPANNED.split("detections:", 1)[1][:-1])
+    return rows.select(
+        *df.columns,
+        F.coalesce(F.col(_LAST)["detections"], nothing).alias("detections"),
+        F.coalesce(F.col(_LAST)["masked_text"], F.col(text)).alias("masked_text"),
     )
 
 
@@ -247,58 +383,38 @@ def summarize(detections: Column) -> Column:
     return let(detections["pii_type"], count_in)
 
 
-def with_tokens(masked_text: Column, detections: Column) -> Column:
-    """Replace each masked value by the token of the last detection that has it.
-
-    The i-th detection owns the token number i. Masked values are replaced in the order in
-    which they first appear, each of them everywhere in the text.
-    """
-
-    def rewrite(masked: Column) -> Column:
-        def put_token(done: Column, value: Column) -> Column:
-            last = F.size(masked) - F.array_position(F.reverse(masked), value) + 1
-            return F.replace(done, value, F.concat(F.lit(TOKEN_PREFIX), last.cast("string")))
-
-        return F.aggregate(F.array_distinct(masked), masked_text, put_token)
-
-    return let(detections["masked_value"], rewrite)
-
-
 def token_of(position: Column) -> Column:
     """Token of the detection at a zero-based position."""
     return F.concat(F.lit(TOKEN_PREFIX), (position + 1).cast("string"))
 
 
-def fully_redacted(masked_text: Column, detections: Column) -> Column:
-    """Replace every masked value, wherever it stands, by one fixed word."""
-    return F.aggregate(
-        detections, masked_text, lambda done, d: F.replace(done, d["masked_value"], F.lit(REDACTED))
-    )
-
-
-def redact_values(detections: Column) -> Column:
-    """The detections with their masked value overwritten by the fixed word."""
-    return F.transform(detections, lambda d: d.withField("masked_value", F.lit(REDACTED)))
-
-
-MODES = {
-    "partial": lambda text, found: text,
-    "token": with_tokens,
-    "redact": fully_redacted,
-}
+MODES = ("partial", "token", "redact")
 
 
 def rewrite(df: DataFrame, mode: str) -> DataFrame:
-    """Turn the output of ``scan`` into the chosen mask mode."""
-    out = df.withColumn("masked_text", MODES[mode](F.col("masked_text"), F.col("detections")))
+    """Turn the output of ``scan`` into the chosen mask mode.
+
+    token: the i-th detection owns the token number i. Masked values are replaced in the
+    order in which they first appear, each of them everywhere in the text, by the token of
+    the last detection that has it. redact: every masked value, wherever it stands, becomes
+    one fixed word, and so do the masked values of the detections.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "partial":
+        return df
+    values = F.col("detections.masked_value")
     if mode == "redact":
-        out = out.withColumn("detections", redact_values(F.col("detections")))
-    if mode == "token":
-        out = out.withColumn(
-            "detections",
-            F.transform("detections", lambda d, i: d.withField("token", token_of(i))),
-        )
-    return out
+        words = F.transform(values, lambda v: F.lit(REDACTED))
+        change = lambda d, i: d.withField("masked_value", F.lit(REDACTED))
+    else:
+        words = F.transform(values, lambda v, i: token_of(i))
+        change = lambda d, i: d.withField("token", token_of(i))
+    how = {"redact": "every", "token": "by last"}[mode]
+    texts = _replaced(df, F.array("masked_text"), F.array(values), F.array(words), how)
+    return df.withColumns(
+        {"masked_text": F.get(texts, F.lit(0)), "detections": F.transform("detections", change)}
+    )
 
 
 def stats(detections: Column) -> list[Column]:
@@ -333,33 +449,13 @@ def explode_detections(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def mask_cell(text: Column) -> Column:
-    """``full_scan`` of one table cell; blank cells are passed through unscanned."""
-    untouched = F.struct(no_detections().alias("detections"), text.alias("masked_text"))
-    return F.when(text.isNull() | is_blank(text), untouched).otherwise(full_scan(text))
-
-
 def mask_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mask the given string columns cell by cell.
 
     Adds ``detections``: those of all cells of the row, left to right. The cells are scanned
     as one array, so the plan does not grow with the number of columns.
     """
-    done = computed_once(df, "_cells", _built(df.sparkSession, "cells", *columns))
-    masked = {c: F.col("_cells")[i]["masked_text"] for i, c in enumerate(columns)}
-    return (
-        done.withColumn("detections", F.flatten("_cells.detections"))
-        .withColumns(masked)
-        .drop("_cells")
-    )
-
-
-def mask_cells(cells: Column) -> Column:
-    """Mask an array of cells; struct of the masked ``cells`` and all ``detections``."""
-    return let(
-        F.transform(cells, mask_cell),
-        lambda done: F.struct(
-            done["masked_text"].alias("cells"),
-            F.flatten(done["detections"]).alias("detections"),
-        ),
-    )
+    done = _scan_texts(df.withColumn(_TEXTS, F.array(*columns)))
+    masked = {c: F.get(_LAST, F.lit(i)) for i, c in enumerate(columns)}
+    found = F.flatten(_all_found()).alias("detections")
+    return done.select(*[masked.get(c, F.col(c)).alias(c) for c in df.columns], found)

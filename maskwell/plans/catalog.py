@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import keys, rules
+from maskwell.functions.detectors import BY_NAME, Detector
 from maskwell.functions.threats import malicious_content
 from maskwell.operators import audit as audits
 from maskwell.operators import files as filing
@@ -15,7 +16,7 @@ from maskwell.operators import lifecycle, scan, threat_scan, words
 from maskwell.plans import fixtures as fx
 from maskwell.plans import sanitize as upload
 from maskwell.plans import templates as tp
-from maskwell.session import shared_folder, spread
+from maskwell.session import shared_folder, spread, stage
 from maskwell.sources import readers, writers
 from maskwell.streaming import jobs
 
@@ -91,6 +92,34 @@ def doc_pii_summary(spark, sf):
     return rows.filter("pii_type IS NOT NULL")
 
 
+def span_documents(spark, sf):
+    """Documents masked by place: no overlaps, no detected value left in clear."""
+    return scan.scan_spans(fx.documents(spark, sf)).select(
+        "doc_id", "masked_text", F.size("detections").cast("bigint").alias("n_kept")
+    )
+
+
+def span_templated(spark, sf):
+    texts = tp.templated(spark, sf, tp.MIXED_TEMPLATE, tp.CONTEXT_TEMPLATE, tp.OVERLAP_TEMPLATE)
+    done = scan.scan_spans(texts)
+    return scan.explode_detections(done, "doc_id", "masked_text")
+
+
+def python_masks(spark, sf):
+    """An own detector, and masks by Python functions, one of which fails on some values."""
+    badge = Detector("badge", r"B-[0-9]+", lambda m: F.lit("B-*"), lambda s: s.has_digit)
+    texts = tp.templated(spark, sf, "badge B-{k} of a{k}@corp.org, or B-{k}{k} and B-{k}")
+
+    def backwards(value):
+        if value.endswith("3"):
+            raise ValueError(value)
+        return value[::-1]
+
+    maskers = {"badge": backwards}
+    done = scan.scan_with_maskers(texts, [badge, BY_NAME["email"]], maskers)
+    return scan.explode_detections(done, "doc_id", "masked_text")
+
+
 def scan_stats(spark, sf):
     texts = tp.templated(spark, sf, tp.MIXED_TEMPLATE, tp.CONTEXT_TEMPLATE, "nothing {k}")
     return scan.scan(texts).select("doc_id", *scan.stats(F.col("detections")))
@@ -133,11 +162,11 @@ def csv_lines(spark, sf):
         "c_name", F.lit(""), tp.as_column(tp.MIXED_TEMPLATE, F.col("c_custkey")),
         F.concat(F.lit('say "'), "c_mktsegment", F.lit('"')),
     )
-    done = spread(rows, "c_custkey").withColumn("_done", scan.mask_cells(cells))
+    done = scan.scan_array(spread(rows, "c_custkey").withColumn("cells", cells), "cells")
     return done.select(
         "c_custkey",
-        keys.csv_line(F.col("_done.cells")).alias("line"),
-        F.size("_done.detections").cast("bigint").alias("pii_count"),
+        keys.csv_line(F.col("cells")).alias("line"),
+        F.size("detections").cast("bigint").alias("pii_count"),
     )
 
 
@@ -149,7 +178,7 @@ def csv_files(spark, sf):
     rows.select("c_custkey", "c_name", contact.alias("contact")).write.option(
         "escape", '"'
     ).csv(f"{folder}/customers")
-    done = upload.sanitize_csv(spark, f"{folder}/customers", width=3)
+    done = upload.sanitize_csv(spark, f"{folder}/customers")
     return done.select(
         F.get("cells", F.lit(0)).cast("bigint").alias("c_custkey"),
         "line",
@@ -157,20 +186,63 @@ def csv_files(spark, sf):
     )
 
 
-def _units(spark, sf, kind, cut):
-    docs = fx.documents(spark, sf)
-    return docs.select(
-        "doc_id", F.lit(kind).alias("unit_kind"),
-        F.posexplode(F.split("text", cut)).alias("unit_id", "text"),
+def csv_ragged_files(spark, sf):
+    """Documents as CSV text: quoted line breaks, records of all widths, blank records.
+
+    The files are split in blocks of 64 KB, so that records lie across blocks.
+    """
+    folder = shared_folder(spark)
+    docs = readers.read_table(spark, sf, "documents", "doc_id", "text")
+    key = F.col("doc_id")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat(
+        key.cast("string"), F.lit(","), quoted,
+        F.repeat(F.lit(",x"), (key % 4).cast("int")), F.repeat(F.lit(","), (key % 3).cast("int")),
+        F.when(key % 5 == 0, "\n").otherwise(""),
     )
+    docs.select(record.alias("value")).write.text(f"{folder}/ragged")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        done = stage(readers.read_csv_cells(spark, f"{folder}/ragged"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return done.select(
+        F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"),
+        F.size("cells").cast("bigint").alias("n_cells"),
+        F.md5(F.get("cells", F.lit(1))).alias("text_md5"),
+        F.get("cells", F.size("cells") - 1).alias("last"),
+    )
+
+
+def _parts(spark, sf, cut):
+    """Texts as arrays of units, in the row of their document."""
+    return fx.documents(spark, sf).select("doc_id", F.split("text", cut).alias("units"))
+
+
+def _units(spark, sf, kind, cut):
+    return _parts(spark, sf, cut).select(
+        "doc_id", F.lit(kind).alias("unit_kind"), F.posexplode("units").alias("unit_id", "text")
+    )
+
+
+def _rebuilt(spark, sf, kind, cut):
+    done = scan.scan_array(_parts(spark, sf, cut), "units")
+    return done.select(
+        "doc_id",
+        upload.joined_units(F.col("units"), kind).alias("masked_text"),
+        F.size("detections").cast("bigint").alias("pii_count"),
+    )
 
 
 def page_units(spark, sf):
     """Texts cut into pages at line ends, scanned page by page and joined again."""
-    scanned = upload.sanitize_units(_units(spark, sf, "page", "\n"))
-    return upload.join_units(scanned).select(
-        "doc_id", "masked_text", F.col("pii_count").cast("bigint").alias("pii_count")
-    )
+    return _rebuilt(spark, sf, "page", "\n")
+
+
+def run_rebuild(spark, sf):
+    """Texts cut into runs at sentence ends, scanned run by run and joined again."""
+    return _rebuilt(spark, sf, "run", "[.]")
 
 
 def run_units(spark, sf):
@@ -251,8 +323,8 @@ def escaped_pages(spark, sf):
 # --- hostile content -------------------------------------------------------------------------
 
 
-def _threat_rows(df: DataFrame, key: str, text: str, extension) -> DataFrame:
-    found = malicious_content(F.col(text), extension)
+def _threat_rows(df: DataFrame, key: str, text: str, extension, kept=None) -> DataFrame:
+    found = malicious_content(F.col(text), extension, kept)
     details = df.select(key, F.explode_outer(found["details"]).alias("threat", "found"))
     return scan.explode_with_position(details, F.col("found"), "value", key, "threat")
 
@@ -262,6 +334,12 @@ def threats_pages(spark, sf):
     return _threat_rows(pages, "page_id", "html", F.lit("html"))
 
 
+def threats_first_three(spark, sf):
+    """At most three hits of each pattern, as a short report shows them."""
+    pages = spread(readers.read_table(spark, sf, "pages", "page_id", "html"), "page_id")
+    return _threat_rows(pages, "page_id", "html", F.lit("html"), kept=3)
+
+
 def threats_documents(spark, sf):
     docs = fx.documents(spark, sf).withColumn("source", F.lit("txt"))
     found = malicious_content(F.col("text"), F.col("source"))
@@ -628,6 +706,87 @@ def sanitize_uploads(spark, sf):
     )
 
 
+def _mixed_batch(spark, sf) -> DataFrame:
+    """The batch as files of seven types; pages and runs come as units, images as words."""
+    batch = _upload_batch(spark, sf)
+    key = F.col("file_id")
+    kind = F.element_at(F.array(*map(F.lit, fx.FILE_TYPES)), (key % len(fx.FILE_TYPES) + 1).cast("int"))
+    text = F.decode("content", "utf-8")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    hit = tp.as_column(tp.MIXED_TEMPLATE, key)
+    csv = F.concat(F.lit("id,"), quoted, F.lit("\r\n\r\n"), key, F.lit(',"'), hit, F.lit('",,\n'))
+    json = F.concat(F.lit('{"v": "'), hit, F.lit('"}'))
+    return (
+        batch.withColumn("file_type", kind)
+        .withColumn("filename", F.concat(F.lit("mixed "), "file_id", F.lit("."), "file_type"))
+        .withColumn(
+            "units",
+            F.when(F.col("file_type") == "pdf", F.split(text, "\n"))
+            .when(F.col("file_type") == "docx", F.split(text, "[.]")),
+        )
+        .withColumn(
+            "content",
+            F.when(F.col("file_type") == "csv", F.encode(csv, "utf-8"))
+            .when(F.col("file_type") == "json", F.encode(json, "utf-8"))
+            .otherwise(F.col("content")),
+        )
+    )
+
+
+def sanitize_mixed_types(spark, sf):
+    """One run over text, JSON, SQL, CSV, page, run and image files; what each file became."""
+    out = shared_folder(spark)
+    files = _mixed_batch(spark, sf)
+    images = files.filter("file_type = 'png'").select("file_id")
+    lines = F.concat(F.lit("scan of\n"), tp.as_column(tp.MIXED_TEMPLATE, F.col("file_id")))
+    words = fx.words_of(images.select(F.col("file_id").alias("doc_id"), lines.alias("text")), "doc_id")
+    tables = upload.sanitize(files, out, "mixed", fx.as_of(), words.withColumnRenamed("doc_id", "file_id"))
+    boxes = _counted(spark.read.parquet(f"{out}/boxes"), "n_boxes")
+    return (
+        tables["files"].join(tables["sanitized"].drop("run_id", "file_type"), "file_id")
+        .join(boxes, "file_id", "left")
+        .select(
+            "file_id", "file_type", "masked_text", "pii_count",
+            F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"),
+        )
+    )
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
+
+
+def _table_counts(tables) -> DataFrame:
+    """Rows per table and file; events of refused files count as of no file."""
+    out = None
+    for name in upload.TABLES:
+        owner = rules.or_value(F.col("file_id").cast("string"), "no file")
+        part = tables[name].groupBy(owner.alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(name).alias("table_name"), "file_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _two_runs(spark, sf, out):
+    batch = _upload_batch(spark, sf)
+    for run, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        tables = upload.sanitize(batch.filter(F.col("file_id") % 2 == rest), out, run, fx.as_of())
+    return tables
+
+
+def upload_rerun(spark, sf):
+    """Rows per table and file after two runs, one of them repeated."""
+    return _table_counts(_two_runs(spark, sf, shared_folder(spark)))
+
+
+def delete_rewrite(spark, sf):
+    """Rows per table and file after the deletion of files of one of two runs."""
+    out = shared_folder(spark)
+    files = _two_runs(spark, sf, out)["files"]
+    upload.delete_files(spark, out, files.filter("file_id % 14 = 4"))
+    return _table_counts(upload.open_tables(spark, out))
+
+
 def upload_events(spark, sf):
     """The audit rows the upload job leaves, with the fields of their details."""
     out = shared_folder(spark)
@@ -727,10 +886,11 @@ def queries() -> dict:
     plain = (
         detect_documents, mask_documents, scan_documents, pii_type_counts, scan_pages,
         names_addresses, scan_mixed, token_mode, redact_mode, token_documents, redact_documents,
-        doc_pii_summary, scan_stats, mask_customers, mask_conversations, mask_event_props,
-        csv_lines, csv_files, page_units, run_units, file_previews, before_and_after,
+        doc_pii_summary, span_documents, span_templated, python_masks, scan_stats, mask_customers, mask_conversations, mask_event_props,
+        csv_lines, csv_files, csv_ragged_files, page_units, run_units, run_rebuild, file_previews, before_and_after,
         display_paragraphs, masked_detections_table, display_events,
-        normalised_keys, escaped_pages, threats_pages, threats_documents, threats_templated,
+        normalised_keys, escaped_pages, threats_pages, threats_first_three, threats_documents,
+        threats_templated,
         file_hashes, quarantine_split, blocked_uploads, all_users, active_user, file_by_id,
         detections_of_file, saved_detections, files_enriched, files_of_user, admin_files,
         user_files_table, file_search, file_bands, uploads_in_range, file_type_options,
@@ -739,7 +899,8 @@ def queries() -> dict:
         audit_top, audit_filtered, audit_action_options, user_activity, login_timeline,
         recent_activity, user_action_counts, user_action_counts_all, failed_logins,
         failed_login_rows, inactivity_timeouts, sessions, siem_events, raw_audit_export,
-        files_current, cascade_delete, sanitize_uploads, upload_events, word_lines,
+        files_current, cascade_delete, sanitize_uploads, sanitize_mixed_types, upload_rerun,
+        delete_rewrite, upload_events, word_lines,
         image_detections, word_boxes, word_boxes_templated, stream_scan, stream_failed_logins,
         stream_sessions,
     )

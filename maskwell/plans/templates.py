@@ -53,6 +53,11 @@ MIXED_TEMPLATE = (
     "Mr. Rahul Sharma of 12, Park Lane block {k2}\nPAN ABCDE{k4}F ABCDE{k4}F pin 38{k4}"
 )
 
+OVERLAP_TEMPLATE = (
+    "4012 {k4} 7890 1234 on 12/05/2024 and 05/2024; a{k}.b@okaxis.com pays ann.{k}@upi; "
+    "Dr. Asha Rao 98765{k5} at {k4}, Mill Street 212-555-{k4} and 4821 {k4} 6625 4821 {k4} 6625"
+)
+
 THREAT_TEMPLATES = (
     "clean text number {k}",
     "x'; DROP TABLE users{k}; drop  database d; truncate table t; Drop table u",

@@ -38,6 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/maskwell-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate results, wherever Spark keeps its files."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a small, several times used result to the checkpoint directory."""
     context = df.sparkSession.sparkContext

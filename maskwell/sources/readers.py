@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwell.functions.csv_text import ends_inside, records
 from maskwell.functions.keys import (
     BUCKETS,
     ORIGINALS,
@@ -15,9 +19,7 @@ from maskwell.functions.keys import (
     route,
 )
 from maskwell.functions.text import decode_utf8, is_blank
-
-# No real cell holds this, so that no cell with text is taken for null.
-_NO_CELL = "\x00\x00no cell\x00\x00"
+from maskwell.session import pin
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -66,62 +68,175 @@ def text_units(files: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def with_text(units: DataFrame) -> DataFrame:
-    """Units that hold more than white space; the others have nothing to scan."""
-    return units.filter(~is_blank(F.col("text")))
+# --- CSV ---------------------------------------------------------------------------------------
 
+#: Blocks that start inside quotes are joined by broadcast up to so many; beyond, by sort.
+FEW_BLOCKS = 200_000
 
-def _widest_line(spark: SparkSession, path: str) -> int:
-    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    return (spark.read.text(path).agg(F.max(commas)).first()[0] or 0) + 1
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in file order: path, file (a hash of it), block, line_ord, line."""
+    return (
+        spark.read.option("lineSep", "\n").text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.xxhash64("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line_ord"),
+            F.make_valid_utf8("value").alias("line"),
+        )
+    )
 
 
-def read_csv_cells(
-    spark: SparkSession, path: str, width: int | None = None, multi_line: bool = True
-) -> DataFrame:
-    """CSV records as arrays of cells, header included: path, block, row_ord, cells.
+def _block_quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, whether quotes are open at its end, for both states at its start."""
+    last, ends = None, (False, True)
 
-    ``width`` is the largest number of cells in a record. Left out, it is taken from the
-    widest line. A record with more cells stops the job, so that none is lost unseen.
-    ``multi_line=False`` lets Spark split large files, for data without line breaks inside
-    cells. Empty lines are not records.
+    def row() -> pa.RecordBatch:
+        names = ["file", "block", "from_outside", "from_inside"]
+        return pa.record_batch([pa.array([x]) for x in (*last, *ends)], names=names)
+
+    for batch in batches:
+        for file, block, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != last:
+                if last is not None:
+                    yield row()
+                last, ends = (file, block), (False, True)
+            if line is not None:
+                ends = tuple(ends_inside(line, e) for e in ends)
+    if last is not None:
+        yield row()
+
+
+def _block_starts(lines: DataFrame) -> DataFrame:
+    """file, block, starts_inside, ends_inside: the quotes' state, carried from block to block.
+
+    A block either sets the state, flips it or leaves it; the state at its end is what the
+    last block that sets it gives, flipped as often as blocks since then say.
     """
-    width = width or _widest_line(spark, path)
-    names = [f"c{i}" for i in range(width)]
-    columns = [*names, "beyond", "record"]
-    rows = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in columns]))
-        .option("header", "false")
-        .option("multiLine", str(multi_line).lower())
-        .option("escape", '"')
-        .option("nullValue", _NO_CELL)
-        .option("emptyValue", "")
-        .option("maxColumns", str(width + 2))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "record")
-        .csv(path)
-    )
-    too_wide = F.raise_error(F.lit(f"a CSV record has more than {width} cells in {path}"))
-    return rows.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_ord"),
-        F.when(F.col("beyond").isNull(), _cells(names)).otherwise(too_wide).alias("cells"),
+    quoted = F.when(F.contains("line", F.lit('"')), F.col("line"))
+    blocks = lines.select("file", "block", quoted).mapInArrow(
+        _block_quotes, "file bigint, block bigint, from_outside boolean, from_inside boolean"
     )
+    sets = F.col("from_outside") == F.col("from_inside")
+    flips = F.col("from_outside") & ~F.col("from_inside")
+    order = Window.partitionBy("file").orderBy("block")
+    run = Window.partitionBy("file", "run")
+    so_far = run.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.coalesce(F.max(F.when(sets, F.col("from_outside").cast("int"))).over(run), F.lit(0))
+    inside = (first + F.sum(flips.cast("int")).over(so_far)) % 2 == 1
+    return (
+        blocks.withColumn("run", F.sum(sets.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("ends_inside", inside)
+        .select(
+            "file", "block",
+            F.lag("ends_inside", 1, False).over(order).alias("starts_inside"), "ends_inside",
+        )
+    )
 
 
-def _cells(names: list[str]) -> Column:
-    """The cells of one record, however many it has.
+_PARSED = "path string, block bigint, row_ord bigint, piece int, cells array<string>, raw string"
+_WHOLE, _HEAD, _TAIL = 0, 1, 2
 
-    A blank cell without quotes and a missing one are both null. Missing ones can only come
-    last, so the blanks among the last nulls are as many as the commas the record ends with.
+
+def _parse_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each block; what a block's ends cut off comes out as raw text.
+
+    A head goes on with a record of an earlier block, a tail begins one that ends later.
     """
-    given = F.array(*names)
-    last = F.array_max(F.transform(given, lambda c, i: F.when(c.isNotNull(), i + 1)))
-    record = F.rtrim(F.col("record"), F.lit("\r\n"))
-    blanks = F.length(record) - F.length(F.rtrim(record, F.lit(",")))
-    count = F.when(last.isNull(), blanks + 1).otherwise(last + blanks)
-    return F.slice(F.transform(given, lambda c: F.coalesce(c, F.lit(""))), F.lit(1), count)
+    rows: list[tuple] = []
+    last, inside, head, open_, ord_ = None, False, False, [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string())
+        names = ["path", "block", "row_ord", "piece", "cells", "raw"]
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        rows.clear()
+        return out
+
+    def close() -> None:
+        nonlocal open_, ord_
+        if open_:
+            rows.append((*last, ord_, _HEAD if head else _TAIL, None, "\n".join(open_)))
+            open_, ord_ = [], ord_ + 1
+
+    for batch in batches:
+        for path, block, line, starts_inside in zip(*(c.to_pylist() for c in batch.columns)):
+            if (path, block) != last:
+                close()
+                last, inside, ord_ = (path, block), starts_inside, 0
+                head = inside
+            was, inside = inside, ends_inside(line, inside)
+            if not was and not inside and '"' not in line and "\r" not in line[:-1]:
+                line = line.removesuffix("\r")
+                rows.append((*last, ord_, _WHOLE, line.split(",") if line else [], None))
+                ord_ += 1
+            else:
+                open_.append(line)
+                if not inside:
+                    if head:
+                        close()
+                        head = False
+                    else:
+                        for cells in records("\n".join(open_) + "\n"):
+                            rows.append((*last, ord_, _WHOLE, cells, None))
+                            ord_ += 1
+                        open_ = []
+            if len(rows) >= 10_000:
+                yield batch_of()
+    close()
+    if rows:
+        yield batch_of()
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _records(raw: pa.Array) -> pa.Array:
+    return pa.array([records(t + "\n") for t in raw.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """CSV records as arrays of cells, header included: path, block, row_ord, cells.
+
+    Records have any number of cells, an empty line none; see ``functions.csv_text`` for the
+    rules. Large files are split. A first pass tells for each block of a file whether it
+    would leave quotes open; carried on from block to block, that tells where records begin.
+    Blocks are then parsed apart, and records that lie in several blocks are put together. A
+    single record has to fit in a task. Order within a file is (block, row_ord).
+    """
+    lines = _csv_lines(spark, path)
+    blocks = pin(_block_starts(lines))
+    counts = blocks.agg(
+        F.count_if("starts_inside").alias("starts"), F.count_if("ends_inside").alias("ends")
+    ).first()
+    columns = ("path", "block", "line", "starts_inside")
+    if counts.starts:
+        few = counts.starts <= FEW_BLOCKS
+        inside = blocks.filter("starts_inside").drop("ends_inside")
+        inside = F.broadcast(inside) if few else inside.hint("merge")
+        joined = lines.join(inside, ["file", "block"], "left")
+        if not few:
+            joined = joined.sortWithinPartitions("file", "block", "line_ord")
+        known = F.coalesce("starts_inside", F.lit(False)).alias("starts_inside")
+        lines = joined.select(*columns[:-1], known)
+    else:
+        lines = lines.withColumn("starts_inside", F.lit(False)).select(*columns)
+    parsed = lines.mapInArrow(_parse_lines, _PARSED)
+    whole = parsed.filter(F.col("piece") == _WHOLE).select("path", "block", "row_ord", "cells")
+    if not counts.ends:
+        return whole
+    so_far = (
+        Window.partitionBy("path").orderBy("block", "piece")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    begins = F.when(F.col("piece") == _TAIL, F.struct("block", "row_ord"))
+    cut = parsed.filter(F.col("piece") != _WHOLE).withColumn(
+        "owner", F.last(begins, ignorenulls=True).over(so_far)
+    )
+    parts = F.array_sort(F.collect_list(F.struct("block", "piece", "raw")))
+    joined = cut.groupBy("path", "owner").agg(F.array_join(parts["raw"], "\n").alias("raw"))
+    return whole.unionByName(
+        joined.select("path", "owner.*", F.explode(_records("raw")).alias("cells"))
+    )
 
 
 def display_text(text: Column, file_type: Column, max_chars: int = 3000) -> Column:

@@ -31,7 +31,7 @@ def scan_stream(files: DataFrame, as_of: Column, partitions: int | None = None)
     """
     if partitions:
         files = files.repartition(partitions)
-    return check_and_scan(files, as_of).drop("content", "text")
+    return check_and_scan(files, as_of).drop("content", "route")
 
 
 def failed_login_windows(audit: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -80,9 +80,8 @@ ADDRESS = (
     r"|Lane|Marg|Chowk|Layout|Extension|Society|Residency|Apartments?|Towers?|Floor|Flat"
     r"|Plot)[^.\n]{0,60}"
 )
-# --- end of fixed values --------------------------------------------------------------
-
 IMAGE_TYPES = ("phone", "us_phone", "email", "credit_card", "cvv")
+# --- end of fixed values --------------------------------------------------------------
 
 
 def quoted(text: str) -> str:
@@ -136,6 +135,46 @@ def contextual(text: str) -> str:
     return f"flatten([{names},\n  {addresses}])"
 
 
+def spans(text: str) -> str:
+    """List of {a, b, n, d}: place, number of the type, and the detection.
+
+    A match's place is what lies before it: the pieces between matches and the matches.
+    """
+    parts = []
+    kinds = [(n, p, m, "regex", 1.0) for n, (p, m) in STRUCTURED.items()]
+    kinds += [("name", None, "'[NAME REDACTED]'", "pattern", 0.9)]
+    kinds += [("address", None, r"regexp_extract(m, '^\d+') || ', ***, ***, ***'", "pattern", 0.85)]
+    for number, (name, pattern, mask, method, confidence) in enumerate(kinds):
+        value, good = "m", "true"
+        pattern = {
+            "phone": r"(?:\+91[\s\-]?)?\d+", "account_number": r"\b\d{9,18}\b",
+            "name": NAME, "address": "(?i)" + ADDRESS,
+        }.get(name) or "(?i)" + pattern
+        if name == "phone":
+            good = r"regexp_full_match(m, '(?:\+91[\s\-]?)?[6-9]\d{9}')"
+        if name == "account_number":
+            good = r"NOT regexp_full_match(m, '[6-9]\d{9}')"
+        if name == "address":
+            value, good = r"regexp_replace(m, '\s+$', '')", r"length(regexp_replace(m, '\s+$', '')) > 10"
+        found = f"regexp_extract_all({text}, {quoted(pattern)})"
+        between = f"string_split_regex({text}, {quoted(pattern)})"
+        place = (
+            f"(list_sum(list_transform({between}[1:i], lambda x: length(x)))"
+            f" + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0))::BIGINT"
+        )
+        one = (
+            f"{{'a': {place}, 'b': {place} + length({value}), 'n': {number}::BIGINT, 'd': {{'pii_type':"
+            f" '{name}', 'original_value': {value}, 'masked_value': {mask},"
+            f" 'detection_method': '{method}', 'confidence': {confidence}::DOUBLE}}}}"
+        )
+        parts.append(
+            f"list_transform(list_filter(list_transform({found}, lambda m, i: {{'m': m, 'i': i}}),"
+            f" lambda e: {good.replace('(m,', '(e.m,')}), lambda e:"
+            f" list_transform([e.m], lambda m: list_transform([e.i], lambda i: {one})[1])[1])"
+        )
+    return "flatten([" + ",\n  ".join(parts) + "])"
+
+
 def masked(text: str, detections: str) -> str:
     """Apply detections in order, each to the first occurrence of its value."""
     step = (

@@ -132,16 +132,72 @@ def _csv_files() -> str:
 def _units(cut: str) -> str:
     return f"""SELECT doc_id, (i - 1)::INTEGER AS unit_id, parts[i] AS text FROM (
   SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
-    SELECT doc_id, string_split(text, {cut}) AS parts FROM documents))
-  WHERE NOT regexp_full_match(parts[i], '[\\s\\p{{Z}}]*')"""
+    SELECT doc_id, string_split(text, {cut}) AS parts FROM documents))"""
 
 
-def _page_units() -> str:
-    return f"""WITH {fr.scan_ctes(_units('chr(10)'), 'doc_id, unit_id')}
-SELECT doc_id, string_agg(masked_text, chr(10) || chr(10) ORDER BY unit_id) AS masked_text,
+def _rebuilt(cut: str, between: str) -> str:
+    return f"""WITH {fr.scan_ctes(_units(cut), 'doc_id, unit_id')}
+SELECT doc_id, string_agg(masked_text, {between} ORDER BY unit_id) AS masked_text,
   sum(len(detections))::BIGINT AS pii_count FROM scanned GROUP BY doc_id"""
 
 
+def _csv_ragged() -> str:
+    return """SELECT doc_id, (2 + doc_id % 4 + doc_id % 3)::BIGINT AS n_cells, md5(text) AS text_md5,
+  CASE WHEN doc_id % 3 > 0 THEN '' WHEN doc_id % 4 > 0 THEN 'x' ELSE text END AS last
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+UNION ALL SELECT NULL, 0, NULL, NULL FROM documents WHERE doc_id % 5 = 0"""
+
+
+# --- masking by place ---------------------------------------------------------------------------
+
+# A detection stays if no longer one that stays overlaps it; each character is then what its
+# detection makes of it.
+_SPANS = f"""
+src AS ({{source}}),
+spanned AS (SELECT doc_id, text, {{spans}} AS spans FROM src),
+kept AS (SELECT *, list_sort(list_reduce(list_prepend([]::STRUCT(a BIGINT, b BIGINT, n BIGINT,
+    d STRUCT(pii_type VARCHAR, original_value VARCHAR, masked_value VARCHAR,
+      detection_method VARCHAR, confidence DOUBLE))[],
+    list_transform(list_sort(list_transform(spans,
+      lambda s: {{{{'w': s.a - s.b, 'n': s.n, 'a': s.a, 's': s}}}})), lambda e: [e.s])),
+    lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: k.a < e[1].b AND e[1].a < k.b)) = 0
+      THEN list_concat(acc, e) ELSE acc END)) AS kept FROM spanned),
+masked AS (SELECT doc_id, kept, CASE WHEN len(spans) = 0 THEN text ELSE array_to_string(
+    list_transform(range(0, length(text)), lambda i:
+      CASE WHEN len(list_filter(kept, lambda k: k.a <= i AND i < k.b)) > 0
+        THEN coalesce(list_filter(kept, lambda k: k.a = i)[1].d.masked_value, '')
+      WHEN len(list_filter(spans, lambda k: k.a <= i AND i < k.b)) > 0 THEN 'X'
+      ELSE substr(text, i + 1, 1) END), '') END AS masked_text FROM kept)"""
+
+
+def _span_documents() -> str:
+    ctes = _SPANS.format(source="SELECT doc_id, text FROM documents", spans=fr.spans("text"))
+    return f"WITH {ctes} SELECT doc_id, masked_text, len(kept)::BIGINT AS n_kept FROM masked"
+
+
+def _span_templated() -> str:
+    source = templated(*MIXED, tp.OVERLAP_TEMPLATE)
+    ctes = _SPANS.format(source=source, spans=fr.spans("text"))
+    return f"""WITH {ctes} SELECT doc_id, masked_text, (i - 1)::INTEGER AS ord,
+  kept[i].d.pii_type AS pii_type, kept[i].d.original_value AS original_value,
+  kept[i].d.masked_value AS masked_value, kept[i].d.detection_method AS detection_method,
+  kept[i].d.confidence AS confidence, kept[i].a::INTEGER AS start, kept[i].b::INTEGER AS "end"
+FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM masked)"""
+
+
+def _python_masks() -> str:
+    badge = (
+        "list_transform(regexp_extract_all(text, 'B-[0-9]+'), lambda m: {'pii_type': 'badge',"
+        " 'original_value': m, 'masked_value': CASE WHEN m LIKE '%3' THEN '[REDACTED]'"
+        " ELSE reverse(m) END, 'detection_method': 'regex', 'confidence': 1.0::DOUBLE})"
+    )
+    source = templated("badge B-{k} of a{k}@corp.org, or B-{k}{k} and B-{k}")
+    return f"""WITH src AS ({source}),
+seen AS (SELECT *, list_concat({badge}, {fr.structured('text', ('email',))}) AS detections FROM src),
+scanned AS (SELECT *, {fr.masked('text', 'detections')} AS masked_text FROM seen)
+{fr.exploded('scanned', 'doc_id, masked_text')}"""
+
+
 def _run_units() -> str:
     return f"""WITH {fr.scan_ctes(_units("'.'"), 'doc_id, unit_id')}
 {fr.exploded('scanned', 'doc_id, unit_id')}"""
@@ -183,23 +239,23 @@ THREATS = {
 }
 
 
-def _threat_list(name: str, text: str) -> str:
+def _threat_list(name: str, text: str, kept: str = "") -> str:
     parts = [
-        f"regexp_extract_all({text}, {fr.quoted('(?is)' + p)}, {g})[1:3]" for p, g in THREATS[name]
+        f"regexp_extract_all({text}, {fr.quoted('(?is)' + p)}, {g}){kept}" for p, g in THREATS[name]
     ]
     return "flatten([" + ", ".join(parts) + "])"
 
 
-def _threat_rows(source: str, key: str) -> str:
+def _threat_rows(source: str, key: str, kept: str = "") -> str:
     """``found(key, threat, list)`` over a source with ``text``."""
     return " UNION ALL ".join(
-        f"SELECT {key}, '{name}' AS threat, {_threat_list(name, 'text')} AS list FROM ({source})"
+        f"SELECT {key}, '{name}' AS threat, {_threat_list(name, 'text', kept)} AS list FROM ({source})"
         for name in THREATS
     )
 
 
-def _threat_values(source: str, key: str) -> str:
-    return f"""WITH found AS ({_threat_rows(source, key)})
+def _threat_values(source: str, key: str, kept: str = "") -> str:
+    return f"""WITH found AS ({_threat_rows(source, key, kept)})
 SELECT {key}, threat, (i - 1)::INTEGER AS ord, list[i] AS value FROM (
   SELECT *, unnest(range(1, len(list) + 1)) AS i FROM found)"""
 
@@ -370,6 +426,58 @@ def _next_start(after: str, prefix: str = "") -> str:
     )
 
 
+def _mixed_types() -> str:
+    """Units of each file by its type; images have words instead of text."""
+    hit = text_sql(tp.MIXED_TEMPLATE, "doc_id")
+    scanned = fr.scan_ctes(
+        f"""SELECT doc_id, ft, 0 AS c, content AS text FROM safe_files WHERE ft IN ('sql', 'txt', 'json')
+UNION ALL SELECT doc_id, ft, u, parts[u] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS u FROM (
+  SELECT doc_id, ft, string_split(text, CASE ft WHEN 'pdf' THEN chr(10) ELSE '.' END) AS parts
+  FROM safe_files WHERE ft IN ('pdf', 'docx')))
+UNION ALL SELECT doc_id, ft, 1, text FROM safe_files WHERE ft = 'csv'
+UNION ALL SELECT doc_id, ft, 2, {hit} FROM safe_files WHERE ft = 'csv'""",
+        "doc_id, ft, c",
+    )
+    lines = f"SELECT doc_id, 'scan of' || chr(10) || {hit} AS text FROM documents WHERE doc_id % 7 = 6"
+    quote = "'\"' || replace({}, '\"', '\"\"') || '\"'"
+    crlf = "chr(13) || chr(10)"
+    return f"""WITH up AS ({UPLOADS}),
+typed AS (SELECT *, ['pdf','docx','sql','csv','txt','json','png'][doc_id % 7 + 1] AS ft FROM up),
+files AS (SELECT *, CASE ft WHEN 'json' THEN '{{"v": "' || {hit} || '"}}'
+    WHEN 'csv' THEN 'id,' || {quote.format('text')} || {crlf} || {crlf} || doc_id || ',"' || {hit}
+      || '",,' || chr(10) ELSE text END AS content FROM typed),
+found AS ({_threat_rows('SELECT doc_id, content AS text FROM files', 'doc_id')}),
+verdicts AS (SELECT doc_id, bool_and(len(list) = 0) AS safe FROM found GROUP BY doc_id),
+safe_files AS (SELECT f.* FROM files f JOIN verdicts USING (doc_id) WHERE safe OR ft = 'png'),
+{scanned},
+done AS (SELECT doc_id, ft, sum(len(detections))::BIGINT AS n,
+    CASE ft WHEN 'pdf' THEN string_agg(masked_text, chr(10) || chr(10) ORDER BY c)
+      WHEN 'docx' THEN string_agg(masked_text, '' ORDER BY c)
+      WHEN 'csv' THEN 'id,' || {_csv_cell("max(masked_text) FILTER (c = 1)")} || {crlf} || {crlf}
+        || doc_id || ',' || {_csv_cell("max(masked_text) FILTER (c = 2)")} || ',,' || {crlf}
+      ELSE max(masked_text) END AS masked_text FROM scanned GROUP BY doc_id, ft),
+image_hits AS (SELECT doc_id, count(*) AS n FROM (WITH {_words(lines)},{_line_detections()}
+  SELECT doc_id FROM dets) GROUP BY doc_id),
+boxed AS (SELECT doc_id, count(*) AS n_boxes FROM ({_boxes(lines)}) GROUP BY doc_id)
+SELECT s.doc_id AS file_id, s.ft AS file_type, masked_text,
+  coalesce(d.n, h.n, 0)::BIGINT AS pii_count, coalesce(n_boxes, 0)::BIGINT AS n_boxes
+FROM safe_files s LEFT JOIN done d USING (doc_id) LEFT JOIN image_hits h USING (doc_id)
+  LEFT JOIN boxed b USING (doc_id)"""
+
+
+def _table_counts(gone: str) -> str:
+    """Rows per table and file the upload job leaves, without the files in ``gone``."""
+    return f"""WITH {_upload_ctes()},
+kept AS (SELECT doc_id::VARCHAR AS file_id, len(detections) AS n FROM scanned WHERE NOT ({gone}))
+SELECT 'files_log' AS table_name, file_id, 2 AS n FROM kept
+UNION ALL SELECT 'pii_detections', file_id, n FROM kept WHERE n > 0
+UNION ALL SELECT 'audit_logs', file_id, 1 FROM kept
+UNION ALL SELECT 'audit_logs', 'no file', count(*) FROM verdicts WHERE NOT safe HAVING count(*) > 0
+UNION ALL SELECT 'sanitized', file_id, 1 FROM kept
+UNION ALL SELECT 'originals', file_id, 1 FROM kept
+UNION ALL SELECT 'quarantine', doc_id::VARCHAR, 1 FROM verdicts WHERE NOT safe"""
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 CUT = "(SELECT max(ts) FROM events WHERE {}) - INTERVAL 10 MINUTE"
@@ -435,7 +543,12 @@ def oracle_sql() -> dict[str, str]:
             FROM scanned""",
         "csv_lines": _csv_lines(),
         "csv_files": _csv_files(),
-        "page_units": _page_units(),
+        "csv_ragged_files": _csv_ragged(),
+        "page_units": _rebuilt("chr(10)", "chr(10) || chr(10)"),
+        "run_rebuild": _rebuilt("'.'", "''"),
+        "span_documents": _span_documents(),
+        "span_templated": _span_templated(),
+        "python_masks": _python_masks(),
         "run_units": _run_units(),
         "file_previews": """SELECT doc_id, left(text, 1500) AS preview,
             left(text, 3000) AS shown FROM documents""",
@@ -477,6 +590,9 @@ def oracle_sql() -> dict[str, str]:
         "escaped_pages": """SELECT page_id, replace(replace(replace(html, '&', '&amp;'),
             '<', '&lt;'), '>', '&gt;') AS escaped FROM pages""",
         "threats_pages": _threat_values("SELECT page_id, html AS text FROM pages", "page_id"),
+        "threats_first_three": _threat_values(
+            "SELECT page_id, html AS text FROM pages", "page_id", "[1:3]"
+        ),
         "threats_documents": f"""WITH found AS ({_threat_rows('SELECT * FROM documents',
             'doc_id')}) SELECT doc_id, bool_and(len(list) = 0) AS safe,
             count(*) FILTER (len(list) > 0) AS threats FROM found GROUP BY doc_id""",
@@ -622,6 +738,9 @@ def oracle_sql() -> dict[str, str]:
             'originals/' || doc_id || '/up_load_' || doc_id || '.txt' AS original_key,
             'sanitized/' || doc_id || '/sanitized_up_load_' || doc_id || '.txt' AS sanitized_key,
             'done' AS status, len(detections)::BIGINT AS pii_count FROM scanned""",
+        "sanitize_mixed_types": _mixed_types(),
+        "upload_rerun": _table_counts("false"),
+        "delete_rewrite": _table_counts("doc_id % 14 = 4"),
         "upload_events": f"""WITH {_upload_ctes()} SELECT
             'up load ' || v.doc_id || '.txt' AS filename,
             CASE WHEN safe THEN 'upload' ELSE 'blocked_upload' END AS action,

@@ -1,7 +1,3 @@
-import csv
-import io
-
-import brute
 from pyspark.sql import functions as F
 
 from maskwell.functions import keys
@@ -13,43 +9,6 @@ def as_of():
     return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
-def python_csv(text):
-    out, found = [], []
-    for row in csv.reader(io.StringIO(text, newline="")):
-        if not row:
-            continue
-        done = []
-        for cell in row:
-            masked, detections = brute.full(cell)
-            done.append(masked)
-            found += detections
-        line = io.StringIO()
-        csv.writer(line, lineterminator="").writerow(done)
-        out.append(line.getvalue())
-    return out, found
-
-
-def test_csv_cells(spark, tmp_path):
-    text = (
-        'name,mail,"my 9876543210"\n"Mr. Rahul\nSharma",a.bc@d.co,"x, ""y"" 10.0.0.1"\n'
-        'short\n"",blank first,\na,,b\n,,\nx,"",\ny,,""\n1,2,3,4821 7391 6625\n""\n'
-    )
-    (tmp_path / "in.csv").write_text(text, newline="")
-    done = upload.sanitize_csv(spark, str(tmp_path / "in.csv"))
-    rows = done.orderBy("path", "block", "row_ord").collect()
-    lines, found = python_csv(text)
-    assert [r.line for r in rows] == lines
-    assert [d.original_value for r in rows for d in r.detections] == [d[1] for d in found]
-
-
-def test_csv_record_wider_than_told_stops_the_job(spark, tmp_path):
-    import pytest
-
-    (tmp_path / "in.csv").write_text("a,b\n1,2,3\n")
-    with pytest.raises(Exception, match="more than 2 cells"):
-        upload.sanitize_csv(spark, str(tmp_path / "in.csv"), width=2).collect()
-
-
 def test_read_files_and_units(spark, tmp_path):
     (tmp_path / "a b.txt").write_bytes(b"mail a.bc@d.co \xff")
     (tmp_path / "c.JSON").write_bytes(b'{"k": "10.0.0.1"}')
@@ -64,11 +23,11 @@ def test_read_files_and_units(spark, tmp_path):
         "noext": ("noext", "text"),
     }
     units = readers.text_units(files, "filename")
-    assert units.count() == 3 and readers.with_text(units).count() == 2
     masked = {r.doc_id: r.masked_text for r in upload.sanitize_units(units).collect()}
     assert masked == {
         "a b.txt": "mail a.b*@d.co �",
         "c.JSON": '{"k": "10.X.X.X"}',
+        "noext": " \n",
     }
 
 
@@ -131,23 +90,87 @@ def test_upload_job_and_rerun(spark, tmp_path):
     texts = {r.file_id: r.masked_text for r in tables["sanitized"].collect()}
     assert texts[1] == "mail a.b*@d.co and 10.X.X.X" and len(texts) == 4
 
-    gone = tables["files"].filter("file_id = 1")
-    target = str(tmp_path / "kept")
-    upload.rewrite_without(spark, out, target, gone)
-    assert spark.read.parquet(f"{target}/files_log").filter("file_id = 1").count() == 0
-    assert spark.read.parquet(f"{target}/pii_detections").count() == 2
-    assert spark.read.parquet(f"{target}/audit_logs").count() == 5
-    event = upload.delete_events(gone, as_of(), F.lit(9)).first()
+    kept = {r.file_id: (r.original_key, bytes(r.content)) for r in tables["originals"].collect()}
+    assert kept[1] == ("originals/1/a.txt", b"mail a.bc@d.co and 10.0.0.1") and len(kept) == 4
+    assert not (tmp_path / "out" / "staged" / "run_id=r1").exists()
+
+    event = upload.delete_events(tables["files"].filter("file_id = 1"), as_of(), F.lit(9)).first()
     assert (event.action, event.user_id, event.file_id) == ("delete", "9", "1")
     assert event.details == '{"filename":"a.txt"}'
 
 
+def bytes_of(folder):
+    return {p: p.read_bytes() for p in folder.rglob("*.parquet")}
+
+
+def test_delete_touches_only_the_runs_that_hold_the_file(spark, tmp_path):
+    out = tmp_path / "out"
+    upload.sanitize(batch(spark), str(out), "r1", as_of())
+    upload.sanitize(batch(spark).withColumn("file_id", F.col("file_id") + 10), str(out), "r2", as_of())
+    others = {t: bytes_of(out / t / "run_id=r2") for t in upload.TABLES}
+    ids = spark.createDataFrame([(1,), (2,), (99,)], "file_id bigint")
+    for _ in range(2):  # again, as after a failure
+        runs = upload.delete_files(spark, str(out), ids)
+        tables = upload.open_tables(spark, str(out))
+        assert {t: bytes_of(out / t / "run_id=r2") for t in upload.TABLES} == others
+        assert sorted(r.file_id for r in tables["originals"].collect()) == [3, 11, 13]
+        assert sorted(r.file_id for r in tables["files"].collect()) == [3, 11, 13]
+        assert {r.file_id for r in tables["pii_detections"].collect()} == {11}
+        assert sorted(r.file_id for r in tables["quarantine"].collect()) == [12]
+        events = [r.file_id for r in tables["audit_logs"].collect() if r.file_id]
+        assert sorted(events) == ["11", "13", "3"]
+    assert runs == []
+
+
+def test_upload_of_all_kinds(spark, tmp_path):
+    """Text, CSV, pages, runs and words in one run, each put together again."""
+    rows = [
+        (1, "a.txt", b"mail a.bc@d.co", None),
+        (2, "b.csv", b'x,"a.bc@d.co, ""q"""\r\n\r\n4821,7391 6625,\n', None),
+        (3, "c.pdf", b"%PDF", ["page a.bc@d.co", "", None, "10.0.0.1"]),
+        (4, "d.docx", b"PK", ["Mr. Rahul ", " ", "Sharma a.bc@d.co"]),
+        (5, "e.png", b"PNG", None),
+        (6, "f.jpg", b"JPG", None),
+        (7, "g.pdf", b"%PDF", None),
+        (8, "h.csv", b"a,drop table x\n", None),
+    ]
+    schema = "file_id bigint, filename string, content binary, units array<string>"
+    files = spark.createDataFrame(rows, schema).select(
+        "*", keys.extension(F.col("filename")).alias("file_type"),
+        F.lit(7).cast("bigint").alias("uploaded_by"), as_of().alias("upload_time"),
+    )
+    words = [(5, 1, 1, 1, i, w, i * 50, 5, 40, 10) for i, w in enumerate(["mail", "a.bc@d.co", "now"])]
+    words = spark.createDataFrame(
+        words, "file_id bigint, block_num int, par_num int, line_num int, word_ord int, text string,"
+        " left int, top int, width int, height int"
+    )
+    out = str(tmp_path / "out")
+    tables = upload.sanitize(files, out, "r", as_of(), words)
+    texts = {r.file_id: r.masked_text for r in tables["sanitized"].collect()}
+    assert texts == {
+        1: "mail a.b*@d.co",
+        2: 'x,"a.b*@d.co, ""q"""\r\n\r\n4821,7391 6625,\r\n',
+        3: "page a.b*@d.co\n\n\n\n\n\n10.X.X.X",
+        4: "[NAME REDACTED]  Sharma a.b*@d.co",
+        5: None, 6: None, 7: None,
+    }
+    counts = {r.file_id: (r.pii_count, r.pii_summary) for r in tables["files"].collect()}
+    assert counts[5] == (1, {"email": 1}) and counts[6] == (0, {}) and counts[7] == (0, {})
+    assert counts[2] == (1, {"email": 1}) and counts[3][0] == 2 and counts[4][0] == 2
+    methods = {r.file_id: r.detection_method for r in tables["pii_detections"].collect()}
+    assert methods[5] == "regex+ocr" and methods[1] == "regex"
+    assert spark.read.parquet(f"{out}/boxes").select("file_id", "word").collect() == [(5, "a.bc@d.co")]
+    assert {r.file_id for r in tables["quarantine"].collect()} == {8}
+
+
 def test_joined_units_keep_their_order(spark):
     rows = [("d", "page", i, f"page {i} a.bc@d.co") for i in range(12)] + [("e", "page", 0, " ")]
     df = spark.createDataFrame(rows, "doc_id string, unit_kind string, unit_id bigint, text string")
-    (r,) = upload.join_units(upload.sanitize_units(df.repartition(5))).collect()
-    assert r.masked_text == "\n\n".join(f"page {i} a.b*@d.co" for i in range(12))
-    assert r.pii_count == 12
+    done = upload.join_units(upload.sanitize_units(df.repartition(5)))
+    got = {r.doc_id: r for r in done.collect()}
+    assert got["d"].masked_text == "\n\n".join(f"page {i} a.b*@d.co" for i in range(12))
+    assert got["d"].pii_count == 12
+    assert (got["e"].masked_text, got["e"].pii_count) == (" ", 0)
 
 
 def test_open_stored(spark, tmp_path):
@@ -177,25 +200,16 @@ def test_event_defaults(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "y")).first().value == "ann"
 
 
-def test_rerun_and_second_delete_leave_nothing_behind(spark, tmp_path):
+def test_rerun_leaves_nothing_behind(spark, tmp_path):
     """A table that is written again holds the new rows only, also in other value folders."""
-    from maskwell.plans.sanitize import rewrite_without
     from maskwell.sources.writers import write_run
 
-    out, target = f"{tmp_path}/out", f"{tmp_path}/target"
+    out = f"{tmp_path}/out"
     rows = spark.createDataFrame([(1, "email"), (2, "ip")], "file_id bigint, pii_type string")
     write_run(rows, f"{out}/pii_detections", "r1", "pii_type")
     write_run(rows.filter("file_id = 2"), f"{out}/pii_detections", "r1", "pii_type")
     found = spark.read.parquet(f"{out}/pii_detections")
     assert [r["file_id"] for r in found.collect()] == [2]
-    write_run(rows, f"{out}/pii_detections", "r1", "pii_type")
-    for t in ("files_log", "audit_logs", "sanitized", "staged", "quarantine"):
-        write_run(rows.select("file_id"), f"{out}/{t}", "r1")
-    for gone in (3, 1):
-        ids = spark.createDataFrame([(gone,)], "file_id bigint")
-        rewrite_without(spark, out, target, ids)
-    for t in ("files_log", "audit_logs", "sanitized", "staged", "quarantine", "pii_detections"):
-        assert [r["file_id"] for r in spark.read.parquet(f"{target}/{t}").collect()] == [2], t
 
 
 def test_file_names_are_kept(spark, tmp_path):
