@@ -23,6 +23,23 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key held by more than one row in so many is joined by broadcast: there are at most so
+#: many of that kind, however large the table is.
+HOT_ONE_IN = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join with a written ``table`` that has one row a key and its ``count`` in ``rows``.
+
+    Rows of very frequent keys are not shuffled to one task: their few keys go to the rows.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_ONE_IN > total
+    hot = F.broadcast(table.filter(is_hot))
+    few = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(few.join(table.filter(~is_hot), key))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions for explicit range or hash shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,14 +10,14 @@ is later than all registers' first arrivals, so most shingles send a single arri
 Signatures are cut into bands; documents that agree in a whole band are in one bucket.
 Texts with equal word sequences are one class before that. In a bucket every member is
 compared with the bucket's centre, its smallest node. A centre has then met all members and
-leaves the bucket. The others stay while they are of more than one group: each round the
-member with the most links, and some members outside the bucket's largest group (all of them
-in a small bucket, else ``FEW``, twice as many each round), are centres and meet every member
-that is not in their group by then, whether that one is linked already or not. So of any two
-members of a bucket that were never compared, both are in one group (read off two steps of
-links here; what that misses is compared, not dropped). A bucket of n near copies of one
-another costs about n comparisons, one with r members outside its largest group at most r
-times n, and no bucket or partner list is capped.
+leaves the bucket. The others stay while they are of more than one component: each round the
+member with the most links, and some members outside the bucket's largest component (all of
+them in a small bucket, else ``FEW``, twice as many each round), are centres and meet every
+member that is not in their component by then. Components are those of all links found so
+far, and links are kept as a forest, one for each node, so neither comparisons nor links pile
+up inside a family. Of any two members of a bucket that were never compared, both are in one
+component. A bucket of n near copies of one another costs about n comparisons, and no bucket
+or partner list is capped.
 Candidates whose signatures agree in fewer than ``screen`` of the registers are dropped (with
 the default numbers that loses a pair at the limit once in more than a million); the rest is
 verified on the whole texts: the exact probability Jaccard, or the Jaccard of the shingle
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.llm.common import fresh, mix, stage, text_key, whole, words_of
+from maskwell.llm.common import fresh, join_hot, mix, stage, text_key, whole, words_of
 
 SHINGLE = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +48,9 @@ _BANDS, _ROWS = 24, 5
 _ROUND = 20_000
 #: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
 _SHARED_BITS = np.uint64(42)
-#: Centres of a bucket in the third round. In a bucket of so many or fewer members, all outside
-#: its largest group are centres in the second; larger ones take more rounds.
-FEW = 200
+#: Centres of a bucket in the second round, beside its hub; in a bucket of so many or fewer
+#: members all outside its largest component are centres.
+FEW = 32
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -210,21 +210,6 @@ def _checksum(edges: DataFrame) -> tuple:
     return edges.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count(F.lit(1))).first()
 
 
-def _groups(links: DataFrame) -> DataFrame:
-    """node, own, degree: the smallest node at most two links away, and the number of links.
-
-    What shares ``own`` is connected. Not every connected pair shares it, but all neighbours
-    of one node do if none of them has a smaller one elsewhere, and it takes no rounds.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
-    far = both.join(near.select(F.col("a").alias("b"), "near"), "b")
-    # A neighbour's nearest is no larger than the node itself.
-    return far.groupBy(F.col("a").alias("node")).agg(
-        F.min("near").alias("own"), F.count(F.lit(1)).alias("degree")
-    )
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links (a, b) connect it with.
 
@@ -277,7 +262,7 @@ def near_duplicates(
     ).withColumn("node", F.xxhash64("doc_id", "doc_key"))
     signed = stage(given.mapInArrow(_sign(bands, rows), _SIGNED))
     order = F.struct("doc_id", "doc_key", "node")
-    classes = signed.groupBy("words").agg(F.min(order).alias("low"))
+    classes = signed.groupBy("words").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("n"))
     # One representative for each word sequence; only these have buckets.
     reps = stage(
         signed.filter(F.col("signature").isNotNull())
@@ -285,23 +270,19 @@ def near_duplicates(
         .dropDuplicates(["node"])
         .select("node", "signature", "bands")
     )
-    links = stage(_links(given, reps, similarity, screen))
-    roots = components(links)
-    degree = (
-        links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        .groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    )
+    roots, degree = _components_of_buckets(given, reps, similarity, screen)
     named = (
-        classes.select("words", F.col("low.node").alias("rep"))
+        classes.select("words", "n", F.col("low.node").alias("rep"))
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .join(degree.select(F.col("node").alias("rep"), "links"), "rep", "left")
-        .select("words", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("words", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    members = stage(signed.select("doc_id", "doc_key", "node", "words").join(named, "words").drop("words").dropDuplicates(["node"]))
+    rows = signed.select("doc_id", "doc_key", "node", "words")
+    members = stage(join_hot(rows, stage(named), "words", "n").drop("words", "n").dropDuplicates(["node"]))
     groups = members.groupBy("root").agg(
         F.min(order).alias("low"), F.count(F.lit(1)).alias("class_size")
     )
-    return members.join(groups, "root").select(
+    return join_hot(members, stage(groups), "root", "class_size").select(
         "doc_id",
         "doc_key",
         F.col("low.doc_id").alias("class_id"),
@@ -311,8 +292,11 @@ def near_duplicates(
     )
 
 
-def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float) -> DataFrame:
-    """Verified links (a, b) between representatives that join all that are to be linked."""
+def _components_of_buckets(
+    given: DataFrame, reps: DataFrame, similarity: float, screen: float
+) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of linked representatives, and (node, links) of those with any."""
+    spark = reps.sparkSession
     buckets = stage(
         reps.select("node", F.posexplode("bands").alias("band", "key"))
         .select("node", F.xxhash64("band", "key").alias("bucket"))
@@ -324,9 +308,10 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
         )
     )
     texts = given.select("node", "text")
-    known: DataFrame | None = None
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    degree = spark.createDataFrame([], "node bigint, links bigint")
     tested: DataFrame | None = None
-    few = 0  # only one centre in the first round, and in the second of a large bucket
+    few, turn = FEW, 0
     while not left.isEmpty():
         centres = left.filter("chosen").select(
             "bucket", F.col("node").alias("centre"), F.col("own").alias("centre_own")
@@ -354,15 +339,20 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
         )
         tested = close if tested is None else tested.unionByName(close)
         linked = checked.filter("same").select("a", "b")
-        known = linked if known is None else known.unionByName(linked)
-        # Centres have met everyone; the rest goes on where it is of several groups.
-        groups = stage(_groups(known))
+        ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node")))
+        ends = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links")).unionByName(degree)
+        degree = stage(ends.groupBy("node").agg(F.sum("links").alias("links")))
+        # All that is known of links from here on: each node with its root.
+        forest = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stage(components(linked.unionByName(forest)))
+        # Centres have met everyone; the rest goes on where it is of several components.
         rest = stage(
-            left.filter(~F.col("chosen")).select("bucket", "node").join(groups, "node", "left")
-            .select("bucket", "node", F.coalesce("own", "node").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            left.filter(~F.col("chosen")).select("bucket", "node")
+            .join(roots, "node", "left").join(degree, "node", "left")
+            .select("bucket", "node", F.coalesce("root", "node").alias("own"), F.coalesce("links", F.lit(0)).alias("links"))
         )
         parts = rest.groupBy("bucket", "own").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node")).alias("hub")
+            F.count(F.lit(1)).alias("n"), F.max(F.struct("links", "node")).alias("hub")
         )
         sizes = parts.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("groups"),
@@ -371,14 +361,14 @@ def _links(given: DataFrame, reps: DataFrame, similarity: float, screen: float)
             F.max("hub").alias("hub"),
         )
         waiting = F.col("n") - F.col("main.n")
-        number = F.lit(few) if few else F.when(F.col("n") <= FEW, F.col("n")).otherwise(0)
-        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), waiting) < number
+        number = F.when(F.col("n") <= FEW, F.col("n")).otherwise(few)
+        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(turn)), waiting) < number
         chosen = (F.col("node") == F.col("hub.node")) | ((F.col("own") != F.col("main.own")) & drawn)
         left = stage(
             rest.join(sizes.filter("groups > 1"), "bucket").select("bucket", "node", "own", chosen.alias("chosen"))
         )
-        few = max(FEW, 2 * few)
-    return known if known is not None else reps.sparkSession.createDataFrame([], "a bigint, b bigint")
+        few, turn = 2 * few, turn + 1
+    return roots, degree
 
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import partitions, stage, whole
+from maskwell.llm.common import join_hot, partitions, stage, whole
 from maskwell.llm.prob_minhash import components
 
 SHINGLE = 3
@@ -45,10 +45,6 @@ LIMIT = 3
 _CHUNK = 1 << 16
 #: What a probed value costs beside a candidate, in the thresholds' choice.
 _PROBE = 4.0
-#: A fingerprint of more than one row in so many is joined by broadcast: there are at most so
-#: many of that kind, however large the table is.
-HOT_ONE_IN = 1000
-
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -421,20 +417,14 @@ def near_duplicates(
             F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")
         )
     )
-    total = nodes.agg(F.sum("n")).first()[0] or 0
     roots = components(links(nodes, plan(nodes, parts, limit), bucket_rows))
     named = nodes.join(roots, "node", "left").select(
         "node", "low", "n", F.coalesce("root", "node").alias("root")
     )
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     known = stage(named.join(lows, "root").select(F.col("node").alias("fingerprint"), "n", "component_id"))
-    is_hot = F.col("n") * HOT_ONE_IN > total
-    hot = F.broadcast(known.filter(is_hot).drop("n"))
-    few = signed.join(hot, "fingerprint", "left_anti").join(known.filter(~is_hot).drop("n"), "fingerprint")
-    return (
-        signed.join(hot, "fingerprint").unionByName(few).select(
-            "doc_id",
-            F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-            "component_id",
-        )
+    return join_hot(signed, known, "fingerprint", "n").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
     )

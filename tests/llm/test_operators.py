@@ -184,8 +184,10 @@ def test_one_bucket_of_many_groups_meets_every_pair(spark, monkeypatch):
         texts += [" ".join(base), " ".join([*base[:60], "other", *base[61:]])]
     rows = [(i, t, b"same", [1]) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "node bigint, text string, signature binary, bands array<bigint>")
-    links = prob_minhash._links(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
-    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, i + 1) for i in range(0, len(texts), 2)}
+    roots, degree = prob_minhash._components_of_buckets(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
+    pairs = {(r["root"], r["node"]) for r in roots.collect() if r["root"] != r["node"]}
+    assert pairs == {(i, i + 1) for i in range(0, len(texts), 2)}
+    assert {r["node"]: r["links"] for r in degree.collect()} == dict.fromkeys(range(len(texts)), 1)
 
 
 @pytest.mark.parametrize("original", [15, 30])
@@ -204,11 +206,35 @@ def test_edits_of_one_original_meet_it_after_it_is_linked(spark, monkeypatch, or
     assert sum(x >= 0.8 for p, x in like.items() if original not in p) < 45
     rows = [(i, t, b"same", [1]) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "node bigint, text string, signature binary, bands array<bigint>")
-    links = prob_minhash._links(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
-    roots = {r["node"]: r["root"] for r in prob_minhash.components(links).collect()}
+    roots, _ = prob_minhash._components_of_buckets(frame.select("node", "text"), frame.drop("text"), 0.8, 0.0)
+    roots = {r["node"]: r["root"] for r in roots.collect()}
     assert all(roots.get(i, i) == 0 for i in range(31))
 
 
+def test_links_of_one_family_stay_within_a_multiple_of_its_size(spark):
+    """Many edits of one text, most pairs just below the limit, some above it."""
+    rng = random.Random(200)
+    texts = []
+    for k in range(200):
+        words = [f"w{i}" for i in range(300)]
+        for at in rng.sample(range(300), 4):
+            words[at] = f"edit{k}at{at}"
+        texts.append(" ".join(words))
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if prob_minhash.similarity_of(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = prob_minhash.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: find(i) for i in range(len(texts))}
+    assert sum(r["links"] for r in got) / 2 < 5 * len(texts)
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     common, own = rng.integers(1, 2**62, 300), rng.integers(1, 2**62, (2, 40))
