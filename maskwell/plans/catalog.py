@@ -685,9 +685,13 @@ def cascade_delete(spark, sf):
 
 def _upload_batch(spark, sf) -> DataFrame:
     docs = readers.read_table(spark, sf, "documents", "doc_id", "source", "text")
+    return _as_uploads(spread(docs, "doc_id"))
+
+
+def _as_uploads(docs: DataFrame) -> DataFrame:
     hostile = tp.one_of(tp.THREAT_TEMPLATES, F.col("doc_id"))
     text = F.when(F.col("doc_id") % 8 == 0, F.concat("text", hostile)).otherwise(F.col("text"))
-    return spread(docs, "doc_id").select(
+    return docs.select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("up load "), "doc_id", F.lit(".txt")).alias("filename"),
         F.lit("txt").alias("file_type"),
@@ -833,10 +837,13 @@ def word_boxes_templated(spark, sf):
 # --- streams -----------------------------------------------------------------------------------------
 
 
-def _drained(spark, result):
+def _drained(spark, result, rest=None):
+    """All rows of a stream that has ended; ``rest`` gives those it still holds."""
     out = shared_folder(spark)
     query = jobs.drain(result, out)
     query.awaitTermination()
+    if rest is not None:
+        return jobs.close(spark, result, rest(spark, out), out)
     return spark.read.schema(result.schema).parquet(f"{out}/data")
 
 
@@ -859,6 +866,14 @@ def stream_scan(spark, sf):
     )
 
 
+def stream_uploads(spark, sf):
+    """Rows per table and file that the upload job leaves when files arrive as a stream."""
+    out = shared_folder(spark)
+    docs = _stream(spark, sf, "documents").select("doc_id", "source", "text")
+    jobs.sanitize_stream(_as_uploads(docs), out, fx.as_of()).awaitTermination()
+    return _table_counts(upload.open_tables(spark, out))
+
+
 def _audit_stream(spark, sf):
     events = _stream(spark, sf, "events")
     return events.select(
@@ -871,13 +886,15 @@ def _audit_stream(spark, sf):
 
 
 def stream_failed_logins(spark, sf):
-    rows = _drained(spark, jobs.failed_login_windows(_audit_stream(spark, sf)))
+    rows = _drained(
+        spark, jobs.failed_login_windows(_audit_stream(spark, sf)), jobs.open_login_windows
+    )
     zoneless = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     return rows.withColumns(zoneless)
 
 
 def stream_sessions(spark, sf):
-    rows = _drained(spark, jobs.session_stream(_audit_stream(spark, sf)))
+    rows = _drained(spark, jobs.session_stream(_audit_stream(spark, sf)), jobs.open_sessions)
     zoneless = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "last_active")}
     return rows.withColumns(zoneless)
 
@@ -901,8 +918,8 @@ def queries() -> dict:
         failed_login_rows, inactivity_timeouts, sessions, siem_events, raw_audit_export,
         files_current, cascade_delete, sanitize_uploads, sanitize_mixed_types, upload_rerun,
         delete_rewrite, upload_events, word_lines,
-        image_detections, word_boxes, word_boxes_templated, stream_scan, stream_failed_logins,
-        stream_sessions,
+        image_detections, word_boxes, word_boxes_templated, stream_scan, stream_uploads,
+        stream_failed_logins, stream_sessions,
     )
     named = {f"detect_templated_{t}": partial(templated_type, t) for t in tp.TYPE_TEMPLATES}
     return {f.__name__: f for f in plain} | named
