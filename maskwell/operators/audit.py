@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions import rules
-from maskwell.operators.ranking import latest, latest_per_key, look_up
+from maskwell.operators.ranking import latest, latest_per_key, left_join, look_up
 from maskwell.session import pin
 
 # --- fixed values --------------------------------------------------------------------
@@ -32,8 +32,8 @@ def latest_events(
     ``n=None`` means all events, in no order, with ordinary joins.
     """
     if n is None:
-        named = audit.join(users.select("user_id", "username"), "user_id", "left")
-        return named.join(files.select("file_id", "original_filename"), "file_id", "left")
+        named = left_join(audit, users.select("user_id", "username"), "user_id")
+        return left_join(named, files.select("file_id", "original_filename"), "file_id")
     top = pin(latest(audit, n, *_newest()))
     named = look_up(top, users, "user_id", "username")
     return look_up(named, files, "file_id", "original_filename").orderBy(*_newest())

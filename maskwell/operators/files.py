@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import rules
 from maskwell.functions.threats import THREAT_TYPES
-from maskwell.session import pin
 
 
 # --- reads -----------------------------------------------------------------------------
@@ -93,6 +92,18 @@ def search(
     return files
 
 
+def uploads_per_range(files: DataFrame, as_of: Column) -> DataFrame:
+    """Uploads in each of the date ranges, all counted in one pass."""
+    counts = [
+        F.struct(
+            F.lit(name).alias("date_range"),
+            F.count_if(rules.since(F.col("upload_time"), name, as_of)).alias("n"),
+        )
+        for name in rules.DATE_RANGES
+    ]
+    return files.agg(F.array(*counts).alias("ranges")).select(F.inline("ranges"))
+
+
 def options(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Sorted distinct values of a column, without null."""
     return df.select(column.alias(name)).dropna().distinct().orderBy(name)
@@ -172,25 +183,26 @@ def file_type_share(files: DataFrame) -> DataFrame:
 
     Among file types with the same total the first by name is the riskiest.
     """
-    totals = pin(  # read twice below
+    totals = (
         with_status(files, "done")
         .groupBy(F.upper("file_type").alias("file_type"))
         .agg(F.sum(_total_of(F.col("pii_summary"))).alias("total"))
     )
-    top = totals.agg(
-        F.max("total").alias("most"),
-        F.min_by("file_type", F.struct((-F.col("total")).alias("t"), "file_type")).alias("who"),
-    )
-    top = top.select(F.struct("most", "who"))
+    # A row a file type by now, so all of them are one sorted array.
+    order = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("below"), "file_type")))
+    top = F.get("types", F.lit(0))
     return (
-        totals.withColumn("_top", top.scalar())
+        totals.agg(order.alias("types"))
+        .select(top.alias("top"), F.posexplode("types").alias("place", "t"))
         .select(
-            "file_type",
-            "total",
-            rules.share_percent(F.col("total"), F.col("_top.most")).alias("share_pct"),
-            (F.col("file_type") == F.col("_top.who")).alias("riskiest"),
+            "t.file_type",
+            (-F.col("t.below")).alias("total"),
+            rules.share_percent(-F.col("t.below"), -F.col("top.below")).alias("share_pct"),
+            (F.col("place") == 0).alias("riskiest"),
+            "place",
         )
-        .orderBy(F.desc("total"), "file_type")
+        .orderBy("place")
+        .drop("place")
     )
 
 

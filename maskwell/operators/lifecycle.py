@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwell.operators.ranking import left_join
+
 
 def current_rows(log: DataFrame, key: str, version: str = "version") -> DataFrame:
-    """The row of each key with the highest version.
+    """The row of each key with the highest version; of equal versions, the one of one hash.
 
-    An aggregate, not a window: a key with very many versions is reduced before the shuffle.
+    The highest version is a number a key, so it is a hash aggregate that is reduced before
+    the shuffle, however many versions a key has; the rows that hold it are then picked by a
+    hash join. Nothing is sorted. Rows that are equal in all columns all stay.
     """
-    row = F.max_by(F.struct(*log.columns), version).alias("row")
-    return log.groupBy(key).agg(row).select("row.*")
+    plain = [f.name for f in log.schema if "map" not in f.dataType.simpleString()]
+    # Version and hash in one number: an aggregate over structs would sort.
+    tie = F.xxhash64(*plain).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    rank = F.col(version).cast("decimal(17,0)") * F.lit(Decimal(1 << 64)) + tie
+    ranked = log.withColumn("_rank", rank.cast("decimal(38,0)"))
+    top = ranked.groupBy(key).agg(F.max("_rank").alias("_rank"))
+    return ranked.join(top.hint("shuffle_hash"), [key, "_rank"], "left_semi").select(*log.columns)
 
 
 def started(files: DataFrame) -> DataFrame:
@@ -35,7 +46,7 @@ def finished(files: DataFrame, status: str = "done") -> DataFrame:
 
 def without(df: DataFrame, gone: DataFrame, key: str = "file_id") -> DataFrame:
     """Rows whose key is not among the deleted ones; rows without a key stay."""
-    return df.join(gone.select(key).distinct(), key, "left_anti")
+    return left_join(df, gone.select(key).distinct(), key, "left_anti")
 
 
 def cascade_delete(

@@ -33,6 +33,24 @@ def latest_per_key(
     )
 
 
+def null_salted(df: DataFrame, key: str, name: str = "_salt") -> DataFrame:
+    """Add a column that spreads the rows without a key, to be joined on beside it.
+
+    It is 0 where there is a key, so that the other side joins with a 0. Rows without a key
+    match nothing; with their salts they are dealt over all tasks, not to a single one.
+    """
+    plain = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
+    spread = F.when(F.col(key).isNotNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*plain))
+    return df.withColumn(name, spread)
+
+
+def left_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Left or left anti join on a key that may be null in many rows."""
+    # A literal 0 would be taken out of the join's keys again.
+    keyed = table.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1).cast("bigint")))
+    return null_salted(rows, key).join(keyed, [key, "_salt"], how).drop("_salt")
+
+
 def look_up(rows: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
     """Left-join columns of a large keyed table to rows whose number has a known bound.
 

@@ -272,7 +272,7 @@ SPANNED = (
 _MATCHES = "array<struct<number:int,gap:int,size:int,value:string,mask:string>>"
 
 
-def _placed(d: Detector, number: int, signals: Signals) -> Column:
+def placed(d: Detector, number: int, signals: Signals) -> Column:
     """Matches of one detector with the characters between them; a value that is no
     detection is null."""
     pattern = F.lit(d.pattern)
@@ -307,7 +307,7 @@ def _placed(d: Detector, number: int, signals: Signals) -> Column:
 def _all_placed(session: SparkSession, text: str) -> Column:
     def search(t: Column, sig: Column) -> Column:
         signals = Signals.read(t, sig)
-        found = [_placed(d, i, signals) for i, d in enumerate(STRUCTURED + CONTEXTUAL)]
+        found = [placed(d, i, signals) for i, d in enumerate(STRUCTURED + CONTEXTUAL)]
         return F.concat(*found)
 
     return let(F.col(text), lambda t: let(Signals.compute(t), lambda sig: search(t, sig)))

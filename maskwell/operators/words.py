@@ -5,20 +5,37 @@ Input rows are words with their place (doc, block, paragraph, line, order) and b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from maskwell.functions.detectors import IMAGE_TYPES, Detector, Signals
-from maskwell.functions.text import STRIP_CHARS, let
-from maskwell.operators.scan import pick
+from maskwell.functions.detectors import IMAGE_TYPES as WANTED
+from maskwell.functions.detectors import Signals
+from maskwell.functions.text import STRIP_CHARS, computed_once, let
+from maskwell.operators.scan import pick, placed
 
 LINE = ("doc_id", "block_num", "par_num", "line_num")
 METHOD = "regex+ocr"
 MARGIN = 3
-SPANS = (
-    "array<struct<pii_type:string,original_value:string,masked_value:string,"
-    "detection_method:string,confidence:double,start:int,end:int>>"
-)
+#: The types looked for, in registry order.
+IMAGE_TYPES = tuple(d.name for d in pick(WANTED))
+_TEXT, _WHOLE, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _rows_of(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+SPANS = _rows_of(
+    pii_type=_TEXT, original_value=_TEXT, masked_value=_TEXT, detection_method=_TEXT,
+    confidence=_REAL, start=_WHOLE, end=_WHOLE, ord=_WHOLE,
+)
+BOXES = _rows_of(
+    ord=_WHOLE, pii_type=_TEXT, word_ord=_WHOLE, word=_TEXT,
+    x0=_WHOLE, y0=_WHOLE, x1=_WHOLE, y1=_WHOLE,
+)
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -36,112 +53,108 @@ def lines(words: DataFrame) -> DataFrame:
     )
 
 
-def _spans(d: Detector, signals: Signals) -> Column:
-    """Matches of one detector with their offsets, from the pieces between them."""
-    pattern = d.span_pattern or d.pattern
-    found = F.regexp_extract_all(signals.text, F.lit(pattern), F.lit(0))
-
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
-
-    def locate(both: Column) -> Column:
-        def span(m: Column, i: Column) -> Column:
-            start = total(both["between"], i + 1) + total(both["found"], i)
-            return F.struct(
-                F.lit(d.name).alias("pii_type"),
-                m.alias("original_value"),
-                d.mask(m).alias("masked_value"),
-                F.lit(METHOD).alias("detection_method"),
-                F.lit(1.0).alias("confidence"),
-                start.alias("start"),
-                (start + F.length(m)).alias("end"),
-            )
-
-        return F.transform(both["found"], span)
-
-    between = F.split(signals.text, F.lit(pattern), -1)
-    located = let(F.struct(found.alias("found"), between.alias("between")), locate)
-    return F.when(d.gate(signals), located).otherwise(F.array().cast(SPANS))
-
-
-def _line_spans(text: Column) -> Column:
-    """All detections of a line, numbered, or null if there is none."""
-
-    def number(found: Column) -> Column:
-        numbered = F.transform(found, lambda s, i: s.withField("ord", i))
-        return F.when(F.size(found) > 0, numbered)
+def _line_hits(text: Column) -> Column:
+    """Matches of all image types in a line, with the characters between them."""
 
     def search(t: Column, sig: Column) -> Column:
         signals = Signals.read(t, sig)
-        return let(F.concat(*[_spans(d, signals) for d in pick(IMAGE_TYPES)]), number)
+        return F.concat(*[placed(d, i, signals) for i, d in enumerate(pick(IMAGE_TYPES))])
 
     return let(text, lambda t: let(Signals.compute(t), lambda sig: search(t, sig)))
 
 
 def _hit_lines(words: DataFrame) -> DataFrame:
-    """The lines with a detection, and their spans."""
-    # exploding a one-element array drops the other lines without computing spans twice
-    spans = _line_spans(F.col("line_text"))
-    return (
-        lines(words)
-        .select(*LINE, "words", F.explode_outer(F.array(spans)).alias("spans"))
-        .filter(F.col("spans").isNotNull())
-    )
+    """The lines with a detection, and their matches."""
+    # exploding a one-element array drops the other lines without a second search
+    hits = computed_once(lines(words), "hits", _line_hits(F.col("line_text")))
+    return hits.filter(F.exists("hits", lambda h: h["value"].isNotNull()))
+
+
+def _located(matches: list[dict]) -> list[dict]:
+    """The detections of a line, numbered, with their place; one step for each match."""
+    out: list[dict] = []
+    at, last = 0, None
+    for m in matches:
+        if m["number"] != last:
+            at, last = 0, m["number"]
+        at += m["gap"]
+        if m["value"] is not None:
+            kind = IMAGE_TYPES[m["number"]]
+            out.append(
+                {
+                    "pii_type": kind, "original_value": m["value"], "masked_value": m["mask"],
+                    "detection_method": METHOD, "confidence": 1.0, "start": at,
+                    "end": at + len(m["value"]), "ord": len(out),
+                }
+            )
+        at += m["size"]
+    return out
+
+
+@F.arrow_udf(SPANS)
+def _spans(matches: pa.Array) -> pa.Array:
+    return pa.array([_located(m) for m in matches.to_pylist()], to_arrow_type(SPANS))
 
 
 def line_detections(words: DataFrame) -> DataFrame:
     """One row per detection in a line, with its span."""
-    rows = _hit_lines(words).select(*LINE, F.explode("spans").alias("s"))
+    rows = _hit_lines(words).select(*LINE, F.explode(_spans("hits")).alias("s"))
     return rows.select(*LINE, "s.*")
 
 
-def _stays_visible(span: Column) -> Column:
+def _stays_visible(span: dict, word: str, start: int) -> bool:
     """Card: its first group. Phones: the country code. Email: from the @ on."""
-    kind, at = span["pii_type"], F.position(F.lit("@"), span["original_value"])
-    return (
-        F.when(kind == "credit_card", F.col("start") == span["start"])
-        .when(kind.isin("phone", "us_phone"), F.startswith(F.col("word"), F.lit("+")))
-        .when(kind == "email", (at > 0) & (F.col("start") >= span["start"] + at - 1))
-        .otherwise(F.lit(False))
-    )
+    kind = span["pii_type"]
+    if kind == "credit_card":
+        return start == span["start"]
+    if kind in ("phone", "us_phone"):
+        return word.startswith("+")
+    at = span["original_value"].find("@")
+    return kind == "email" and at >= 0 and start >= span["start"] + at
+
+
+def _covered(words: list[dict], matches: list[dict]) -> list[dict]:
+    """The box of every word that a detection covers.
+
+    Words and detections are met in order of place: a detection goes back only over the words
+    that an earlier one covers too.
+    """
+    starts, at = [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w["word"]) + 1
+    out = []
+    first = 0
+    for span in sorted(_located(matches), key=lambda s: s["start"]):
+        while first < len(words) and starts[first] + len(words[first]["word"]) <= span["start"]:
+            first += 1
+        for i in range(first, len(words)):
+            if starts[i] >= span["end"]:
+                break
+            w = words[i]
+            if not _stays_visible(span, w["word"], starts[i]):
+                out.append(
+                    {
+                        "ord": span["ord"], "pii_type": span["pii_type"], "word_ord": w["word_ord"],
+                        "word": w["word"], "x0": w["left"] - MARGIN, "y0": w["top"] - MARGIN,
+                        "x1": w["left"] + w["width"] + MARGIN,
+                        "y1": w["top"] + w["height"] + MARGIN,
+                    }
+                )
+    return out
+
+
+@F.arrow_udf(BOXES)
+def _boxes(words: pa.Array, matches: pa.Array) -> pa.Array:
+    rows = zip(words.to_pylist(), matches.to_pylist())
+    return pa.array([_covered(w, m) for w, m in rows], to_arrow_type(BOXES))
 
 
 def redaction_boxes(words: DataFrame) -> DataFrame:
     """Boxes to black out: one row per detection and covered word.
 
-    Only the words of lines with a detection get an offset, by a running sum over their
-    line, for which the rows lie right already. Each word then picks the spans over it.
+    Only the lines with a detection are looked at word by word, each once, in its own row.
     """
-    before = (
-        Window.partitionBy(*LINE)
-        .orderBy("word_ord")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
-    placed = (
-        _hit_lines(words)
-        .select(*LINE, "spans", F.explode("words").alias("w"))
-        .select(*LINE, "spans", "w.*")
-        .withColumn("start", start)
-    )
-    over = F.filter(
-        "spans",
-        lambda s: (F.col("start") < s["end"])
-        & (F.col("start") + F.length("word") > s["start"])
-        & ~_stays_visible(s),
-    )
-    return (
-        placed.withColumn("s", F.explode_outer(over))
-        .filter("s IS NOT NULL")
-        .select(
-            *LINE,
-            "s.ord",
-            "s.pii_type",
-            "word_ord",
-            "word",
-            (F.col("left") - MARGIN).alias("x0"),
-            (F.col("top") - MARGIN).alias("y0"),
-            (F.col("left") + F.col("width") + MARGIN).alias("x1"),
-            (F.col("top") + F.col("height") + MARGIN).alias("y1"),
-        )
+    return _hit_lines(words).select(*LINE, F.explode(_boxes("words", "hits")).alias("b")).select(
+        *LINE, "b.*"
     )

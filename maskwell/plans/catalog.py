@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import keys, rules
 from maskwell.functions.detectors import BY_NAME, Detector
+from maskwell.functions.text import computed_once
 from maskwell.functions.threats import malicious_content
 from maskwell.operators import audit as audits
 from maskwell.operators import files as filing
@@ -460,15 +461,7 @@ def file_bands(spark, sf):
 
 
 def uploads_in_range(spark, sf):
-    files = fx.file_facts(spark, sf)
-    out = None
-    for name in rules.DATE_RANGES:
-        part = filing.search(files, date_range=name, as_of=fx.as_of()).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        part = part.select(F.lit(name).alias("date_range"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return filing.uploads_per_range(fx.file_facts(spark, sf), fx.as_of())
 
 
 def file_type_options(spark, sf):
@@ -489,9 +482,9 @@ def overview_by_user(spark, sf):
     return filing.overview_by_user(fx.files(spark, sf))
 
 
-def _flagged_files(spark, sf) -> DataFrame:
+def _flagged_files(spark, sf, files=None) -> DataFrame:
     """The files, some with threat keys, an empty count, or no summary at all."""
-    files = fx.files(spark, sf)
+    files = fx.files(spark, sf) if files is None else files
     key = F.col("file_id")
     threat = F.create_map(F.lit("xss"), F.lit(2).cast("bigint"))
     others = F.map_filter("pii_summary", lambda k, v: ~k.isin("xss", "pan", "voter_id"))
@@ -534,7 +527,10 @@ def risk_levels(spark, sf):
 
 
 def recent_files(spark, sf):
-    return filing.recent(_flagged_files(spark, sf)).select("file_id", "risk", "pii_count")
+    """The newest files are picked first; only their texts are scanned."""
+    newest = filing.newest_first(fx.file_facts(spark, sf)).limit(8).select("file_id")
+    files = fx.files(spark, sf, only=newest)
+    return filing.recent(_flagged_files(spark, sf, files)).select("file_id", "risk", "pii_count")
 
 
 def bulk_export(spark, sf):
@@ -641,11 +637,9 @@ def siem_events(spark, sf):
         "host": "$.host.name",
         "first_tag": "$.tags[0]",
     }
-    return lines.select(
-        *[
-            F.try_variant_get(F.parse_json("value"), path, "string").alias(name)
-            for name, path in paths.items()
-        ]
+    parsed = computed_once(lines, "record", F.parse_json("value"))
+    return parsed.select(
+        *[F.try_variant_get("record", path, "string").alias(name) for name, path in paths.items()]
     )
 
 

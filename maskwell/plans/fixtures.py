@@ -75,9 +75,16 @@ def file_facts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(*[c.alias(n) for n, c in _file_columns().items()])
 
 
-def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The files with detections, masked text, count and summary."""
-    docs = spread(read_table(spark, sf, "documents", "doc_id", "source", "text"), "doc_id")
+def scanned_files(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """The files with detections, masked text, count and summary; ``only`` these file_ids.
+
+    ``only`` comes from a limit, so its ids can go to all tasks.
+    """
+    docs = read_table(spark, sf, "documents", "doc_id", "source", "text")
+    if only is None:
+        docs = spread(docs, "doc_id")
+    else:
+        docs = docs.join(F.broadcast(only.select(F.col("file_id").alias("doc_id"))), "doc_id", "left_semi")
     scanned = scanning.scan(docs)
     return scanned.select(
         *[c.alias(n) for n, c in _file_columns().items()],
@@ -88,8 +95,8 @@ def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    return scanned_files(spark, sf).drop("detections", "masked_text")
+def files(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    return scanned_files(spark, sf, only).drop("detections", "masked_text")
 
 
 def files_log(spark: SparkSession, sf: str) -> DataFrame:

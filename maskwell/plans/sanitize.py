@@ -123,6 +123,7 @@ def sanitize(
         F.to_json(
             F.struct(name.alias("filename"), F.size("detections").alias("pii_count"))
         ),
+        identity=F.col("file_id"),
     )
     refused = event_rows(
         blocked,
@@ -130,6 +131,7 @@ def sanitize(
         F.col("upload_time"),
         F.col("uploaded_by"),
         details=blocked_details(F.col("security")),
+        identity=F.col("file_id"),
     )
     write_run(log, f"{out}/files_log", run_id)
     write_run(detection_rows(safe), f"{out}/pii_detections", run_id, "pii_type")
@@ -187,7 +189,9 @@ def _read(spark: SparkSession, folder: str) -> DataFrame:
 
 def delete_events(gone: DataFrame, at: Column, user_id: Column) -> DataFrame:
     details = F.to_json(F.struct(F.col("original_filename").alias("filename")))
-    return event_rows(gone, "delete", at, user_id, F.col("file_id"), details)
+    return event_rows(
+        gone, "delete", at, user_id, F.col("file_id"), details, identity=F.col("file_id")
+    )
 
 
 def sanitize_csv(spark: SparkSession, path: str) -> DataFrame:

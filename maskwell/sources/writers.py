@@ -38,8 +38,14 @@ def event_rows(
     file_id: Column | None = None,
     details: Column | None = None,
     ip_address: Column | None = None,
+    identity: Column | None = None,
 ) -> DataFrame:
-    """Audit rows, one per input row. Missing details become an empty object."""
+    """Audit rows, one per input row. Missing details become an empty object.
+
+    ``identity`` tells apart rows that are alike in all else; left out, it is the row's place
+    in ``df``, so that two equal events are two rows with ids of their own.
+    """
+    identity = F.monotonically_increasing_id() if identity is None else identity
     text = F.lit(None).cast("string")
     file_id = text if file_id is None else file_id.cast("string")
     user_id = user_id.cast("string")
@@ -53,6 +59,7 @@ def event_rows(
                 file_id.alias("file_id"),
                 details.alias("details"),
                 at.cast("string").alias("at"),
+                identity.cast("string").alias("identity"),
             ),
             {"ignoreNullFields": "false"},
         ),

@@ -224,3 +224,43 @@ def test_word_boxes(spark):
     assert (box.x0, box.y0, box.x1, box.y1) == (197, 17, 253, 33)
     line = W.lines(df).filter("line_num = 0").first()
     assert line.line_text == "Card 4012 3456 7890 1234 cvv: 123"
+
+
+def test_current_rows_need_no_sort(spark):
+    from maskwell.operators.lifecycle import current_rows
+
+    rows = [(i, v, {"a": v}, "x") for i in range(20) for v in range(1, 2 + i % 3)]
+    rows += [(None, 1, None, "y"), (3, 1, {"b": 1}, "tie"), (3, 1, {"b": 1}, "tie two")]
+    log = spark.createDataFrame(rows, "file_id bigint, version int, summary map<string,int>, s string")
+    got = current_rows(log, "file_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    found = {r.file_id: r.version for r in got.collect()}
+    assert found == {i: 1 + i % 3 for i in range(20)}
+    assert got.count() == 20
+
+
+def test_rows_without_a_key_are_dealt_over_all_tasks(spark):
+    from maskwell.operators.ranking import left_join
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, F.col("id") % 7).alias("user_id"), F.col("id").alias("log_id")
+    )
+    users = spark.range(5).select(F.col("id").alias("user_id"), F.lit("n").alias("name"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_join(rows, users.hint("merge"), "user_id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 2000
+    assert joined.count() == 4000 and joined.filter("name = 'n'").count() == 714
+    assert left_join(rows, users, "user_id", "left_anti").filter("user_id IS NULL").count() == 3000
+
+
+def test_equal_events_have_ids_of_their_own(spark):
+    from maskwell.sources.writers import failed_login_rows
+
+    tried = spark.createDataFrame([("ann",), ("ann",), (None,)], "username string")
+    rows = failed_login_rows(tried, F.lit("2024-01-01").cast("timestamp"))
+    assert rows.select("log_id").distinct().count() == 3
