@@ -1,4 +1,4 @@
-"""Table schemas, declared once; nothing is inferred on read."""
+"""The type of a detection."""
 
 from __future__ import annotations
 
@@ -14,75 +14,3 @@ DETECTION = T.StructType(
     ]
 )
 DETECTIONS = T.ArrayType(DETECTION)
-
-USERS = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("username", T.StringType()),
-        T.StructField("email", T.StringType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("is_active", T.BooleanType()),
-        T.StructField("created_at", T.TimestampType()),
-    ]
-)
-
-FILES = T.StructType(
-    [
-        T.StructField("file_id", T.StringType()),
-        T.StructField("original_filename", T.StringType()),
-        T.StructField("file_type", T.StringType()),
-        T.StructField("uploaded_by", T.StringType()),
-        T.StructField("original_key", T.StringType()),
-        T.StructField("sanitized_key", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("pii_count", T.LongType()),
-        T.StructField("pii_summary", T.MapType(T.StringType(), T.LongType())),
-        T.StructField("upload_time", T.TimestampType()),
-    ]
-)
-
-FILES_LOG = T.StructType(FILES.fields + [T.StructField("version", T.IntegerType())])
-
-PII_DETECTIONS = T.StructType(
-    [
-        T.StructField("file_id", T.StringType()),
-        T.StructField("ord", T.IntegerType()),
-        *DETECTION.fields,
-    ]
-)
-
-AUDIT_LOGS = T.StructType(
-    [
-        T.StructField("log_id", T.StringType()),
-        T.StructField("user_id", T.StringType()),
-        T.StructField("action", T.StringType()),
-        T.StructField("file_id", T.StringType()),
-        T.StructField("details", T.StringType()),
-        T.StructField("ip_address", T.StringType()),
-        T.StructField("timestamp", T.TimestampType()),
-    ]
-)
-
-TEXT_UNITS = T.StructType(
-    [
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("unit_kind", T.StringType()),
-        T.StructField("unit_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-WORDS = T.StructType(
-    [
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("block_num", T.IntegerType()),
-        T.StructField("par_num", T.IntegerType()),
-        T.StructField("line_num", T.IntegerType()),
-        T.StructField("word_ord", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("left", T.IntegerType()),
-        T.StructField("top", T.IntegerType()),
-        T.StructField("width", T.IntegerType()),
-        T.StructField("height", T.IntegerType()),
-    ]
-)
