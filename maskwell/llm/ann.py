@@ -122,14 +122,20 @@ def fit_local(
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id and v of the vectors that take part; v keeps its type, sums are in doubles."""
+    """vec_id and v of the vectors that take part; v keeps its type, sums are in doubles.
+
+    Of vectors of several lengths those of the most frequent length take part (ties: the
+    shorter one): there is no inner product between lengths.
+    """
     v = F.col(embedding)
     fine = F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).filter(
-        v.isNotNull() & fine
-    )
+    fit_for_use = vectors.filter(v.isNotNull() & fine)
+    sizes = fit_for_use.groupBy(F.size(v).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    usual = sizes.orderBy(F.desc("n"), "size").first()
+    kept = fit_for_use if usual is None else fit_for_use.filter(F.size(v) == usual["size"])
+    return kept.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v"))
 
 
 def fit(
@@ -210,7 +216,9 @@ def ranked(rows: DataFrame, curves: Curves) -> DataFrame:
 def top_k(score: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int):
     """The k best candidates of one query, by exact score, then by id."""
     least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-    near = np.flatnonzero((score >= least - 1e-9) & (score > -np.inf))
+    # A block's sums round off in proportion to the vectors' lengths.
+    slack = 1e-9 * max(1.0, float(np.sqrt((q * q).sum() * (x * x).sum(axis=1).max(initial=0))))
+    near = np.flatnonzero((score >= least - slack) & (score > -np.inf))
     exact = (x[near] * q).sum(axis=1)  # the same sum for a pair in whatever block it is met
     order = np.lexsort((ids[near], -exact))[:k]
     return ids[near][order], exact[order]

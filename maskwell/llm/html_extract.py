@@ -14,7 +14,13 @@ if there is an article inside it, its other lines stay.
 A region whose class, id or role has a boilerplate word is left out, unless the word is a part
 of a name (``has-sidebar``) and the region holds most of the text above the threshold, or
 nothing above the threshold is outside. Text of containers outside it speaks against it (a
-quarter of all, as with long comments below an article).
+quarter of all, as with long comments below an article). Words that also name parts of an
+article (``WEAK``: ``form-group``, ``alert``) leave a region out only if nothing in it is above
+the threshold; outside containers that holds for parts of names only. Buttons and labels
+within a paragraph are words of it.
+
+Work is linear in the page: open tags are found by name, and a line knows the innermost named
+region, which knows the one around it.
 
 Null pages are empty pages and give an empty text. Pages of any length are read whole.
 Columns other than the page's html are passed on and never looked at.
@@ -50,7 +56,11 @@ WORDS = set(
     " related respond search share sharing sidebar signup social sponsor sponsored subscribe"
     " toolbar widget header replies topbar contentinfo complementary alert".split()
 )
+#: Those among them that name parts of articles as well.
+WEAK = set("ad alert banner form header search share sharing social toolbar widget".split())
 CONTAINERS = ("article", "main")
+#: What a stray end tag cannot reach over.
+WALLS = {*CONTAINERS, "body", "td", "table", "nav", "footer"}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -74,6 +84,11 @@ class Lines(HTMLParser):
         self.parents = [0]  # the container around each one
         self.named: list[int] = []  # numbers of the open named regions
         self.whole: list[bool] = []  # for each named region, whether a whole name is the word
+        self.weak: list[bool] = []  # whether all its words are weak, and the region is fit for it
+        self.around: list[int] = []  # the named region around each one, or -1
+        self.places: dict[str, list[int]] = {}  # where the open tags of each name stand
+        self.walls: list[int] = []  # the same for WALLS and BLOCK
+        self.blocks: list[int] = []
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -82,7 +97,9 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             inside = self.inside[-1] if self.inside else 0
-            self.lines.append([text, self.tags, self.linked, self.excluded > 0, inside, tuple(self.named)])
+            region = self.named[-1] if self.named else -1
+            paragraph = bool(self.places.get("p"))
+            self.lines.append([text, self.tags, self.linked, self.excluded > 0, inside, region, paragraph])
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -96,27 +113,36 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             self._close_open(tag)
         out = tag in BOILERPLATE or (tag == "header" and not self.inside)
+        if tag in ("button", "label") and self.places.get("p"):
+            out = False
         words, whole = names(attrs)
         named = not out and tag not in ("html", "body", *CONTAINERS) and bool(words & WORDS)
         if (out or named) and not self.excluded:
             self.end_line()
         self.excluded += out
         if named:
+            exact = bool(whole & WORDS)
+            self.around.append(self.named[-1] if self.named else -1)
             self.named.append(len(self.whole))
-            self.whole.append(bool(whole & WORDS))
+            self.whole.append(exact)
+            self.weak.append(words & WORDS <= WEAK and bool(self.inside or not exact))
         self.links += tag == "a"
         if tag in CONTAINERS:
             self.parents.append(self.inside[-1] if self.inside else 0)
             self.inside.append(len(self.parents) - 1)
+        for held in self._stacks(tag):
+            held.append(len(self.open))
         self.open.append((tag, out, named))
 
+    def _stacks(self, tag: str) -> list[list[int]]:
+        """The lists of places that an open tag stands in."""
+        own = [self.places.setdefault(tag, [])]
+        return own + [self.walls] * (tag in WALLS) + [self.blocks] * (tag in BLOCK)
+
     def _close_open(self, tag: str) -> None:
         """A new item ends an open one of its kind in the same parent."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                return self._pop(i)
-            if self.open[i][0] in BLOCK:
-                return
+        if self.blocks and self.open[self.blocks[-1]][0] == tag:
+            self._pop(self.blocks[-1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -127,11 +153,9 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                return self._pop(i)
-            if self.open[i][0] in (*CONTAINERS, "body", "td", "table", "nav", "footer"):
-                return  # a stray end tag closes nothing outside its region
+        # A stray end tag closes nothing outside its region.
+        if (at := self.places.get(tag)) and at[-1] >= (self.walls[-1] if self.walls else 0):
+            self._pop(at[-1])
 
     def _pop(self, i: int) -> None:
         for tag, out, named in self.open[i:]:
@@ -143,6 +167,8 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
             if tag in CONTAINERS:
                 self.inside.pop()
+            for held in self._stacks(tag):
+                held.pop()
         del self.open[i:]
 
     def handle_data(self, data):
@@ -179,16 +205,27 @@ def left_out(parser: Lines, ratio: np.ndarray, length: np.ndarray, sigma: float)
     smoothed = smoothed_ratios(np.where(out, 0.0, ratio), out, inside, sigma)
     above = np.where(~out & (smoothed >= min(smoothed.std(), smoothed.mean())), length, 0.0)
     total, contained = above.sum(), above[inside > 0].sum()
-    held, own = np.zeros(len(parser.whole)), np.zeros(len(parser.whole))
-    for x, mass in zip(lines, above):
-        for region in x[5]:
-            held[region] += mass
-            own[region] += mass if x[4] else 0
+    held, own, rich = np.zeros((3, len(parser.whole)))
+    # Without its neighbours' share: a row of buttons between paragraphs is not rich.
+    alone = np.where(~out & (ratio >= min(smoothed.std(), smoothed.mean())), length, 0.0)
+    region = np.array([x[5] for x in lines])
+    named = region >= 0
+    np.add.at(held, region[named], above[named])
+    np.add.at(own, region[named], np.where(inside > 0, above, 0.0)[named])
+    np.add.at(rich, region[named], alone[named])
+    for r in range(len(held) - 1, -1, -1):  # inner regions have higher numbers
+        if parser.around[r] >= 0:
+            held[parser.around[r]] += held[r]
+            own[parser.around[r]] += own[r]
+            rich[parser.around[r]] += rich[r]
     article = (held > 0) & (
-        (held == total)
+        np.isclose(held, total)
         | (~np.array(parser.whole) & (held > 0.5 * total) & (contained - own < 0.25 * total))
+        | (np.array(parser.weak) & (rich > 0))
     )
-    return out | np.array([not all(article[region] for region in x[5]) for x in lines])
+    for r, outer in enumerate(parser.around):
+        article[r] &= outer < 0 or article[outer]
+    return out | (named & ~np.r_[article, True][region])
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
@@ -211,7 +248,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     chosen = ~out & (smoothed >= min(smoothed.std(), smoothed.mean()))
     mass = np.bincount(inside, weights=np.where(chosen, length, 0))
     named = mass[1:].sum()
-    mostly_links = linked > 0.5 * length
+    # A paragraph that is a link is a paragraph; other lines of links are menus and lists.
+    mostly_links = (linked > 0.5 * length) & ~np.array([x[6] for x in lines])
     if named and named >= mass[0]:  # containers hold the article: take those regions whole
         of = [np.bincount(inside, np.where(out, 0, x), len(parser.parents)) for x in (length, linked)]
         rich = (of[0] > 0) & (of[1] <= 0.5 * of[0])

@@ -180,11 +180,13 @@ class Model:
             return out / lengths[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and whether the text is rejected."""
+        """Language, score and whether the text is rejected; ``und`` if no language was learned."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         h = self.entropy([t if t and any(map(str.isalpha, t)) else "" for t in texts])
         langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rejected = np.ones(len(texts), dtype=bool)
-        for i in np.flatnonzero(~np.isnan(h[:, 0])) if self.languages else []:
+        for i in np.flatnonzero(~np.isnan(h[:, 0])):
             best = int(np.argmin(h[i]))
             langs[i] = self.languages[best]
             score[i] = 1 / np.exp(-self.evidence * (h[i] - h[i, best])).sum()

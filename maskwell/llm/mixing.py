@@ -224,7 +224,8 @@ def mix(
     """position, slot, epoch, source, doc_id, doc_key: one row for each place in the mix.
 
     ``weights`` names every source and is above 0; left out, weights are tempered sizes. What
-    is broadcast has one entry for each source.
+    is broadcast has one entry for each source, and one for each partition and source; the
+    schedule, which grows with the mix, is joined by sort and merge.
     """
     spark = docs.sparkSession
     ranked = stage(ranks(docs, source, doc_id, text))
@@ -255,7 +256,7 @@ def mix(
         .withColumn("epoch", F.explode(uses))
         .withColumn("at", at)
         .withColumn("block", F.floor(F.col("at") / block_rows))
-        .join(scheduled, ["source", "block"])
+        .join(scheduled.hint("merge"), ["source", "block"])
         .select(
             (F.col("slot") * block_rows + F.col("at") % block_rows).alias("position"),
             "slot",
