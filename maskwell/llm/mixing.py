@@ -275,14 +275,12 @@ def apply(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str =
     order by file name. Rows that share id and text are interchangeable, so one of them
     stands for all at each of their places.
     """
-    key, at, own = (fresh(docs, x) for x in ("doc_key", "position", "id"))
-    keyed = docs.withColumn(key, text_key(F.col(text))).dropDuplicates([doc_id, key])
-    places = mixed.select(
-        F.col("doc_id").alias(own), F.col("doc_key").alias(f"{key}_m"), F.col("position").alias(at)
-    )
-    same = F.col(doc_id).eqNullSafe(F.col(own)) & (F.col(key) == F.col(f"{key}_m"))
+    key, at = fresh(docs, "row_key"), fresh(docs, "position")
+    # One hash of id and text, null ids included: texts are shuffled once for both steps.
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), text_key(F.col(text)))).dropDuplicates([key])
+    places = mixed.select(F.xxhash64("doc_id", "doc_key").alias(key), F.col("position").alias(at))
     return (
-        keyed.join(places, same)
+        keyed.join(places.hint("merge"), key)
         .repartitionByRange(partitions(docs.sparkSession), at)
         .sortWithinPartitions(at)
         .select(*docs.columns)

@@ -11,9 +11,10 @@ Signatures are cut into bands; documents that agree in a whole band are in one b
 Texts with equal word sequences are one class before that. In a bucket every member is
 compared with the bucket's centre, its smallest node. A centre has then met all members and
 leaves the bucket. The others stay while they are of more than one component: each round the
-member with the most links, and some members outside the bucket's largest component (all of
-them in a small bucket, else ``FEW``, twice as many each round), are centres and meet every
-member that is not in their component by then. Components are those of all links found so
+member with the most links, and from the third round on some members outside the bucket's
+largest component (``FEW``, twice as many each round; in a bucket of so many or fewer members
+all of them, from the second round on), are centres and meet every member that is not in
+their component by then. Components are those of all links found so
 far, and links are kept as a forest, one for each node, so neither comparisons nor links pile
 up inside a family. Of any two members of a bucket that were never compared, both are in one
 component. A bucket of n near copies of one another costs about n comparisons, and no bucket
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.llm.common import fresh, join_hot, mix, stage, text_key, whole, words_of
+from maskwell.llm.common import fresh, join_hot, mix, partitions, stage, text_key, whole, words_of
 
 SHINGLE = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +49,8 @@ _BANDS, _ROWS = 24, 5
 _ROUND = 20_000
 #: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
 _SHARED_BITS = np.uint64(42)
-#: Centres of a bucket in the second round, beside its hub; in a bucket of so many or fewer
-#: members all outside its largest component are centres.
-FEW = 32
+#: Centres of a large bucket in the third round, beside its hub.
+FEW = 200
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -169,16 +169,34 @@ def _sign(bands: int, rows: int):
     return run
 
 
+class _Counted(dict):
+    """Texts' shingles and how often each occurs, the last ones up to so many bytes."""
+
+    room = 64 << 20
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = [h for _, h in words_of([text.encode()])]
+        h = shingles(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        found = np.unique(h, return_counts=True)
+        self.room -= len(text) + 16 * len(found[0])
+        while self.room < 0 and self:
+            first = next(iter(self))
+            self.room += len(first) + 16 * len(self.pop(first)[0])
+        self[text] = found
+        return found
+
+
+_COUNTED = _Counted()
+
+
 def similarity_of(a: str, b: str) -> float:
     """The larger of exact probability Jaccard and set Jaccard of two texts' shingles."""
-    both = []
-    for t in (a, b):
-        parts = [h for _, h in words_of([t.encode()])]
-        h = shingles(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        both.append(np.unique(h, return_counts=True))
-    (ha, ca), (hb, cb) = both
+    (ha, ca), (hb, cb) = _COUNTED[a], _COUNTED[b]
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
+    if ca.max() == cb.max() == 1:  # both measures are the same
+        both = len(np.intersect1d(ha, hb, assume_unique=True))
+        return both / (len(ha) + len(hb) - both)
     every = np.unique(np.r_[ha, hb])
     x, y = np.zeros(len(every)), np.zeros(len(every))
     x[np.searchsorted(every, ha)], y[np.searchsorted(every, hb)] = ca, cb
@@ -311,7 +329,7 @@ def _components_of_buckets(
     roots = spark.createDataFrame([], "node bigint, root bigint")
     degree = spark.createDataFrame([], "node bigint, links bigint")
     tested: DataFrame | None = None
-    few, turn = FEW, 0
+    few = 0  # only one centre in the first round, and in the second of a large bucket
     while not left.isEmpty():
         centres = left.filter("chosen").select(
             "bucket", F.col("node").alias("centre"), F.col("own").alias("centre_own")
@@ -333,8 +351,10 @@ def _components_of_buckets(
             "node",
         )
         of = stage(of.dropDuplicates(["node"]))
+        # Verifying is heavy per row, so the few rows are dealt over all tasks.
         checked = stage(
-            close.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b")
+            close.join(of.toDF("a", "ta"), "a")
+            .repartition(partitions(spark), "b").join(of.toDF("b", "tb").hint("merge"), "b")
             .select("a", "b", (_similarity("ta", "tb") >= similarity).alias("same"))
         )
         tested = close if tested is None else tested.unionByName(close)
@@ -362,12 +382,12 @@ def _components_of_buckets(
         )
         waiting = F.col("n") - F.col("main.n")
         number = F.when(F.col("n") <= FEW, F.col("n")).otherwise(few)
-        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(turn)), waiting) < number
+        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), waiting) < number
         chosen = (F.col("node") == F.col("hub.node")) | ((F.col("own") != F.col("main.own")) & drawn)
         left = stage(
             rest.join(sizes.filter("groups > 1"), "bucket").select("bucket", "node", "own", chosen.alias("chosen"))
         )
-        few, turn = 2 * few, turn + 1
+        few = max(FEW, 2 * few)
     return roots, degree
 
 
