@@ -120,7 +120,7 @@ def _replaced(
     return F.coalesce(done, texts)
 
 
-def _apply_masks(df: DataFrame, texts: Column, found: Column) -> Column:
+def apply_masks(df: DataFrame, texts: Column, found: Column) -> Column:
     """Apply the detections of each text, one after the other, to the text as masked so far.
 
     Each one replaces the first place where its original value still stands. That place may
@@ -130,7 +130,7 @@ def _apply_masks(df: DataFrame, texts: Column, found: Column) -> Column:
     return _replaced(df, texts, values, F.transform(found, lambda d: d["masked_value"]))
 
 
-def _hits(texts: Column, detectors: Sequence[Detector], method: str | None = None) -> Column:
+def hits(texts: Column, detectors: Sequence[Detector], method: str | None = None) -> Column:
     """The detections of each text of an array."""
 
     def one(t: Column) -> Column:
@@ -142,7 +142,7 @@ def _hits(texts: Column, detectors: Sequence[Detector], method: str | None = Non
 @lru_cache(maxsize=64)
 def _built(session: SparkSession, kind: str, source: str) -> Column:
     """Detection in a named column, built once per session: building takes about a second."""
-    return _hits(F.col(source), STRUCTURED if kind == "structured" else CONTEXTUAL)
+    return hits(F.col(source), STRUCTURED if kind == "structured" else CONTEXTUAL)
 
 
 def _scan_texts(df: DataFrame) -> DataFrame:
@@ -152,9 +152,9 @@ def _scan_texts(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     first = computed_once(df, _FOUND, _built(spark, "structured", _TEXTS))
-    first = first.withColumn(_FIRST, _apply_masks(df, F.col(_TEXTS), F.col(_FOUND)))
+    first = first.withColumn(_FIRST, apply_masks(df, F.col(_TEXTS), F.col(_FOUND)))
     second = computed_once(first, _MORE, _built(spark, "contextual", _FIRST))
-    return second.withColumn(_LAST, _apply_masks(df, F.col(_FIRST), F.col(_MORE)))
+    return second.withColumn(_LAST, apply_masks(df, F.col(_FIRST), F.col(_MORE)))
 
 
 _BOTH = (_FOUND, _MORE)
@@ -167,7 +167,7 @@ def _all_found() -> Column:
 def _one_text(df: DataFrame, text: str, found: Callable[[DataFrame], Column]) -> DataFrame:
     """Add ``detections`` and ``masked_text`` of a single step over a text column."""
     rows = computed_once(df.withColumn(_TEXTS, F.array(text)), _FOUND, found(df))
-    masked = _apply_masks(df, F.col(_TEXTS), F.col(_FOUND))
+    masked = apply_masks(df, F.col(_TEXTS), F.col(_FOUND))
     return rows.withColumn(_LAST, masked).select(
         *df.columns,
         F.get(_FOUND, F.lit(0)).alias("detections"),
@@ -184,12 +184,12 @@ def scan_structured(
     """Add ``detections`` and ``masked_text`` for the fixed-format types only."""
     if types is None and method is None:
         return _one_text(df, text, lambda df: _built(df.sparkSession, "structured", _TEXTS))
-    return _one_text(df, text, lambda df: _hits(F.col(_TEXTS), pick(types), method))
+    return _one_text(df, text, lambda df: hits(F.col(_TEXTS), pick(types), method))
 
 
 def scan_with(df: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:
     """``scan_structured`` with detectors of one's own, in the given order."""
-    return _one_text(df, text, lambda df: _hits(F.col(_TEXTS), detectors))
+    return _one_text(df, text, lambda df: hits(F.col(_TEXTS), detectors))
 
 
 def scan_with_maskers(
@@ -223,13 +223,13 @@ def scan_with_maskers(
         out = [None if t is None else [one(*x) for x in zip(t, v, m)] for t, v, m in rows]
         return pa.array(out, pa.list_(pa.string()))
 
-    rows = computed_once(df.withColumn(_TEXTS, F.array(text)), _FOUND, _hits(F.col(_TEXTS), detectors))
+    rows = computed_once(df.withColumn(_TEXTS, F.array(text)), _FOUND, hits(F.col(_TEXTS), detectors))
     found = F.get(_FOUND, F.lit(0))
     theirs = F.exists(found, lambda d: d["pii_type"].isin(*maskers))
     fields = [F.when(theirs, found[c]) for c in ("pii_type", "original_value", "masked_value")]
     new = F.zip_with(found, masked(*fields), lambda d, m: d.withField("masked_value", m))
     rows = rows.withColumn(_MORE, F.array(F.when(theirs, new).otherwise(found)))
-    rows = rows.withColumn(_LAST, _apply_masks(df, F.col(_TEXTS), F.col(_MORE)))
+    rows = rows.withColumn(_LAST, apply_masks(df, F.col(_TEXTS), F.col(_MORE)))
     return rows.select(
         *df.columns,
         F.get(_MORE, F.lit(0)).alias("detections"),

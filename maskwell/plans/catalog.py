@@ -13,7 +13,7 @@ from maskwell.functions.text import computed_once
 from maskwell.functions.threats import malicious_content
 from maskwell.operators import audit as audits
 from maskwell.operators import files as filing
-from maskwell.operators import lifecycle, scan, threat_scan, words
+from maskwell.operators import lifecycle, scan, split_scan, threat_scan, words
 from maskwell.plans import fixtures as fx
 from maskwell.plans import sanitize as upload
 from maskwell.plans import templates as tp
@@ -38,6 +38,23 @@ def scan_documents(spark, sf):
     )
 
 
+def scan_split_documents(spark, sf):
+    """The scan with every text cut into pieces of two thousand characters or so."""
+    docs = fx.documents(spark, sf)
+    return split_scan.scan_split(docs, "doc_id", size=2000).select(
+        "doc_id", "masked_text", F.size("detections").cast("bigint").alias("pii_count")
+    )
+
+
+def scan_split_templated(spark, sf):
+    """Texts of many lines with hits in each, cut behind lines; every detection in its order."""
+    texts = tp.templated(spark, sf, tp.MIXED_TEMPLATE, tp.CONTEXT_TEMPLATE)
+    line = F.concat(F.lit("<"), "text", F.lit(">;\n"))
+    texts = texts.withColumn("text", F.repeat(line, (F.col("doc_id") % 5).cast("int")))
+    done = split_scan.scan_split(texts, "doc_id", size=60)
+    return scan.explode_detections(done, "doc_id", "masked_text")
+
+
 def pii_type_counts(spark, sf):
     found = scan.explode_detections(scan.scan(fx.documents(spark, sf)))
     return found.groupBy("pii_type").agg(F.count(F.lit(1)).alias("pii_count"))
@@ -895,7 +912,8 @@ def stream_sessions(spark, sf):
 
 def queries() -> dict:
     plain = (
-        detect_documents, mask_documents, scan_documents, pii_type_counts, scan_pages,
+        detect_documents, mask_documents, scan_documents, scan_split_documents,
+        scan_split_templated, pii_type_counts, scan_pages,
         names_addresses, scan_mixed, token_mode, redact_mode, token_documents, redact_documents,
         doc_pii_summary, span_documents, span_templated, python_masks, scan_stats, mask_customers, mask_conversations, mask_event_props,
         csv_lines, csv_files, csv_ragged_files, page_units, run_units, run_rebuild, file_previews, before_and_after,

@@ -44,6 +44,13 @@ def templated_scan(*templates: str) -> str:
     return f"WITH {ctes} {fr.exploded('scanned', 'doc_id, masked_text')}"
 
 
+def _split_rows() -> str:
+    source = f"""SELECT doc_id, repeat('<' || text || '>;' || chr(10), doc_id % 5) AS text
+FROM ({templated(*MIXED)})"""
+    ctes = fr.scan_ctes(source, "doc_id")
+    return f"WITH {ctes} {fr.exploded('scanned', 'doc_id, masked_text')}"
+
+
 # --- mask modes -----------------------------------------------------------------------------
 
 
@@ -503,6 +510,9 @@ def oracle_sql() -> dict[str, str]:
         "mask_documents": f"WITH {docs} SELECT doc_id, first_text AS masked_text FROM scanned",
         "scan_documents": f"""WITH {docs} SELECT doc_id, masked_text,
             len(detections)::BIGINT AS pii_count FROM scanned""",
+        "scan_split_documents": f"""WITH {docs} SELECT doc_id, masked_text,
+            len(detections)::BIGINT AS pii_count FROM scanned""",
+        "scan_split_templated": _split_rows(),
         "pii_type_counts": f"""WITH {docs}, t AS (SELECT unnest(detections).pii_type AS pii_type
             FROM scanned) SELECT pii_type, count(*) AS pii_count FROM t GROUP BY pii_type""",
         "scan_pages": f"""WITH {fr.scan_ctes('SELECT page_id, html AS text FROM pages', 'page_id')}
