@@ -63,8 +63,8 @@ STAGES = [
 ]
 
 #: Compression with a trained dictionary has no SQL form. The tests hold operators against
-#: plain versions; of the stages here they see columns and that rows are left, not the last
-#: stage and not ``run``.
+#: plain versions, and ``run`` against what is planted in its documents: copies, shared lines,
+#: empty texts and rows that must stay as they are.
 ORACLE_SQL = None
 
 
