@@ -31,6 +31,7 @@ empty table gives no rows. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,29 +170,31 @@ def _sign(bands: int, rows: int):
     return run
 
 
-class _Counted(dict):
-    """Texts' shingles and how often each occurs, the last ones up to so many bytes."""
+class _Counted:
+    """Texts' shingles and how often each occurs; those of the last texts, up to ``room`` bytes."""
 
-    room = 64 << 20
+    def __init__(self, room: int = 16 << 20):
+        self.room, self.held = room, {}
 
-    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = [h for _, h in words_of([text.encode()])]
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        data = text.encode()
+        key = hashlib.md5(data).digest()
+        if key in self.held:
+            return self.held[key]
+        parts = [h for _, h in words_of([data])]
         h = shingles(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         found = np.unique(h, return_counts=True)
-        self.room -= len(text) + 16 * len(found[0])
-        while self.room < 0 and self:
-            first = next(iter(self))
-            self.room += len(first) + 16 * len(self.pop(first)[0])
-        self[text] = found
+        self.room -= 16 * len(found[0])
+        while self.room < 0 and self.held:
+            self.room += 16 * len(self.held.pop(next(iter(self.held)))[0])
+        self.held[key] = found
         return found
 
 
-_COUNTED = _Counted()
-
-
-def similarity_of(a: str, b: str) -> float:
+def similarity_of(a: str, b: str, counted: _Counted | None = None) -> float:
     """The larger of exact probability Jaccard and set Jaccard of two texts' shingles."""
-    (ha, ca), (hb, cb) = _COUNTED[a], _COUNTED[b]
+    counted = counted or _Counted()
+    (ha, ca), (hb, cb) = counted(a), counted(b)
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
     if ca.max() == cb.max() == 1:  # both measures are the same
@@ -212,8 +215,10 @@ def similarity_of(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_of(x, y) for x, y in zip(a, b)], dtype=float)
+def _similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    counted = _Counted()  # the texts of a task's pairs, which come in order of one of them
+    for a, b in pairs:
+        yield pd.Series([similarity_of(x, y, counted) for x, y in zip(a, b)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
