@@ -69,12 +69,6 @@ def is_blank(text: Column) -> Column:
     return F.trim(text, F.lit(STRIP_CHARS)) == ""
 
 
-def replace_first(text: Column, old: Column, new: Column) -> Column:
-    """Replace the first literal occurrence of ``old``; text without it is unchanged."""
-    at = F.position(old, text)
-    return F.when(at == 0, text).otherwise(F.overlay(text, new, at, F.length(old)))
-
-
 def decode_utf8(content: Column) -> Column:
     """Bytes to text, with U+FFFD in place of what is not UTF-8."""
     return F.make_valid_utf8(content.cast("string"))
