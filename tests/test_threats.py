@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwell.functions.threats import malicious_content
@@ -18,18 +19,19 @@ PIECES = [
 ]
 
 
-def brute(text):
+def brute(text, kept):
     details = {}
     for name, patterns in THREATS.items():
         hits = []
         for pattern, _ in patterns:
-            hits += re.findall(pattern, text, re.IGNORECASE | re.DOTALL)[:3]
+            hits += re.findall(pattern, text, re.IGNORECASE | re.DOTALL)[:kept]
         if hits:
             details[name] = hits
     return details
 
 
-def test_random_texts(spark):
+@pytest.mark.parametrize("kept", [None, 3])
+def test_random_texts(spark, kept):
     rng = random.Random(1)
     texts = [
         "".join(rng.choice(PIECES) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 25)))
@@ -37,8 +39,8 @@ def test_random_texts(spark):
     ]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
     fired = set()
-    for r in df.select("text", malicious_content(F.col("text"), F.lit("txt")).alias("m")).collect():
-        want = brute(r.text)
+    for r in df.select("text", malicious_content(F.col("text"), F.lit("txt"), kept).alias("m")).collect():
+        want = brute(r.text, kept)
         fired |= set(want)
         assert r.m.details == want, repr(r.text)
         assert r.m.threats == list(want) and r.m.safe == (not want)
