@@ -64,7 +64,9 @@ def _found(df: DataFrame, key: str, text: str, detectors: Sequence[Detector], si
 
 def _step(df: DataFrame, key: str, text: str, detectors, size: int, found: str, masked: str) -> DataFrame:
     of = _found(df, key, text, detectors, size).withColumnRenamed("found", found)
-    rows = df.join(of, key, "left").withColumn(found, F.coalesce(found, no_detections()))
+    # By sort and merge: both sides grow with the texts, and what is estimated of them from
+    # their files tells little of that.
+    rows = df.join(of.hint("merge"), key, "left").withColumn(found, F.coalesce(found, no_detections()))
     texts: Column = apply_masks(df, F.array(text), F.array(found))
     return rows.withColumn(masked, F.get(texts, F.lit(0)))
 

@@ -49,3 +49,12 @@ def test_one_text_goes_to_several_tasks(spark):
     r = split_scan.scan_split(df, "id", size=1 << 18).select(F.size("detections").alias("n"), "masked_text").first()
     whole = S.scan(df).select(F.size("detections").alias("n"), "masked_text").first()
     assert (r.n, r.masked_text) == (whole.n, whole.masked_text) and r.n >= 180_000
+
+
+def test_what_is_found_goes_through_no_broadcast(spark, tmp_path):
+    """A few bytes of keys in a file can stand for long texts with many hits."""
+    spark.range(100).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    df = keys.withColumn("text", F.repeat(F.lit("a@b.com;\n"), 50))
+    plan = split_scan.scan_split(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
