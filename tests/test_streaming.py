@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from maskwell.operators import audit as A
+from maskwell.plans import catalog
 from maskwell.streaming import jobs
 
 SCHEMA = "log_id bigint, user_id bigint, action string, details string, timestamp timestamp"
@@ -119,3 +120,17 @@ def test_scans_of_streams_shuffle_nothing(spark, tmp_path):
     stream = spark.read.parquet(str(tmp_path / "in"))
     plan = jobs.scan_stream(stream, F.lit("now"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_table_of_a_stream_is_a_file_or_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a{i}@b.com", "web") for i in range(20)], "doc_id bigint, text string, source string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "documents.parquet")
+    got = [
+        {tuple(r) for r in catalog.stream_uploads(spark, f"{tmp_path}/{kind}").collect()} for kind in ("folder", "file")
+    ]
+    assert got[0] == got[1] and ("files_log", "7", 2) in got[0]
+    assert catalog.stream_scan(spark, f"{tmp_path}/folder").count() == 20
