@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwell.llm.common import fresh, partitions, stage, text_key, whole
+from maskwell.session import small_batches
 
 SPACE = b" \t\n\v\f\r"
 _LINES = "doc_id bigint, doc_key bigint, n_lines int, line binary, positions array<int>"
@@ -75,7 +76,7 @@ def _explode(min_chars: int):
                     (doc_id, doc_key, None, hashlib.md5(k).digest(), at)
                     for k, at in found.items()
                 )
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield _batch(rows, _ARROW)
                     rows = []
         if rows:
@@ -137,7 +138,7 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
                 out.append((DROPPED, None, doc, key, at, None))
             elif docs > 1 or runs == 1:
                 out.append((WAITS, line, doc, key, at, None))
-            if len(out) > 20_000:
+            if len(out) > 5_000:
                 yield _batch(out, _STREAM_ARROW)
                 out = []
     total(1)  # the last run may go on in the next partition
@@ -169,6 +170,7 @@ def keep_bitmaps(
     """
     if min_docs < 2:
         raise ValueError("min_docs is 2 or more")
+    small_batches(docs.sparkSession)
     given = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         text_key(F.col(text)).alias("doc_key"),

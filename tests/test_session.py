@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwell import session
+from maskwell.llm import line_dedup
 from maskwell.operators import scan
 from maskwell.sources import readers
 
@@ -38,3 +39,14 @@ def test_a_task_reads_many_small_splits(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert sorted(cells, key=lambda c: int(c[0])) == [[str(i), f"a\n{i}"] for i in range(3000)]
+
+
+def test_line_dedup_reads_small_batches(spark):
+    key, most = session.BATCH_BYTES
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        line_dedup.keep_bitmaps(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))
+        assert spark.conf.get(key) == str(most)
+    finally:
+        spark.conf.set(key, before)
