@@ -28,6 +28,8 @@ from maskwell.llm.common import fold, stage
 #: Place of the public SentencePiece model; the same file is needed on the driver only.
 MODEL_FILE = os.environ.get("MASKWELL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 TOXIC_FROM = 0.7
+#: Segmentations of a text that are searched for.
+N_BEST = 3
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -96,16 +98,17 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of pieces, the three best scores, a hash of the ids, and the round trip."""
+    """Number of pieces, scores and id hashes of the three best segmentations, and the round trip."""
     vocabulary = segmentation.read_vocabulary(MODEL_FILE)
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    done = segmentation.encode(docs, vocabulary, n=3)
+    done = segmentation.encode(docs, vocabulary, n=N_BEST)
     return done.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.get("scores", F.lit(0)).alias("score"),
         F.col("scores").alias("n_best_scores"),
         F.xxhash64("ids").alias("ids_hash"),
+        F.transform("n_best", lambda ids: F.xxhash64(ids)).alias("n_best_hashes"),
         (segmentation.decoded(F.col("ids"), vocabulary) == F.coalesce("text", F.lit(""))).alias(
             "round_trip"
         ),

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwell.session import small_batches
+
 SPACE = "▁"
 #: Words kept per task with their solutions; beyond it the store is emptied and refilled.
 CACHE = 400_000
@@ -298,7 +300,8 @@ class Vocabulary:
             store.put(own, score, gap, ids[filled], counts)
 
     def encode(self, texts: list[str], n: int = 1):
-        """For many texts: all ids, where each text's ids end, n best scores, changes.
+        """For many texts: all ids, where each text's ids end, n best scores, changes, where
+        each word's ids begin and where each text's words end.
 
         The changes of a text say how its segmentations differ from the best one: for each,
         a list of (word number, ids of that word).
@@ -336,11 +339,29 @@ class Vocabulary:
                 )
             scores.append([total - cost for cost, _ in ranked])
             changes.append([x for _, x in ranked])
-        return ids, id_ends, scores, changes
+        return ids, id_ends, scores, changes, np.r_[0, ends], word_ends
+
+    @staticmethod
+    def segmentations(ids, id_ends, changes, cuts, word_ends) -> pa.Array:
+        """For each text the ids of its n best segmentations: the best one, changed in some words."""
+        parts, sizes, counts = [], [], []
+        for begin, end, first, own in zip(id_ends[:-1], id_ends[1:], word_ends[:-1], changes):
+            counts.append(len(own))
+            for change in own:
+                at, size = begin, 0
+                for k, other in sorted(change):
+                    parts += (ids[at : cuts[first + k]], np.array(other, dtype=np.int32))
+                    size += len(parts[-2]) + len(parts[-1])
+                    at = cuts[first + k + 1]
+                parts.append(ids[at:end])
+                sizes.append(size + len(parts[-1]))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        one = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), one)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as (score, ids), best first."""
-        _, _, scores, changes = self.encode([text], n)
+        _, _, scores, changes, _, _ = self.encode([text], n)
         best = [self.solve(w, 1)[0][1] for w in words(text)]
         out = []
         for score, change in zip(scores[0], changes[0]):
@@ -376,14 +397,16 @@ def read_vocabulary(model_file: str) -> Vocabulary:
 def encode(
     docs: DataFrame, vocabulary: Vocabulary, n: int = 1, text: str = "text"
 ) -> DataFrame:
-    """Add ``ids`` (best segmentation) and ``scores`` (of the n best, best first)."""
+    """Add ``ids`` (best segmentation), ``scores`` and ``n_best`` (ids) of the n best, best first."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     schema = T.StructType(
         [
             *docs.schema.fields,
             T.StructField("ids", T.ArrayType(T.IntegerType())),
             T.StructField("scores", T.ArrayType(T.DoubleType())),
+            T.StructField("n_best", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
     columns, at = docs.columns, docs.columns.index(text)
@@ -397,11 +420,12 @@ def encode(
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                flat, ends, best, _ = own.encode(texts, n)
+                flat, ends, best, changes, cuts, word_ends = own.encode(texts, n)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 scores = pa.array(best, pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, ids, scores], names=[*columns, "ids", "scores"]
+                    [*part.columns, ids, scores, own.segmentations(flat, ends, changes, cuts, word_ends)],
+                    names=[*columns, "ids", "scores", "n_best"],
                 )
 
     return docs.mapInArrow(run, schema)

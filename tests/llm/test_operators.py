@@ -272,6 +272,17 @@ def every_path(vocabulary, word):
     return out
 
 
+def test_encode_gives_all_n_best(spark, small_vocabulary):
+    texts = ["abab cab", "", "a\nbcab  ab", "cababc", "é ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in segmentation.encode(docs, small_vocabulary, 3).collect():
+        want = small_vocabulary.n_best(r.text, 3)
+        assert (r.n_best, r.scores) == ([ids for _, ids in want], [score for score, _ in want])
+        assert r.n_best[0] == r.ids and len({tuple(x) for x in r.n_best}) == len(want)
+        if r.text:
+            assert all(small_vocabulary.decode(x) == r.text for x in r.n_best)
+
+
 def test_n_best_against_all_paths(small_vocabulary):
     for text in ("abab", "ab ba", "a  b", "ba aba ab"):
         want = sorted((-s for s, _ in every_path(small_vocabulary, " " + text)))[:4]
