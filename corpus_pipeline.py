@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm import line_dedup, mixing, prob_minhash, segmentation, toxicity
 from maskwell.llm.common import fresh, stage
-from maskwell.llm.queries import MODEL_FILE, TOXIC_FROM, toxicity_model
+from maskwell.llm.queries import MODEL_FILE, N_BEST, TOXIC_FROM, toxicity_model
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the best segmentation and its score."""
+    """doc_id, lang, source, the ids of the best segmentation and the scores of the three best."""
     vocabulary = segmentation.read_vocabulary(MODEL_FILE)
-    done = segmentation.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
+    done = segmentation.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, n=N_BEST)
     return done.select(
         "doc_id",
         "lang",
@@ -51,6 +51,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         "ids",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.get("scores", F.lit(0)).alias("score"),
+        F.col("scores").alias("n_best_scores"),
     )
 
 

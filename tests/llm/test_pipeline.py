@@ -51,6 +51,9 @@ def test_run_on_planted_rows(spark, tmp_path):
     got = {}
     for r in done.select("doc_id", segmentation.decoded(F.col("ids"), vocabulary).alias("text")).collect():
         assert got.setdefault(r.doc_id, r.text) == r.text
+    # All three best segmentations are searched for, in every text of more than one.
+    best = done.select("score", "n_best_scores").filter("n_pieces > 100").collect()
+    assert best and all(len(r.n_best_scores) == 3 and r.n_best_scores[0] == r.score for r in best)
     assert len([i for i in got if i < 9100]) == 1
     assert [i for i in sorted(got) if 9100 <= i < 9300] == [*range(9100, 9104), *range(9200, 9205)]
     for i in range(9100, 9104):
