@@ -9,20 +9,21 @@ is later than all registers' first arrivals, so most shingles send a single arri
 
 Signatures are cut into bands; documents that agree in a whole band are in one bucket.
 Texts with equal word sequences are one class before that. In a bucket every member is
-compared with the bucket's centre, its smallest node. A centre has then met all members and
-leaves the bucket. The others stay while they are of more than one component: each round the
-member with the most links, and from the third round on some members outside the bucket's
-largest component (``FEW``, twice as many each round; in a bucket of so many or fewer members
-all of them, from the second round on), are centres and meet every member that is not in
-their component by then. Components are those of all links found so
-far, and links are kept as a forest, one for each node, so neither comparisons nor links pile
-up inside a family. Of any two members of a bucket that were never compared, both are in one
-component. A bucket of n near copies of one another costs about n comparisons, and no bucket
-or partner list is capped.
-Candidates whose signatures agree in fewer than ``screen`` of the registers are dropped (with
-the default numbers that loses a pair at the limit once in more than a million); the rest is
-verified on the whole texts: the exact probability Jaccard, or the Jaccard of the shingle
-sets, is at least ``similarity``. Verified links join documents into groups.
+compared with the bucket's centre, its smallest node, which then leaves the bucket. Where the
+others are still of more than one component they are compared with one another: in buckets of
+up to ``FEW`` members pair by pair, in larger ones by blocks. For that, large buckets that
+share members are one cluster; its nodes are dealt over blocks of bounded size, and any two
+blocks meet in one task, which compares all their pairs that are not yet of one component and
+gives out no pairs but a forest of the links it found. So what is shuffled is a node's text
+for each block of its cluster, not for each pair; the comparisons themselves grow with the
+square of a cluster, since each of them can be a link. Most are settled by a bound: shingles
+that only one text of the two blocks holds cannot be shared. Of any two members of a bucket
+that were never compared, both are in one component. No bucket or partner list is capped.
+Candidate pairs of small buckets whose signatures agree in fewer than ``screen`` of the
+registers are dropped (with the default numbers that loses a pair at the limit once in more
+than a million); the rest, and all pairs in blocks, are verified on the whole texts: the exact
+probability Jaccard, or the Jaccard of the shingle sets, is at least ``similarity``. Verified
+links join documents into groups.
 
 Null and empty texts, and texts of white space, have equal (empty) word sequences and form
 one class. Rows that share an id are one vertex per id and text; a null id is an id. An
@@ -50,8 +51,10 @@ _BANDS, _ROWS = 24, 5
 _ROUND = 20_000
 #: Bits of a shingle's hash in signatures; a chunk holds fewer than 2^22 texts.
 _SHARED_BITS = np.uint64(42)
-#: Centres of a large bucket in the third round, beside its hub.
-FEW = 200
+#: Members of buckets whose pairs are compared one by one; those of larger ones meet in blocks.
+FEW = 50
+#: Texts of a block, and their bytes.
+BLOCK_TEXTS, BLOCK_BYTES = 2048, 8 << 20
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -214,6 +217,120 @@ def similarity_of(a: str, b: str, counted: _Counted | None = None) -> float:
     return float(max(plain, weighted))
 
 
+class _Block:
+    """Texts as flat lists of their distinct shingles, numbered over all texts that meet."""
+
+    def __init__(self, texts: list[str]):
+        counted = [_Counted(0)(t) for t in texts]
+        self.edges = np.cumsum([0, *(len(h) for h, _ in counted)])
+        _, flat, held = np.unique(
+            np.concatenate([h for h, _ in counted]), return_inverse=True, return_counts=True
+        )
+        count = np.concatenate([c for _, c in counted])
+        self.flat, self.words = flat, len(held)
+        self.size = np.diff(self.edges)
+        self.share = count / np.repeat(np.add.reduceat(count, self.edges[:-1]), self.size)
+        self.repeats = np.maximum.reduceat(count, self.edges[:-1]) > 1
+        # What another text can hold as well: as a number, and as a part of the text.
+        met = held[flat] > 1
+        self.common = np.add.reduceat(met.astype(np.int64), self.edges[:-1])
+        self.part = np.add.reduceat(np.where(met, self.share, 0.0), self.edges[:-1])
+
+    def possible(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of ``others`` that the bound does not exclude."""
+        least = np.minimum(self.common[i], self.common[others])
+        plain = least >= similarity * (self.size[i] + self.size[others] - least) - 1e-6
+        part = np.minimum(self.part[i], self.part[others]) >= similarity - 1e-6
+        return others[plain | (part & (self.repeats[i] | self.repeats[others]))]
+
+    def measures(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard of the shingle sets, and a bound of the probability Jaccard."""
+        own = np.zeros(self.words)
+        own[self.flat[self.edges[i] : self.edges[i + 1]]] = self.share[self.edges[i] : self.edges[i + 1]]
+        size = self.size[others]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.edges[others] - np.r_[0, ends[:-1]], size)
+        theirs = own[self.flat[at]]
+        both = np.add.reduceat((theirs > 0).astype(np.int64), np.r_[0, ends[:-1]])
+        lesser = np.add.reduceat(np.minimum(theirs, self.share[at]), np.r_[0, ends[:-1]])
+        return both / (self.size[i] + size - both), lesser
+
+
+_MET = "a bigint, b bigint, links bigint"
+
+
+def _meet(similarity: float):
+    """Links between the texts of two blocks, or within one; see ``_by_blocks``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, own, left = (rows.column(k).to_numpy() for k in ("node", "own", "left"))
+        texts = rows.column("text").to_pylist()
+        block = _Block(texts)
+        within = left.all()
+        # Texts with the most in common come first: they join the others early.
+        order = np.argsort(-block.part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        _, root = np.unique(own, return_inverse=True)
+        links, found = np.zeros(len(node), np.int64), []
+        counted = _Counted()
+        for i in order if within else order[left[order]]:
+            others = root != root[i]
+            others &= place > place[i] if within else ~left
+            others = block.possible(i, np.flatnonzero(others), similarity)
+            if not len(others):
+                continue
+            plain, bound = block.measures(i, others)
+            same = plain >= similarity
+            unsure = ~same & (bound >= similarity - 1e-6) & (block.repeats[i] | block.repeats[others])
+            for k in np.flatnonzero(unsure):
+                same[k] = similarity_of(texts[i], texts[others[k]], counted) >= similarity
+            linked = others[same]
+            links[i] += len(linked)
+            links[linked] += 1
+            _, first = np.unique(root[linked], return_index=True)
+            found += [(node[i], node[j]) for j in linked[first]]
+            root[np.isin(root, root[linked])] = root[i]
+        some = np.flatnonzero(links)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table(
+            {
+                "a": pa.array([*a, *node[some]], pa.int64()),
+                "b": pa.array([*b, *[None] * len(some)], pa.int64()),
+                "links": pa.array([*[None] * len(a), *links[some]], pa.int64()),
+            }
+        )
+
+    return run
+
+
+def _by_blocks(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the members (node, own) of large buckets; (a, links) of those met.
+
+    Members are compared if their large buckets are of one cluster and ``own`` differs.
+    """
+    low = buckets.groupBy("bucket").agg(F.min("node").alias("low"))
+    joined = components(buckets.join(low, "bucket").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    members = buckets.select("node", "own").distinct().join(joined, "node", "left")
+    given = stage(
+        members.join(texts, "node").dropDuplicates(["node"])
+        .select("node", "own", F.coalesce("root", "node").alias("cluster"), "text")
+    )
+    sizes = given.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES, F.lit(1)))
+    dealt = join_hot(given, stage(sizes.select("cluster", "n", blocks.alias("blocks"))), "cluster", "n")
+    home = F.pmod(F.xxhash64("node", F.lit("block")), "blocks")
+    pairs = dealt.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    first = F.least("home", "other")
+    return (
+        pairs.select(
+            "cluster", first.alias("x"), F.greatest("home", "other").alias("y"),
+            (F.col("home") == first).alias("left"), "node", "own", "text",
+        )
+        .groupBy("cluster", "x", "y").applyInArrow(_meet(similarity), _MET)
+    )
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     counted = _Counted()  # the texts of a task's pairs, which come in order of one of them
@@ -315,6 +432,16 @@ def near_duplicates(
     )
 
 
+def _extended(
+    roots: DataFrame, degree: DataFrame, linked: DataFrame, ends: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``roots`` and ``degree`` after the links (a, b) and the ends (node, links) of more pairs."""
+    degree = stage(ends.unionByName(degree).groupBy("node").agg(F.sum("links").alias("links")))
+    # All that is known of links from here on: each node with its root.
+    forest = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stage(components(linked.unionByName(forest))), degree
+
+
 def _components_of_buckets(
     given: DataFrame, reps: DataFrame, similarity: float, screen: float
 ) -> tuple[DataFrame, DataFrame]:
@@ -334,7 +461,7 @@ def _components_of_buckets(
     roots = spark.createDataFrame([], "node bigint, root bigint")
     degree = spark.createDataFrame([], "node bigint, links bigint")
     tested: DataFrame | None = None
-    few = 0  # only one centre in the first round, and in the second of a large bucket
+    large: DataFrame | None = None  # buckets for blocks, once every member has met its centre
     while not left.isEmpty():
         centres = left.filter("chosen").select(
             "bucket", F.col("node").alias("centre"), F.col("own").alias("centre_own")
@@ -365,34 +492,24 @@ def _components_of_buckets(
         tested = close if tested is None else tested.unionByName(close)
         linked = checked.filter("same").select("a", "b")
         ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node")))
-        ends = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links")).unionByName(degree)
-        degree = stage(ends.groupBy("node").agg(F.sum("links").alias("links")))
-        # All that is known of links from here on: each node with its root.
-        forest = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stage(components(linked.unionByName(forest)))
+        roots, degree = _extended(roots, degree, linked, ends.withColumn("links", F.lit(1).cast("bigint")))
+        if large is not None:
+            break
         # Centres have met everyone; the rest goes on where it is of several components.
         rest = stage(
-            left.filter(~F.col("chosen")).select("bucket", "node")
-            .join(roots, "node", "left").join(degree, "node", "left")
-            .select("bucket", "node", F.coalesce("root", "node").alias("own"), F.coalesce("links", F.lit(0)).alias("links"))
-        )
-        parts = rest.groupBy("bucket", "own").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("links", "node")).alias("hub")
-        )
-        sizes = parts.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("groups"),
-            F.sum("n").alias("n"),
-            F.max(F.struct("n", "own")).alias("main"),
-            F.max("hub").alias("hub"),
-        )
-        waiting = F.col("n") - F.col("main.n")
-        number = F.when(F.col("n") <= FEW, F.col("n")).otherwise(few)
-        drawn = F.pmod(F.xxhash64("bucket", "node", F.lit(few)), waiting) < number
-        chosen = (F.col("node") == F.col("hub.node")) | ((F.col("own") != F.col("main.own")) & drawn)
-        left = stage(
-            rest.join(sizes.filter("groups > 1"), "bucket").select("bucket", "node", "own", chosen.alias("chosen"))
+            left.filter(~F.col("chosen")).select("bucket", "node").join(roots, "node", "left")
+            .select("bucket", "node", F.coalesce("root", "node").alias("own"))
         )
-        few = max(FEW, 2 * few)
+        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+        rest = stage(rest.join(sizes.filter("low <> high"), "bucket").select("bucket", "node", "own", "n"))
+        large = rest.filter(F.col("n") > FEW).select("bucket", "node")
+        left = rest.filter(F.col("n") <= FEW).select("bucket", "node", "own", F.lit(True).alias("chosen"))
+    if large is not None and not large.isEmpty():
+        now = large.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("own"))
+        met = stage(_by_blocks(stage(now), texts, similarity))
+        linked = met.filter("b IS NOT NULL").select("a", "b")
+        ends = met.filter("b IS NULL").select(F.col("a").alias("node"), "links")
+        roots, degree = _extended(roots, degree, linked, ends)
     return roots, degree
 
 
