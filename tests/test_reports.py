@@ -226,6 +226,32 @@ def test_word_boxes(spark):
     assert line.line_text == "Card 4012 3456 7890 1234 cvv: 123"
 
 
+def test_words_of_a_line_travel_together(spark):
+    schema = (
+        "doc_id string, block_num int, par_num int, line_num int, word_ord int, text string,"
+        " left int, top int, width int, height int"
+    )
+    rows = [w for k in range(40) for w in words(*[f"w{k}x{i}" for i in range(30)], line=k)]
+    rows += [(None, 1, 1, None, i, t, None, 2, 3, 4) for i, t in enumerate(["no", " ", "key", "\u00a0"])]
+    plain = spark.createDataFrame(rows, schema).coalesce(1)
+    want = {
+        (k, " ".join(f"w{k}x{i}" for i in range(30)), tuple((i, f"w{k}x{i}", 100 * i, 20, 50, 10) for i in range(30)))
+        for k in range(40)
+    }
+    for df in (plain, plain.repartition(3, F.rand(1))):
+        got = W.lines(df).filter("doc_id = 'd'").collect()
+        assert {(r.line_num, r.line_text, tuple(tuple(w) for w in r.words)) for r in got} == want
+        assert len(got) == 40
+    none = W.lines(plain).filter("doc_id IS NULL").collect()
+    assert [r.line_text for r in none] == ["no key"]
+    assert [tuple(w) for w in none[0].words] == [(0, "no", None, 2, 3, 4), (2, "key", None, 2, 3, 4)]
+    assert [f.dataType.simpleString() for f in W.lines(plain).schema["words"].dataType.elementType] == (
+        ["int", "string", "int", "int", "int", "int"]
+    )
+    plan = W.lines(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("Exchange")  # below the exchange
+
+
 def test_current_rows_need_no_sort(spark):
     from maskwell.operators.lifecycle import current_rows
 
