@@ -53,6 +53,8 @@ _ROUND = 20_000
 _SHARED_BITS = np.uint64(42)
 #: Members of buckets whose pairs are compared one by one; those of larger ones meet in blocks.
 FEW = 50
+#: Up to so many ids go to all tasks, so that the other texts are not shuffled.
+SENT_IDS = 1_000_000
 #: Texts of a block, and their bytes.
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 8 << 20
 
@@ -457,7 +459,11 @@ def _components_of_buckets(
             "bucket", "node", F.col("node").alias("own"), (F.col("node") == F.col("low")).alias("chosen")
         )
     )
-    texts = given.select("node", "text")
+    # Only texts that share a bucket are ever looked at; few ids go to the texts.
+    wanted = stage(left.select("node").distinct())
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    texts = stage(given.select("node", "text").join(wanted, "node", "left_semi"))
     roots = spark.createDataFrame([], "node bigint, root bigint")
     degree = spark.createDataFrame([], "node bigint, links bigint")
     tested: DataFrame | None = None
