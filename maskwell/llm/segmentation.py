@@ -40,10 +40,12 @@ from maskwell.session import small_batches
 
 SPACE = "▁"
 #: Words kept per task with their solutions; beyond it the store is emptied and refilled.
-CACHE = 400_000
+CACHE = 200_000
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of text that are solved together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
+#: Words of one length that are solved together: the lattice takes some kilobytes a word.
+ROWS = 8_000
 _CUT = "\x1f"
 
 
@@ -292,16 +294,21 @@ class Vocabulary:
                 store.put([w], [score], [gap], ids, [len(ids)])
             else:
                 by_size.setdefault(len(w), []).append(w)
-        for size, own in by_size.items():
-            chars = np.frombuffer("".join(own).encode("utf-32-le"), dtype=np.uint32)
-            found = self._table.solve(chars.reshape(-1, size).astype(np.uint64) + np.uint64(1))
-            score, gap, ids, counts = found
-            filled = np.arange(size) >= size - counts[:, None]
-            store.put(own, score, gap, ids[filled], counts)
+        for size, same in by_size.items():
+            for a in range(0, len(same), ROWS):
+                own = same[a : a + ROWS]
+                chars = np.frombuffer("".join(own).encode("utf-32-le"), dtype=np.uint32)
+                found = self._table.solve(chars.reshape(-1, size).astype(np.uint64) + np.uint64(1))
+                score, gap, ids, counts = found
+                filled = np.arange(size) >= size - counts[:, None]
+                store.put(own, score, gap, ids[filled], counts)
 
     def encode(self, texts: list[str], n: int = 1):
-        """For many texts: all ids, where each text's ids end, n best scores, changes, where
-        each word's ids begin and where each text's words end.
+        """For many texts: all ids, where each text's ids end, n best scores, changes."""
+        return self.encode_words(texts, n)[:4]
+
+    def encode_words(self, texts: list[str], n: int = 1):
+        """As ``encode``, and where each word's ids begin and where each text's words end.
 
         The changes of a text say how its segmentations differ from the best one: for each,
         a list of (word number, ids of that word).
@@ -361,7 +368,7 @@ class Vocabulary:
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as (score, ids), best first."""
-        _, _, scores, changes, _, _ = self.encode([text], n)
+        _, _, scores, changes = self.encode([text], n)
         best = [self.solve(w, 1)[0][1] for w in words(text)]
         out = []
         for score, change in zip(scores[0], changes[0]):
@@ -420,7 +427,7 @@ def encode(
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                flat, ends, best, changes, cuts, word_ends = own.encode(texts, n)
+                flat, ends, best, changes, cuts, word_ends = own.encode_words(texts, n)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 scores = pa.array(best, pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(

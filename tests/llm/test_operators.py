@@ -321,6 +321,22 @@ def test_encode_gives_all_n_best(spark, small_vocabulary):
             assert all(small_vocabulary.decode(x) == r.text for x in r.n_best)
 
 
+def test_new_words_are_solved_in_small_groups(monkeypatch):
+    rows, solve = [], segmentation._PieceTable.solve
+    monkeypatch.setattr(
+        segmentation._PieceTable, "solve", lambda self, chars: rows.append(len(chars)) or solve(self, chars)
+    )
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefgh", repeat=5), 20_000)]
+    pieces = ["", " ", *"abcdefgh", " a", "bcd", "ef"] + [""] * 256
+    scores = [0.0, -3.0, *(-2.0 - i / 8 for i in range(8)), -3.5, -4.0, -3.1] + [0.0] * 256
+    vocabulary = segmentation.Vocabulary(pieces, scores, list(range(13, 269)))
+    _, ends, scores, *_ = vocabulary.encode(words)
+    assert sum(rows) == len(set(words)) > 10_000 and max(rows) <= 8_000
+    for i in (0, 7_999, 8_000, len(words) - 1):
+        best, _, ids = vocabulary.two_best(" " + words[i])
+        assert abs(scores[i][0] - best) < 1e-9 and ends[i + 1] - ends[i] == len(ids)
+
+
 def test_n_best_against_all_paths(small_vocabulary):
     for text in ("abab", "ab ba", "a  b", "ba aba ab"):
         want = sorted((-s for s, _ in every_path(small_vocabulary, " " + text)))[:4]
