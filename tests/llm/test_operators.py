@@ -450,6 +450,54 @@ def test_word_probabilities_sum_to_one_with_the_unseen_type(spark):
     assert all(r["score"] < 0 for r in got.values())
 
 
+def test_scores_follow_the_word_before(spark, monkeypatch):
+    learned = ["The cat sat on the mat", "the cat ran", None, "the dog sat on the cat", "a cat sat on the mat", "x"]
+    held = ["the cat sat on the mat", "mat the on sat cat the", "new cat sat", "a the new new", ""]
+    docs = spark.createDataFrame(list(enumerate([*learned * 2, *held])), "doc_id bigint, text string")
+    given, train = {}, pitman_yor.train
+
+    def spied(words, pairs, d, *rest):
+        given.update(d=d, words=words.collect(), pairs=pairs.collect())
+        known, seated = train(words, pairs, d, *rest)
+        given.update(known=known.collect(), seated=seated.collect())
+        return known, seated
+
+    monkeypatch.setattr(pitman_yor, "train", spied)
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, F.col("doc_id") >= 12).collect()}
+
+    tokens = lambda text: [*(text or "").lower().split(), "\n"]
+    pairs = lambda text: list(zip(["\n", *tokens(text)], tokens(text)))
+    counts, followers = defaultdict(int), defaultdict(int)
+    for pair in (p for text in learned * 2 for p in pairs(text)):
+        counts[pair] += 1
+        followers[pair[0]] += 1
+    word = {r.id: bytes(r.word).decode() for r in given["words"]}
+    place = {(r.cell, r["rank"]): (word[r.u], word[r.w]) for r in given["pairs"]}
+    assert {place[r.cell, r["rank"]]: r.c for r in given["seated"]} == {p: c for p, c in counts.items() if c > 1}
+    d, chance = given["d"], [defaultdict(float) for _ in range(len(got))]
+    for k in range(2):
+        t = defaultdict(int, {p: 1 for p in counts})
+        t.update({place[r.cell, r["rank"]]: r[f"t{k}"] for r in given["seated"]})
+        assert all(1 <= t[p] <= c for p, c in counts.items())
+        p0 = {word[r.id]: r[f"p{k}"] for r in given["known"]}
+        tables = {word[r.id]: r[f"tables{k}"] for r in given["known"]}
+        assert all(tables[u] == sum(n for p, n in t.items() if p[0] == u) for u in word.values())
+        unseen = 1 - sum(p0.values())
+        assert 0 < unseen < 1
+
+        def p(u, w):
+            own = counts.get((u, w), 0) - d * t.get((u, w), 0)
+            mass = 1 + d * tables.get(u, 0)
+            return (own + mass * p0.get(w, unseen)) / (1 + followers.get(u, 0))
+
+        assert all(abs(sum(p(u, w) for w in [*word.values(), "?"]) - 1) < 1e-6 for u in word.values())
+        for i, text in enumerate([*learned * 2, *held]):
+            for at, pair in enumerate(pairs(text)):
+                chance[i][at] += p(*pair) / 2
+    assert all(abs(got[i] - sum(map(np.log10, x.values()))) < 1e-5 for i, x in enumerate(chance))
+    assert got[12] > got[13] + 1
+
+
 @pytest.mark.parametrize("name", ["op5_exact_dedup", "op10_line_dedup"])
 def test_query_against_sql(spark, name):
     duck = duckdb.connect()
