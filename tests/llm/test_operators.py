@@ -498,6 +498,32 @@ def test_scores_follow_the_word_before(spark, monkeypatch):
     assert got[12] > got[13] + 1
 
 
+def test_sweeps_take_pairs_as_arrays_or_as_rows(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "the cat ran", None, "the dog sat on the cat", "a cat sat on the mat"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id bigint, text string")
+    train, seen = pitman_yor.train, []
+
+    def twice(words, pairs, d, burn_in, samples, seed, theta, lists):
+        assert lists.count() == lists.select("cell").distinct().count() <= 4
+        for x in (lists, None):
+            out = train(words, pairs, d, burn_in, samples, seed, theta, x)
+            seen.append([sorted(map(tuple, rows.collect())) for rows in out])
+        return out
+
+    monkeypatch.setattr(pitman_yor, "train", twice)
+    scores = [sorted(map(tuple, pitman_yor.score(docs, F.col("doc_id") > 12).collect())) for _ in range(2)]
+    assert scores[0] == scores[1] and len(scores[0]) == 15
+    assert all(x == seen[0] for x in seen) and len(seen[0][1]) > 5
+
+
+def test_words_of_a_block_are_those_of_its_texts():
+    texts = [b"", b"A b\ta", b" \x0b", "É a\u00a0b \x1c".encode(), b"b" * 3_000_000 + b" a", b"B"]
+    tokens, sizes, keys, words = pitman_yor._tokens_of(texts)
+    plain = [[*x.lower().split(), b"\n"] for x in texts]
+    assert sizes.tolist() == [len(x) for x in plain] and (keys[1:] > keys[:-1]).all()
+    assert [words[i] for i in tokens] == [w for x in plain for w in x]
+
+
 @pytest.mark.parametrize("name", ["op5_exact_dedup", "op10_line_dedup"])
 def test_query_against_sql(spark, name):
     duck = duckdb.connect()
