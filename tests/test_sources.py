@@ -122,6 +122,20 @@ def test_delete_touches_only_the_runs_that_hold_the_file(spark, tmp_path):
     assert runs == []
 
 
+def test_delete_writes_what_stays_once(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    upload.sanitize(batch(spark), out, "r1", as_of())
+    upload.sanitize(batch(spark).withColumn("file_id", F.col("file_id") + 10), out, "r2", as_of())
+    written, staged, write = [], [], upload.write_run
+    monkeypatch.setattr(upload, "write_run", lambda df, *rest: (written.append(rest), write(df, *rest)))
+    monkeypatch.setattr(upload, "stage", lambda df: staged.append(df) or df.localCheckpoint())
+    upload.delete_files(spark, out, spark.createDataFrame([(1,)], "file_id bigint"))
+    assert staged == [] and len(written) == len({w[0] for w in written}) == 5
+    tables = upload.open_tables(spark, out)
+    assert sorted(r.file_id for r in tables["originals"].collect()) == [3, 11, 13]
+    assert not (tmp_path / "out" / "kept").exists()
+
+
 def test_upload_of_all_kinds(spark, tmp_path):
     """Text, CSV, pages, runs and words in one run, each put together again."""
     rows = [
